@@ -8,9 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from adloom.llm.common import table
+from adloom.llm.decontaminate import contaminated
 from adloom.llm.exact_dedup import exact_dedup
+from adloom.llm.language_model import lm_scores
 from adloom.llm.line_dedup import dedup_lines
 from adloom.llm.mixing import mix_sources
+from adloom.llm.near_dup import jaccard_components
+from adloom.llm.quality import quality_scores
 from adloom.llm.secrets import scan_secrets, span_list
 from adloom.llm.sharding import bounded_ring
 from adloom.llm.tokens import count_tokens
@@ -30,6 +34,10 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"), n=3, percent=90)
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -40,21 +48,45 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = dedup_lines(table(spark, sf_dir, "documents"))
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op7_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bounded_ring(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_scan, op3_exact_dedup, op4_token_counts, op6_line_dedup, op8_mixing, op10_sharding)
+    f.__name__: f
+    for f in (
+        op1_secret_scan,
+        op2_ngram_jaccard,
+        op3_exact_dedup,
+        op4_token_counts,
+        op5_quality,
+        op6_line_dedup,
+        op7_lm_scores,
+        op8_mixing,
+        op9_decontamination,
+        op10_sharding,
+    )
 }
 
 ORACLES: dict[str, str] = {}
