@@ -19,8 +19,8 @@ from adloom.llm.textbytes import WordHashes, mix, rows
 
 #: A band holds sizes from its lower bound up to RATIO times as much.
 RATIO = 1.5
-#: Most documents in a tile, and most shingles in one (tiles of long documents hold fewer documents).
-TILE, TILE_ITEMS = 256, 1 << 19
+#: Most documents in a tile, on average.
+TILE = 256
 #: Bits of the filter that finds the candidates' texts again: 16 MB, whatever the table's size.
 BITS = 1 << 27
 
@@ -69,17 +69,19 @@ def part_keys(items: np.ndarray, percent: int) -> np.ndarray:
     uppers, parts, spares = bands(percent)
     size = len(items)
     own = next(i for i, high in enumerate(uppers) if size <= high)
+    mixed = mix(items ^ FACTORS[7])
     out = []
     band = own
     while band >= 0 and (band == own or 100 * uppers[band] >= percent * size):
         k, spare = parts[band], spares[band]
-        place = (mix(items + np.uint64(2 * band + 1)) % np.uint64(k)).astype(np.int64)
+        place = ((mixed * FACTORS[11 + band]) >> np.uint64(32)) * np.uint64(k) >> np.uint64(32)
+        place = place.astype(np.uint16 if k < 1 << 16 else np.int64)
         order = np.argsort(place, kind="stable")
         filled = np.bincount(place, minlength=k)
         full = np.flatnonzero(filled)
         starts = np.concatenate([[0], np.cumsum(filled[full])[:-1]])
         sums = np.zeros(k, np.uint64)
-        sums[full] = np.add.reduceat(mix(items ^ FACTORS[7])[order], starts)
+        sums[full] = np.add.reduceat(mixed[order], starts)
         named = np.arange(k) if k - len(full) > spare else full
         keys = sums[named] + named.astype(np.uint64) * FACTORS[8] + filled[named].astype(np.uint64) * FACTORS[9]
         out.append(mix(keys + mix(FACTORS[10:11] + np.uint64(band))))
@@ -145,10 +147,12 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     lower-cased; a text of fewer words is one shingle). component_id is the smallest doc_id reachable by links.
 
     Equal sets are one class with its smallest id as node, so copies are never paired. Part keys (see `bands`) bring
-    together every pair that can link; keys of one node are dropped. First every node of a key is tested against the
-    key's smallest node, which turns a large group of near copies into a star. Keys whose nodes are then in different
-    components are cut into tiles, and each pair of tiles is one task's group: bit counts of hashed bitmaps bound the
-    overlap, sorted arrays decide, and only links that join components leave the task. No bucket is capped.
+    together every pair that can link; keys of one node, and keys with the members of another key, are dropped. Nodes that
+    keys connect are a cluster. A cluster of up to TILE nodes is one tile. In a larger one every node of a key is first
+    tested against the key's smallest node, which turns a large group of near copies into a star; then the cluster, or
+    each of its keys if that ships less, is cut into tiles, and each pair of tiles is a group of its own. In a group bit
+    counts of hashed bitmaps bound the overlap, sorted arrays decide, documents already linked are not compared, and only
+    links that join components come out. No bucket and no cluster is capped.
 
     Empty texts, null texts and texts without words have n_shingles 0 and link with nothing. A row without an id can't
     represent its class: it gets its class's component, null if no row of the class has an id. Rows that repeat an id
@@ -186,7 +190,16 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     keyed = texts.where("doc_id is not null").mapInArrow(keys_of, "key long, doc_id long")
     shared_keys = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("low")).where("n > 1").select("key")
     members = shared_table(keyed.join(shared_keys, "key").join(node_of, "doc_id").select("key", "node").distinct(), "members")
-    heads = members.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("n")).where("n > 1").select("key", "head")
+    # two similar documents share many keys; of keys with the same members one is enough
+    mark = lambda seed: F.bit_xor(F.xxhash64(F.lit(seed), "node"))
+    heads = (
+        members.groupBy("key")
+        .agg(F.min("node").alias("head"), F.count("*").alias("n"), mark(1).alias("m1"), mark(2).alias("m2"))
+        .where("n > 1")
+        .groupBy("n", "m1", "m2")
+        .agg(F.min("key").alias("key"), F.min("head").alias("head"))
+        .select("key", "head")
+    )
     members = shared_table(members.join(heads, "key"), "buckets")
     nodes = shared_table(members.select("node").distinct(), "candidates")
 
@@ -232,45 +245,61 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
                     out[1].append(b)
             yield pa.record_batch([pa.array(c, pa.int64()) for c in out], names=["a", "b"])
 
-    spokes = members.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
+    def tile(group: pd.DataFrame) -> pd.DataFrame:
+        sets = [np.frombuffer(x, np.uint64) for x in group["items"]]
+        found = tile_links(group["node"], group["label"], group["side"], sets, percent)
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    spokes = shared_table(members.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), "spokes")
+    clusters = components(spokes).withColumnRenamed("component", "cluster")
+    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("m"))
+    clusters = shared_table(clusters.join(sizes, "cluster"), "clusters")
+
+    # a small cluster is one group
+    small = (
+        clusters.where(F.col("m") <= TILE).join(items, "node")
+        .select("cluster", "node", F.col("node").alias("label"), F.lit(0).alias("side"), "items")
+        .groupBy("cluster").applyInPandas(tile, "a long, b long")
+    )
+    small = shared_table(small, "small-links")
+
+    # large clusters: stars first
+    large = clusters.where(F.col("m") > TILE)
     tested = (
-        spokes.join(items.select(F.col("node").alias("a"), F.col("items").alias("x")), "a")
+        spokes.join(large.select(F.col("node").alias("a")), "a", "left_semi")
+        .join(items.select(F.col("node").alias("a"), F.col("items").alias("x")), "a")
         .join(items.select(F.col("node").alias("b"), F.col("items").alias("y")), "b")
         .select("a", "b", "x", "y")
         .mapInArrow(test, "a long, b long")
     )
     star = shared_table(tested, "star")
-    labels = components(star)
-
+    labels = components(star).withColumnRenamed("component", "label")
     labelled = shared_table(
-        members.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("label")), "labelled"
+        large.join(labels, "node", "left").select("cluster", "m", "node", F.coalesce("label", "node").alias("label")), "labelled"
     )
-    split = (
-        labelled.groupBy("key")
-        .agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n"))
+    pieces = lambda n: n * F.ceil(n / TILE)
+    split_keys = (
+        members.join(labelled, "node")
+        .groupBy("key", "cluster")
+        .agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n"), F.first("m").alias("m"))
         .where("low <> high")
-        .select("key", "n")
     )
-    tiles = F.ceil(F.col("n") / F.greatest(F.lit(8), F.least(F.lit(TILE), F.floor(F.lit(TILE_ITEMS) / F.greatest(F.col("width"), F.lit(1))))))
-    sized = labelled.join(split, "key").join(items.select("node", F.octet_length("items").alias("width")), "node")
-    # all sets of a key are in one band's reach, so the widest fixes the tiles
-    widest = sized.groupBy("key").agg(F.max(F.col("width") / 8).alias("width"))
+    # a cluster is compared as a whole or by its keys, whichever ships fewer rows
+    by_key = split_keys.groupBy("cluster").agg((F.sum(pieces(F.col("n"))) < F.first(pieces(F.col("m")))).alias("by_key"))
+    by_key = shared_table(by_key, "plan")
+    whole = labelled.join(by_key.where("not by_key"), "cluster").select(F.lit(0).alias("kind"), F.col("cluster").alias("unit"), "node", "label", F.col("m").alias("n"))
+    keys = split_keys.join(by_key.where("by_key"), "cluster").select("key", "n")
+    parts = members.join(keys, "key").join(labelled.select("node", "label"), "node").select(F.lit(1).alias("kind"), F.col("key").alias("unit"), "node", "label", "n")
     spread = (
-        sized.drop("width").join(widest, "key")
-        .withColumn("tiles", tiles.cast("int"))
+        whole.unionByName(parts)
+        .withColumn("tiles", F.ceil(F.col("n") / TILE).cast("int"))
         .withColumn("side", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-        .select("key", "node", "label", "side", F.least("side", "other").alias("t1"), F.greatest("side", "other").alias("t2"))
+        .select("kind", "unit", "node", "label", "side", F.least("side", "other").alias("t1"), F.greatest("side", "other").alias("t2"))
     )
-
-    def tile(group: pd.DataFrame) -> pd.DataFrame:
-        sets = [np.frombuffer(x, np.uint64) for x in group["items"]]
-        found = tile_links(group["node"], group["label"], group["side"], sets, percent)
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
-
-    rest = spread.join(items, "node").groupBy("key", "t1", "t2").applyInPandas(tile, "a long, b long")
+    rest = spread.join(items, "node").groupBy("kind", "unit", "t1", "t2").applyInPandas(tile, "a long, b long")
     rest = shared_table(rest.distinct(), "tile-links")
-    labels = components(star.unionByName(rest))
+    labels = components(small.unionByName(star).unionByName(rest))
     named = classes.join(labels, "node", "left").select(*same, F.coalesce("component", "node").alias("component_id"))
     return (
         sets.where("n_shingles > 0").join(named, same).select("doc_id", "n_shingles", "component_id")
