@@ -84,7 +84,12 @@ def history_features(histories: DataFrame, items: DataFrame, key: str, length: i
     slots = F.transform(F.sequence(F.lit(0), F.lit(length - 1)), lambda i: F.try_element_at(F.col("by_slot"), i))
     table = histories.select(key).join(known, key, "left").withColumn("by_slot", F.when(F.col("found").isNotNull(), by_slot)).withColumn("slots", slots)
     zero = F.lit(0).cast("bigint")
-    fields = [F.when(F.col("by_slot").isNull(), F.array_repeat(zero, length)).otherwise(F.transform("slots", lambda x, c=c: F.coalesce(x[c], zero))).alias(n) for c, n in names.items()]
+
+    def field(name: str) -> Column:
+        filled = F.transform("slots", lambda x: F.coalesce(x[name], zero))
+        return F.when(F.col("by_slot").isNull(), F.array_repeat(zero, length)).otherwise(filled)
+
+    fields = [field(c).alias(n) for c, n in names.items()]
     return table.select(key, *fields)
 
 
