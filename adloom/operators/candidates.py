@@ -128,8 +128,7 @@ def _run(text: Column, steps) -> Column:
 
 
 def _cut(limit: int):
-    edge = F.lit("，。；、 ")
-    return lambda t: F.when(F.char_length(t) > limit, F.concat(F.rtrim(F.left(t, F.lit(limit)), edge), F.lit("。"))).otherwise(t)
+    return lambda t: F.when(F.char_length(t) > limit, F.concat(F.rtrim(F.left(t, F.lit(limit)), F.lit("，。；、 ")), F.lit("。"))).otherwise(t)
 
 
 def _end_mark(t: Column) -> Column:
