@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +30,20 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def ship(spark: SparkSession) -> None:
+    """Gives this package to the Python workers once per application, so that executors need not have it installed."""
+    context = spark.sparkContext
+    root = Path(__file__).resolve().parent.parent
+    if getattr(context, "_adloom_shipped", False) or not root.is_dir():
+        return
+    path = Path(tempfile.mkdtemp(prefix="spark-adloom-")) / "adloom_tasks.zip"
+    with zipfile.ZipFile(path, "w") as out:
+        for source in sorted(root.rglob("*.py")):
+            out.write(source, source.relative_to(root.parent))
+    context.addPyFile(str(path))
+    context._adloom_shipped = True
+
+
 def shared_table(df: DataFrame, label: str) -> DataFrame:
     """Write df once as Parquet in the shared folder and read it back: lineage ends here, lost executors lose nothing.
 
