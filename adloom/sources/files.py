@@ -4,20 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
 
 CORRUPT = "_corrupt"
 
 
-def read_jsonl(spark: SparkSession, path: str, schema: StructType, strict: bool = False, keep_corrupt: bool = False) -> DataFrame:
-    """JSON lines. A byte-order mark and blank lines are ignored; malformed lines are dropped, or fail the job if strict.
+def read_jsonl(spark: SparkSession, path: str, schema: str, strict: bool = False, keep_corrupt: bool = False) -> DataFrame:
+    """JSON lines of a DDL schema. A byte-order mark and blank lines are ignored; malformed lines are dropped, or fail the job if strict.
 
     keep_corrupt keeps malformed lines in the column `_corrupt`, so that they can be counted.
     """
     if strict:
         return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
-    wide = StructType([*schema.fields, StructField(CORRUPT, StringType())])
-    rows = spark.read.schema(wide).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).json(path)
+    rows = spark.read.schema(f"{schema}, {CORRUPT} string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).json(path)
     return rows if keep_corrupt else rows.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
 
 
