@@ -57,8 +57,8 @@ def canonical_log(raw: DataFrame) -> DataFrame:
         safe_float(raw[f"{stats}.item_show_cnt_30d_hist"]).alias("show_cnt"),
         safe_float(raw[f"{stats}.item_click_cnt_30d_hist"]).alias("click_cnt"),
         safe_float(raw[f"{stats}.item_order_cnt_30d_hist"]).alias("order_cnt"),
-        F.transform("recently_clicked_item_ids", safe_int).alias("recently_clicked_item_ids"),
-        F.transform("recently_purchased_item_ids", safe_int).alias("recently_purchased_item_ids"),
+        F.transform("recently_clicked_item_ids", lambda x: safe_int(x)).alias("recently_clicked_item_ids"),
+        F.transform("recently_purchased_item_ids", lambda x: safe_int(x)).alias("recently_purchased_item_ids"),
         F.coalesce(raw["split"], F.lit("train")).alias("split"),
     )
 

@@ -16,7 +16,11 @@ def read_jsonl(spark: SparkSession, path: str, schema: str, strict: bool = False
     if strict:
         return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
     rows = spark.read.schema(f"{schema}, {CORRUPT} string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).json(path)
-    return rows if keep_corrupt else rows.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
+    if keep_corrupt:
+        return rows
+    # Spark refuses a query that needs nothing but the corrupt column, as a plain count would be; so a field is looked at too
+    read = F.coalesce(F.col(rows.columns[0]).cast("string"), F.lit("")) != "\x00"
+    return rows.where(F.col(CORRUPT).isNull() & read).drop(CORRUPT)
 
 
 def with_file_order(rows: DataFrame) -> DataFrame:

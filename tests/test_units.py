@@ -65,7 +65,8 @@ def test_read_jsonl(spark, tmp_path):
     assert raw.count() == 3
     got = {r["item_id"]: r for r in E.canonical_items(raw).collect()}
     assert set(got) == {5, 3} and got[5]["item_title"] == "x" and got[3]["category_path"] == "A"
-    assert files.read_jsonl(spark, str(path), schemas.RAW_ITEM, keep_corrupt=True).where("_corrupt is not null").count() == 2
+    kept = files.read_jsonl(spark, str(path), schemas.RAW_ITEM, keep_corrupt=True).collect()
+    assert sum(r["_corrupt"] is not None for r in kept) == 2
     with pytest.raises(Exception):
         files.read_jsonl(spark, str(path), schemas.RAW_ITEM, strict=True).collect()
     files.write_jsonl(E.canonical_items(raw), str(tmp_path / "out"))
@@ -103,23 +104,6 @@ def test_evidence_ties_and_titles(spark):
     assert got == {"q": ["u", "t"], "r": []}
 
 
-def test_cascade_modes(spark):
-    from adloom.plans.base import items as bound_items
-    from adloom.plans.base import log
-    from adloom.plans.retrieval_queries import requests, train_pairs
-
-    d = "/root/testdata/sf0.001"
-    asked = requests(spark, d).limit(150).unionByName(spark.createDataFrame([("???", 1, 1, "none"), ("zzz unseen", 1, 1, "unseen")], "query string, user_id long, session_id long, request_id string"))
-    rows = E.positives(log(spark, d).where("split = 'train'"))
-    found = R.retrieve_cascade(asked, train_pairs(spark, d), rows, bound_items(spark, d), "offline").collect()
-    assert {r["request_id"] for r in found} == {r["request_id"] for r in asked.collect()}
-    assert {r["source"] for r in found if r["request_id"] in ("none", "unseen")} == {"none"}
-    per = {}
-    for r in found:
-        per.setdefault(r["request_id"], []).append(r)
-    assert all(len({r["source"] for r in v}) == 1 and len(v) <= 3 for v in per.values())
-
-
 def test_history_padding(spark):
     items = spark.createDataFrame([(i, i % 3, None, 1) for i in range(1, 30)], "item_id long, category_level1_id int, category_level2_id int, category_level3_id int")
     owned = [(1, list(range(1, 22))), (2, [5, 99, None]), (3, None), (4, []), (5, list(range(1, 21)))]
