@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from adloom.llm.common import shared_table, text_of
-from adloom.llm.textbytes import WordHashes, mix, rows
+from adloom.llm.common import shared_table, ship, text_of
+from adloom.llm.textbytes import BARE_WORDS, mix, rows, word_hashes
 
 #: Offsets of the tokens that a seed looks at; the others are ignored. Spans of 6 to 12 tokens, weight 6.
 MASKS = ((0, 1, 2, 3, 4, 5), (0, 1, 3, 5, 6, 9), (0, 1, 2, 5, 7, 8), (0, 3, 4, 7, 10, 11))
@@ -19,13 +19,12 @@ SPAN = max(m[-1] for m in MASKS) + 1
 BITS, SLICE = 1 << 27, 1 << 10
 #: Tokens kept on both sides of a hit for verification.
 REACH = 64
-PUNCTUATION = bytes.maketrans(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", b" " * 32)
 FACTORS = mix(np.arange(1, 65, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
-def tokens(text: bytes, hashes: WordHashes) -> np.ndarray:
+def tokens(text: bytes) -> np.ndarray:
     """Hashes of a text's words: A-Z lower-cased, ASCII punctuation dropped."""
-    return hashes.of(text.lower().translate(PUNCTUATION).split())
+    return word_hashes(text, BARE_WORDS)
 
 
 def seeds(t: np.ndarray, mask: tuple[int, ...]) -> np.ndarray:
@@ -88,13 +87,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.8, min_
     ignored, whatever their names.
     """
     spark = docs.sparkSession
+    ship(spark)
 
     def item_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for part in rows(batches):
             out = ([], [], [])
             for item_id, text in zip(part["item_id"], part["bytes"], strict=True):
-                t = tokens(text, hashes)
+                t = tokens(text)
                 for mask in item_masks(len(t), min_tokens):
                     h = seeds(t, mask)
                     out[0].append(np.full(len(h), item_id))
@@ -104,9 +103,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.8, min_
                 yield pa.record_batch([pa.array(np.concatenate(x).astype(np.int64)) for x in out], names=["item_id", "seed", "item_at"])
 
     def item_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for part in rows(batches):
-            found = [tokens(text, hashes).view(np.int64) for text in part["bytes"]]
+            found = [tokens(text).view(np.int64) for text in part["bytes"]]
             yield pa.record_batch([pa.array(part["item_id"], pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["item_id", "item"])
 
     items = benchmark.where("item_id is not null").select("item_id", F.encode(text_of(), "utf-8").alias("bytes"))
@@ -133,11 +131,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.8, min_
 
     def doc_hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Windows of a document around seeds that pass the filter; seeds close together share a window."""
-        bits, hashes = shared.value, WordHashes()
+        bits = shared.value
         for part in rows(batches):
             out = {k: [] for k in ("doc_id", "doc_at", "window", "seeds", "spots")}
             for doc_id, text in zip(part["doc_id"], part["bytes"], strict=True):
-                t = tokens(text, hashes)
+                t = tokens(text)
                 found = []
                 for mask in all_masks:
                     h = seeds(t, mask)

@@ -87,7 +87,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches
     runs = LineRuns(fan_in)
     for b in range(batches):
         runs.add(held.where(F.col("batch") == b))
-    common = runs.index().where(F.col("n_docs") >= min_docs).select(*KEY, "last_doc")
+    # stored, so that the join below starts from plain exchanges and a hot line's rows can be split
+    common = shared_table(runs.index().where(F.col("n_docs") >= min_docs).select(*KEY, "last_doc"), "common-lines")
     drops = (
         held.join(common, KEY)
         .where(~F.col("doc_id").eqNullSafe(F.col("last_doc")))

@@ -11,11 +11,12 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from adloom.llm.common import shared_table, text_of
+from adloom.llm.common import shared_table, ship, text_of
 from adloom.llm.components import components
 from adloom.llm.decontaminate import FACTORS
-from adloom.llm.textbytes import WordHashes, mix, rows
+from adloom.llm.textbytes import mix, rows, word_hashes
 
 #: A band holds sizes from its lower bound up to RATIO times as much.
 RATIO = 1.5
@@ -25,9 +26,9 @@ TILE = 256
 BITS = 1 << 27
 
 
-def shingles(text: bytes, n: int, hashes: WordHashes) -> np.ndarray:
+def shingles(text: bytes, n: int) -> np.ndarray:
     """Sorted distinct hashes of a text's n-word shingles; of the whole sequence if it has fewer words."""
-    w = hashes.of(text.lower().split())
+    w = word_hashes(text)
     if not len(w):
         return w
     size = min(n, len(w))
@@ -60,22 +61,32 @@ def bands(percent: int) -> tuple[list[int], list[int], list[int]]:
     return uppers, parts, spares
 
 
+def bands_of(size: int, percent: int) -> list[int]:
+    """The band of a size, and the lower bands that hold sizes it may link to."""
+    uppers = bands(percent)[0]
+    band = own = next(i for i, high in enumerate(uppers) if size <= high)
+    while band > 0 and 100 * uppers[band - 1] >= percent * size:
+        band -= 1
+    return list(range(band, own + 1))
+
+
+def part_places(mixed: np.ndarray, band: int, k: int) -> np.ndarray:
+    """The part of every element (mixed hashes) in a band of k parts."""
+    return ((mixed * FACTORS[11 + band % 50]) >> np.uint64(32)) * np.uint64(k) >> np.uint64(32)
+
+
 def part_keys(items: np.ndarray, percent: int) -> np.ndarray:
-    """The keys of a set: one for every part in the band of its size, and in lower bands that hold sizes it may link to.
+    """The keys of a set: one for every part, in all bands of bands_of. The last six bits of a key are its band.
 
     A part's key is a hash of the part's elements. Empty parts say nothing: if at most g parts are empty, two linked sets
     also agree on one that is not, so empty parts get keys only in sets with more than g of them.
     """
-    uppers, parts, spares = bands(percent)
-    size = len(items)
-    own = next(i for i, high in enumerate(uppers) if size <= high)
+    _, parts, spares = bands(percent)
     mixed = mix(items ^ FACTORS[7])
     out = []
-    band = own
-    while band >= 0 and (band == own or 100 * uppers[band] >= percent * size):
+    for band in bands_of(len(items), percent):
         k, spare = parts[band], spares[band]
-        place = ((mixed * FACTORS[11 + band]) >> np.uint64(32)) * np.uint64(k) >> np.uint64(32)
-        place = place.astype(np.uint16 if k < 1 << 16 else np.int64)
+        place = part_places(mixed, band, k).astype(np.uint16 if k < 1 << 16 else np.int64)
         order = np.argsort(place, kind="stable")
         filled = np.bincount(place, minlength=k)
         full = np.flatnonzero(filled)
@@ -83,12 +94,27 @@ def part_keys(items: np.ndarray, percent: int) -> np.ndarray:
         sums = np.zeros(k, np.uint64)
         sums[full] = np.add.reduceat(mixed[order], starts)
         named = np.arange(k) if k - len(full) > spare else full
-        keys = sums[named] + named.astype(np.uint64) * FACTORS[8] + filled[named].astype(np.uint64) * FACTORS[9]
-        out.append(mix(keys + mix(FACTORS[10:11] + np.uint64(band))))
-        band -= 1
+        keys = mix(sums[named] + named.astype(np.uint64) * FACTORS[8] + filled[named].astype(np.uint64) * FACTORS[9])
+        out.append(keys >> np.uint64(6) << np.uint64(6) | np.uint64(band % 64))
     return np.concatenate(out)
 
 
+def shared_keys_needed(items: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """(band, n): how many keys of the band a set has in common with any set that it links to there, at least.
+
+    Linked sets agree on g + 1 parts; of these at most the set's own empty parts have no key.
+    """
+    _, parts, spares = bands(percent)
+    mixed = mix(items ^ FACTORS[7])
+    out = []
+    for band in bands_of(len(items), percent):
+        k, spare = parts[band], spares[band]
+        seen = np.zeros(k, bool)
+        seen[part_places(mixed, band, k).astype(np.int64)] = True
+        out.append((band % 64, max(1, spare + 1 - (k - int(seen.sum())))))
+    return out
+
+
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     """The exact test on sorted arrays."""
     both = np.concatenate([a, b])
@@ -140,56 +166,80 @@ def tile_links(nodes, labels, sides, sets: list[np.ndarray], percent: int) -> li
     return out
 
 
-def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, store_keys: bool = False) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id.
 
     Two texts link when 100 * intersection >= percent * union over their sets of distinct n-word shingles (A-Z
     lower-cased; a text of fewer words is one shingle). component_id is the smallest doc_id reachable by links.
 
     Equal sets are one class with its smallest id as node, so copies are never paired. Part keys (see `bands`) bring
-    together every pair that can link; keys of one node, and keys with the members of another key, are dropped. Nodes that
-    keys connect are a cluster. A cluster of up to TILE nodes is one tile. In a larger one every node of a key is first
-    tested against the key's smallest node, which turns a large group of near copies into a star; then the cluster, or
+    together every pair that can link; keys of one node, and keys with the members of another key, are dropped, and so are
+    nodes that share fewer keys than any link implies and the most common keys of a node, up to one less than that number. Nodes that keys connect are a cluster. A cluster of up to TILE nodes is one tile. In a larger one every node is first
+    tested against the smallest node that leads one of its keys, which turns a large group of near copies into a star; then the cluster, or
     each of its keys if that ships less, is cut into tiles, and each pair of tiles is a group of its own. In a group bit
     counts of hashed bitmaps bound the overlap, sorted arrays decide, documents already linked are not compared, and only
     links that join components come out. No bucket and no cluster is capped.
 
+    Keys are read twice; store_keys writes them once (about 11 bytes a key) instead of making them twice.
+
     Empty texts, null texts and texts without words have n_shingles 0 and link with nothing. A row without an id can't
     represent its class: it gets its class's component, null if no row of the class has an id. Rows that repeat an id
     count as one document for linking. An empty table gives an empty result; other columns are ignored.
     """
     spark = docs.sparkSession
+    ship(spark)
     texts = docs.select("doc_id", F.encode(text_of(), "utf-8").alias("bytes"))
 
     def classes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for part in rows(batches):
-            found = [shingles(x, n, hashes) for x in part["bytes"]]
+            found = [shingles(x, n) for x in part["bytes"]]
             h1 = np.array([mix(s ^ FACTORS[1]).sum(dtype=np.uint64) for s in found], np.uint64).view(np.int64)
             h2 = np.array([mix(s ^ FACTORS[2]).sum(dtype=np.uint64) for s in found], np.uint64).view(np.int64)
             sizes = np.array([len(s) for s in found], np.int64)
-            yield pa.record_batch([pa.array(part["doc_id"], pa.int64()), pa.array(sizes), pa.array(h1), pa.array(h2)], names=["doc_id", "n_shingles", "h1", "h2"])
+            needed = [[n << 6 | band for band, n in shared_keys_needed(s, percent)] if len(s) else [] for s in found]
+            columns = [pa.array(part["doc_id"], pa.int64()), pa.array(sizes), pa.array(h1), pa.array(h2), pa.array(needed, pa.list_(pa.int32()))]
+            yield pa.record_batch(columns, names=["doc_id", "n_shingles", "h1", "h2", "needed"])
 
     def keys_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for part in rows(batches):
             keys, ids = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
             for doc_id, text in zip(part["doc_id"], part["bytes"], strict=True):
-                items = shingles(text, n, hashes)
+                items = shingles(text, n)
                 if len(items):
                     keys.append(part_keys(items, percent))
                     ids.append(np.full(len(keys[-1]), doc_id, np.int64))
             yield pa.record_batch([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(ids))], names=["key", "doc_id"])
 
-    sets = shared_table(texts.mapInArrow(classes_of, "doc_id long, n_shingles long, h1 long, h2 long"), "sets")
+    sets = shared_table(texts.mapInArrow(classes_of, "doc_id long, n_shingles long, h1 long, h2 long, needed array<int>"), "sets")
     same = ["n_shingles", "h1", "h2"]
-    classes = sets.where("n_shingles > 0").groupBy(*same).agg(F.min("doc_id").alias("node"))
+    classes = shared_table(sets.where("n_shingles > 0").groupBy(*same).agg(F.min("doc_id").alias("node")), "classes")
     node_of = sets.where("n_shingles > 0 and doc_id is not null").join(classes, same).select("doc_id", "node")
     node_of = shared_table(node_of, "nodes")
 
     keyed = texts.where("doc_id is not null").mapInArrow(keys_of, "key long, doc_id long")
+    if store_keys:
+        keyed = shared_table(keyed, "keys")
     shared_keys = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("low")).where("n > 1").select("key")
     members = shared_table(keyed.join(shared_keys, "key").join(node_of, "doc_id").select("key", "node").distinct(), "members")
+    # a node that links in a band shares at least `least` keys there; the others leave, and keys left with one node too
+    unpacked = F.explode("needed").alias("needed")
+    least = (
+        sets.where("n_shingles > 0").select(F.col("doc_id").alias("node"), unpacked)
+        .select("node", (F.col("needed") % 64).alias("band"), F.shiftright("needed", 6).alias("least"))
+        .groupBy("node", "band").agg(F.min("least").alias("least"))
+    )
+    band = F.pmod("key", F.lit(64)).cast("int").alias("band")
+    for _ in range(2):
+        linkable = members.join(members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "key", "left_semi")
+        counts = linkable.groupBy("node", band).agg(F.count("*").alias("n")).join(least, ["node", "band"]).where("n >= least")
+        kept = linkable.select("key", "node", band).join(counts.select("node", "band"), ["node", "band"], "left_semi")
+        members = shared_table(kept.select("key", "node"), "linkable")
+    # linked nodes share `least` keys, so they still meet when each drops its least - 1 most common ones (by one order of
+    # all keys); those are mostly parts of passages that many documents hold
+    common = members.groupBy("key").agg(F.count("*").alias("n"))
+    turn = F.row_number().over(Window.partitionBy("node", "band").orderBy(F.desc("n"), "key"))
+    ranked = members.join(common, "key").where("n > 1").select("key", "node", band, "n").withColumn("turn", turn)
+    members = shared_table(ranked.join(least, ["node", "band"]).where("turn >= least").select("key", "node"), "rare-keys")
     # two similar documents share many keys; of keys with the same members one is enough
     mark = lambda seed: F.bit_xor(F.xxhash64(F.lit(seed), "node"))
     heads = (
@@ -219,12 +269,12 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
 
     def items_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The sets of documents that pass the filter; the join after it is exact."""
-        hashes, bits = WordHashes(), wanted.value
+        bits = wanted.value
         for batch in batches:
             h = mix(batch["doc_id"].to_numpy().view(np.uint64)) & np.uint64(BITS - 1)
             hit = (bits[h >> np.uint64(6)] >> (h & np.uint64(63))) & np.uint64(1)
             for part in rows([batch.filter(pa.array(hit.astype(bool)))]):
-                found = [shingles(x, n, hashes).tobytes() for x in part["bytes"]]
+                found = [shingles(x, n).tobytes() for x in part["bytes"]]
                 yield pa.record_batch([pa.array(part["doc_id"], pa.int64()), pa.array(found, pa.binary())], names=["node", "items"])
 
     items = texts.where("doc_id is not null").mapInArrow(items_of, "node long, items binary").join(nodes, "node", "left_semi")
@@ -265,8 +315,9 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
 
     # large clusters: stars first
     large = clusters.where(F.col("m") > TILE)
+    leads = spokes.groupBy("b").agg(F.min("a").alias("a"))
     tested = (
-        spokes.join(large.select(F.col("node").alias("a")), "a", "left_semi")
+        leads.join(large.select(F.col("node").alias("a")), "a", "left_semi")
         .join(items.select(F.col("node").alias("a"), F.col("items").alias("x")), "a")
         .join(items.select(F.col("node").alias("b"), F.col("items").alias("y")), "b")
         .select("a", "b", "x", "y")
@@ -300,7 +351,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     rest = spread.join(items, "node").groupBy("kind", "unit", "t1", "t2").applyInPandas(tile, "a long, b long")
     rest = shared_table(rest.distinct(), "tile-links")
     labels = components(small.unionByName(star).unionByName(rest))
-    named = classes.join(labels, "node", "left").select(*same, F.coalesce("component", "node").alias("component_id"))
+    named = shared_table(classes.join(labels, "node", "left").select(*same, F.coalesce("component", "node").alias("component_id")), "named")
     return (
         sets.where("n_shingles > 0").join(named, same).select("doc_id", "n_shingles", "component_id")
         .unionByName(sets.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))

@@ -14,6 +14,7 @@ from adloom.llm.language_model import lm_scores
 from adloom.llm.line_dedup import dedup_lines
 from adloom.llm.mixing import mix_sources
 from adloom.llm.near_dup import jaccard_components
+from adloom.llm.oracles import ORACLES  # noqa: F401
 from adloom.llm.quality import quality_scores
 from adloom.llm.secrets import scan_secrets, span_list
 from adloom.llm.sharding import bounded_ring
@@ -35,7 +36,7 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(table(spark, sf_dir, "documents"), n=3, percent=90)
+    return jaccard_components(table(spark, sf_dir, "documents"), n=3, percent=90, store_keys=True)
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,5 +89,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_sharding,
     )
 }
-
-ORACLES: dict[str, str] = {}
