@@ -50,27 +50,42 @@ def item_masks(n: int, min_tokens: int) -> list[tuple[int, ...]]:
     return [m for m in MASKS if m[-1] < n] or [tuple(range(n))]
 
 
-def verify(doc: np.ndarray, item: np.ndarray, shift: int, at: int, share: float, min_match: int) -> tuple[int, int, int] | None:
-    """The best overlap of an alignment (item token i at doc token shift + i) around item token `at`.
+def verify(doc: np.ndarray, item: np.ndarray, shift: int, share: float, min_match: int) -> tuple[int, int, int] | None:
+    """The best overlap of an alignment (item token i at doc token shift + i): start and end in the item, and matches.
 
-    From the hit the overlap grows both ways while matches (+1) outweigh substitutions (-2). It counts when it matches
-    min_match tokens, or four fifths of a short item, and `share` of its length. Returns start and end in the item,
-    and the number of matches.
+    An overlap counts when it matches min_match tokens, or four fifths of a short item, and `share` of its length. From
+    every matching token an overlap grows both ways while matches (+1) outweigh substitutions (-2); of those that count,
+    the one with most matches is taken. Where none counts, it is the stretch with most matches that has `share` at all,
+    so that substitutions near an edge do not hide a passage.
     """
     lo, hi = max(0, -shift), min(len(item), len(doc) - shift)
-    if not lo <= at < hi:
+    if lo >= hi:
         return None
     same = doc[lo + shift : hi + shift] == item[lo:hi]
-    gain = np.where(same, 1, -2)
-    at -= lo
-    right = np.cumsum(gain[at:])
-    left = np.cumsum(gain[: at + 1][::-1])
-    end, start = at + int(right.argmax()) + 1, at - int(left.argmax())
-    matched = int(same[start:end].sum())
+    at = np.flatnonzero(same)
     need = min(min_match, int(np.ceil(share * len(item))))
-    if matched < need or matched < share * (end - start):
+    if len(at) < max(need, 1):
         return None
-    return start + lo, end + lo, matched
+    matches = np.concatenate([[0], np.cumsum(same)])
+    score = np.concatenate([[0], np.cumsum(np.where(same, 1, -2))])
+    # ends are first maxima of the score to the right, starts last minima to the left
+    peaks = np.flatnonzero(score == np.maximum.accumulate(score[::-1])[::-1])
+    lows = np.flatnonzero(score == np.minimum.accumulate(score))
+    end, start = peaks[np.searchsorted(peaks, at + 1)], lows[np.searchsorted(lows, at, "right") - 1]
+    matched = matches[end] - matches[start]
+    counts = (matched >= need) & (matched >= share * (end - start))
+    if not counts.any():
+        # from each match to the farthest end before which at least `share` of the tokens match
+        spare = matches - share * np.arange(len(matches))
+        ahead = np.maximum.accumulate(spare[::-1])[::-1]
+        start, end = at, np.searchsorted(-ahead, 1e-9 - spare[at], "right") - 1
+        end = at[np.searchsorted(at, end) - 1] + 1
+        matched = matches[end] - matches[start]
+        counts = matched >= need
+        if not counts.any():
+            return None
+    k = int(np.where(counts, matched, -1).argmax())
+    return int(start[k]) + lo, int(end[k]) + lo, int(matched[k])
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.8, min_match: int = 12, min_tokens: int = 4) -> DataFrame:
@@ -163,11 +178,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.8, min_
         texts.mapInArrow(doc_hits, "doc_id long, doc_at long, window array<long>, seeds array<long>, spots array<long>"), "windows"
     )
     hits = windows.select("doc_id", "doc_at", F.inline(F.arrays_zip(F.col("seeds").alias("seed"), F.col("spots").alias("spot"))))
-    aligned = (
-        hits.join(known, "seed")
-        .groupBy("doc_id", "doc_at", "item_id", (F.col("spot") - F.col("item_at")).alias("shift"))
-        .agg(F.min("item_at").alias("item_at"))
-    )
+    # an alignment is verified over its whole length, so one row stands for all its hits
+    aligned = hits.join(known, "seed").select("doc_id", "doc_at", "item_id", (F.col("spot") - F.col("item_at")).alias("shift")).distinct()
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -176,7 +188,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.8, min_
                 row = {c: batch[c][k] for c in batch.schema.names}
                 doc, item = row["window"].values.to_numpy(), row["item"].values.to_numpy()
                 shift = row["shift"].as_py()
-                best = verify(doc, item, shift, row["item_at"].as_py(), share, min_match)
+                best = verify(doc, item, shift, share, min_match)
                 if best:
                     start, end, matched = best
                     at = row["doc_at"].as_py() + shift
@@ -189,7 +201,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.8, min_
     overlaps = (
         aligned.join(windows.select("doc_id", "doc_at", "window"), ["doc_id", "doc_at"])
         .join(item_table, "item_id")
-        .select("doc_id", "doc_at", "item_id", "shift", "item_at", "window", "item")
+        .select("doc_id", "doc_at", "item_id", "shift", "window", "item")
         .mapInArrow(check, fields)
     )
     rest = ["doc_start", "doc_end", "item_start", "item_end", "item_tokens"]
