@@ -55,6 +55,19 @@ def history(spark, sf_dir, last: int = 40) -> DataFrame:
     ).withColumn("recently_purchased_item_ids", F.array().cast("array<bigint>"))
 
 
+def behavior(spark, sf_dir, last: int = 40) -> DataFrame:
+    """user_id, recently_clicked_item_ids, recently_purchased_item_ids: a user's last clicked and last purchased items by time."""
+    from pyspark.sql.window import Window
+
+    def recent(flag: str, name: str) -> DataFrame:
+        rows = log(spark, sf_dir).where(F.col(flag) == 1).select("user_id", "item_id", "shown_at", "seq")
+        place = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("shown_at"), F.desc("seq")))
+        kept = rows.withColumn("back", place).where(F.col("back") <= last)
+        return kept.groupBy("user_id").agg(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("back")).alias("b"), "item_id"))), lambda x: x["item_id"]).alias(name))
+
+    return recent("is_clicked", "recently_clicked_item_ids").join(recent("is_purchased", "recently_purchased_item_ids"), "user_id", "full")
+
+
 # SQL pieces
 
 
@@ -106,5 +119,11 @@ evidence AS (SELECT query, pos, r.item_id, coalesce(item_title, '') AS item_titl
   CASE WHEN purchase_cnt > 0 THEN 2 ELSE 1 END AS relevance_signal
   FROM ranked r LEFT JOIN items i ON i.item_id = r.item_id WHERE pos <= 3)"""
 WITH_HISTORY = """recent AS (SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY shown_at DESC, seq DESC) AS back FROM log QUALIFY back <= 40)"""
+#: behaved: the titles of the last clicked, then the last purchased items of a query's best row.
+WITH_BEHAVIOR = """clicked AS (SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY shown_at DESC, seq DESC) AS back FROM log WHERE is_clicked = 1 QUALIFY back <= 40),
+bought AS (SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY shown_at DESC, seq DESC) AS back FROM log WHERE is_purchased = 1 QUALIFY back <= 40),
+acted AS (SELECT b.query, c.item_id, -back AS at_place FROM best b JOIN clicked c ON c.user_id = b.user_id UNION ALL SELECT b.query, o.item_id, 1000 - back FROM best b JOIN bought o ON o.user_id = b.user_id),
+titled AS (SELECT query, item_title, min(at_place) AS at_place FROM acted JOIN items USING (item_id) WHERE item_title <> '' GROUP BY ALL),
+behaved AS (SELECT query, list(item_title ORDER BY at_place) AS titles FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY at_place) AS n FROM titled) WHERE n <= 5 GROUP BY query)"""
 #: Everything the evidence queries need.
 WITH_ALL = ",\n".join((WITH_ITEMS, WITH_USERS, WITH_LOG, WITH_STATS, WITH_EVIDENCE, WITH_HISTORY))

@@ -3,9 +3,10 @@
 from pyspark.sql import functions as F
 
 
+from adloom.functions import lexicons as L
 from adloom.operators import candidates as K
 from adloom.operators import understanding as U
-from adloom.plans.base import WITH_ALL, checked, log, norm
+from adloom.plans.base import WITH_ALL, WITH_BEHAVIOR, checked, log, norm, quoted
 from adloom.plans.evidence_queries import COPY, SHOWN, a5_evidence_topk
 
 HINTS = f"""nq AS (SELECT DISTINCT query, {norm("query")} AS query_text FROM evidence),
@@ -115,6 +116,26 @@ def u7_user_tags(spark, sf_dir):
     return made.select("query", F.array_join("demographic_tags", "|").alias("demographic"), F.col("personalization_strength").alias("strength"))
 
 
+@checked(
+    f"""WITH {WITH_ALL}, {WITH_BEHAVIOR}, p AS (SELECT b.query, u.*, coalesce(titles, []) AS titles FROM best b LEFT JOIN users u ON u.user_id = b.user_id LEFT JOIN behaved t ON t.query = b.query),
+t AS (SELECT *, list_transform(titles, lambda x: regexp_extract(x, '[A-Za-z0-9][A-Za-z0-9\\-]*|[\\x{{4e00}}-\\x{{9fff}}]{{1,4}}')) AS firsts,
+  flatten(list_transform(titles, lambda x: list_filter([{", ".join(map(quoted, L.INTERESTS))}], lambda w: contains(x, w)))) AS found FROM p)
+SELECT query, concat_ws('|', CASE WHEN gender <> '' THEN 'gender=' || gender END, CASE WHEN age_bucket <> '' THEN 'age=' || age_bucket END, CASE WHEN city <> '' THEN 'city=' || city END) AS demographic,
+  array_to_string(list_filter(firsts, lambda x, i: x <> '' AND list_position(firsts, x) = i), '|') AS behavior, array_to_string(list_filter(found, lambda x, i: list_position(found, x) = i), '|') AS interests,
+  CASE WHEN user_id IS NOT NULL AND len(titles) > 0 THEN 'medium' WHEN user_id IS NOT NULL OR len(titles) > 0 THEN 'weak' ELSE 'none' END AS strength FROM t"""
+)
+def u7_behavior_tags(spark, sf_dir):
+    """All tags of the best row's user, with the titles of the items that the user clicked and purchased."""
+    from adloom.operators import evidence as E
+    from adloom.plans.base import behavior, items, users
+
+    best = E.best_record(E.positives(log(spark, sf_dir))).select("query", "user_id")
+    titles = E.recent_behavior_titles(best.join(behavior(spark, sf_dir), "user_id", "left"), items(spark, sf_dir))
+    made = U.user_tags(E.attach_user_profile(best, users(spark, sf_dir)).join(titles, "query"))
+    joined = [F.array_join(f"{c}_tags", "|").alias(name) for c, name in (("demographic", "demographic"), ("behavior", "behavior"), ("interest", "interests"))]
+    return made.select("query", *joined, F.col("personalization_strength").alias("strength"))
+
+
 @checked(
     f"""WITH {WITH_ALL}, {HINTS} SELECT query, CASE WHEN length(query_text) <= 6 THEN 'creative_compact' WHEN category_hint <> '' THEN 'fact_led' ELSE 'balanced_generic' END AS style_id FROM hints"""
 )
@@ -161,8 +182,10 @@ def k4_validate_candidates(spark, sf_dir):
 
 
 def _ranked(spark, sf_dir):
-    rows = _validated(spark, sf_dir).withColumn("selling_points", F.array().cast("array<string>"))
-    return K.rank_candidates(K.score_candidates(rows))
+    top = a5_evidence_topk(spark, sf_dir)
+    intents = U.intent(top)
+    points = U.facts(U.rescore_evidence(top, intents), intents).select("query", "selling_points")
+    return K.rank_candidates(K.score_candidates(_validated(spark, sf_dir).join(points, "query")))
 
 
 SCORED = """scored AS (SELECT *, CASE WHEN issues = '' THEN 48 ELSE greatest(0, 16 - 8 * len(string_split(issues, '|'))) END + 8 * relevance_hits + 18 + CASE WHEN contains(clean, '日常') THEN 4 ELSE 0 END
@@ -172,7 +195,8 @@ rankd AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY rank_score DE
 
 @checked(f"WITH {WITH_ALL}, {HINTS}, {PARSED}, {VALID}, {SCORED} SELECT query, candidate_id, rank_score, rank FROM rankd")
 def k6_rank_candidates(spark, sf_dir):
-    """Every copy has one comma and at most the scene word, so the score's other terms are 0 here; unit tests cover them."""
+    """Every copy has one comma and at most the scene word, and English titles have no selling points of the Chinese
+    lexicon, so the score's other terms are 0 on this data; tests cover them."""
     return _ranked(spark, sf_dir).select("query", "candidate_id", "rank_score", "rank")
 
 

@@ -7,7 +7,7 @@ from adloom.functions.copies import template_copy
 from adloom.functions.text import normalize_query
 from adloom.operators import ctr, datasets, metrics
 from adloom.operators import evidence as E
-from adloom.plans.base import WITH_ALL, checked, history, items, log, norm, table, users
+from adloom.plans.base import WITH_ALL, WITH_BEHAVIOR, behavior, checked, history, items, log, norm, table, users
 from adloom.plans.evidence_queries import CATEGORIES, COPY, SHOWN, a5_evidence_topk
 from adloom.plans.retrieval_queries import TOKENS_SQL, _bench, _bm25_sql, j5_bm25_topk
 
@@ -309,6 +309,22 @@ def d1_pairs_to_chat(spark, sf_dir):
     return chats.select("metadata.query", F.md5(F.col("messages")[1]["content"]).alias("user_md5"))
 
 
+@checked(
+    f"""WITH {WITH_ALL}, {WITH_BEHAVIOR}, blocks AS (SELECT query, coalesce({BLOCK}, '') AS block FROM evidence GROUP BY query),
+p AS (SELECT b.query, concat_ws('，', CASE WHEN u.gender <> '' THEN '性别：' || u.gender END, CASE WHEN u.age_bucket <> '' THEN '年龄段：' || u.age_bucket END, CASE WHEN u.city <> '' THEN '城市：' || u.city END) AS traits, block,
+  coalesce(array_to_string(titles, '；'), '') AS seen FROM best b LEFT JOIN users u ON u.user_id = b.user_id JOIN blocks USING (query) LEFT JOIN behaved t ON t.query = b.query),
+c AS (SELECT *, concat_ws(chr(10), CASE WHEN traits <> '' THEN '用户画像：' || traits END, CASE WHEN seen <> '' THEN '最近行为：' || seen END) AS context FROM p)
+SELECT query, seen <> '' AS has_behavior, md5(concat_ws(chr(10) || chr(10), '根据以下用户搜索词和商品证据，生成一条真实、自然、简洁的中文广告文案。', 'query:' || chr(10) || trim(query), CASE WHEN context <> '' THEN '用户信息:' || chr(10) || context END,
+  CASE WHEN block <> '' THEN 'top-k 商品证据:' || chr(10) || block END, '生成约束：' || chr(10) || '1. 不编造价格、折扣、销量。' || chr(10) || '2. 不编造商品不存在的功效。' || chr(10) || '3. 只输出一条 20~50 字中文广告文案。' || chr(10) || '4. 语气自然，不要夸张营销。',
+  '只输出文案本身，不要解释。')) AS user_md5 FROM c"""
+)
+def d1_pairs_with_behavior(spark, sf_dir):
+    """Prompts with the titles of the items that the best row's user clicked and purchased."""
+    pairs = E.build_train_pairs(log(spark, sf_dir), items(spark, sf_dir), users(spark, sf_dir), behavior(spark, sf_dir))
+    content = F.col("messages")[1]["content"]
+    return datasets.pairs_to_chat(pairs).select("metadata.query", F.contains(content, F.lit("最近行为：")).alias("has_behavior"), F.md5(content).alias("user_md5"))
+
+
 @checked(
     f"""WITH {WITH_ALL}, l AS (SELECT query, max(pos) AS n FROM evidence GROUP BY query), s AS (SELECT query, n, (['train_pairs_user_exact', 'rank_query_exact', 'bm25'])[n] AS source FROM l)
 SELECT query, CASE WHEN source = 'train_pairs_user_exact' THEN CASE WHEN n >= 2 THEN 'high' ELSE 'medium' END WHEN source = 'rank_query_exact' THEN 'medium' ELSE 'low' END AS confidence FROM s"""
