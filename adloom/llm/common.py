@@ -22,9 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; where it is unset (tests), a new temporary folder."""
+    """The folder all executors share: spark.checkpoint.dir; where it is unset, a new temporary folder (local mode only)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-adloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -47,14 +49,24 @@ def ship(spark: SparkSession) -> None:
 def shared_table(df: DataFrame, label: str) -> DataFrame:
     """Write df once as Parquet in the shared folder and read it back: lineage ends here, lost executors lose nothing.
 
-    The files are removed when the driver's file system closes.
+    The files are removed by release(), or when the driver's file system closes.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/adloom/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return spark.read.schema(df.schema).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored._shared_path = path
+    return stored
+
+
+def release(*stored: DataFrame) -> None:
+    """Removes tables of shared_table() that no later plan reads."""
+    for df in stored:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._shared_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def text_of(col: str | Column = "text") -> Column:

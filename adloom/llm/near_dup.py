@@ -3,27 +3,34 @@
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from adloom.llm.common import shared_table, ship, text_of
+from adloom.llm.common import release, shared_table, ship, text_of
 from adloom.llm.components import components
 from adloom.llm.decontaminate import FACTORS
 from adloom.llm.textbytes import mix, rows, word_hashes
 
 #: A band holds sizes from its lower bound up to RATIO times as much.
 RATIO = 1.5
-#: Most documents in a tile, on average.
-TILE = 256
-#: Bits of the filter that finds the candidates' texts again: 16 MB, whatever the table's size.
+#: Most documents, and most shingles, of one side of a tile, on average.
+TILE, TILE_ITEMS = 512, 1 << 22
+#: Most members of one side of a tile of signatures, on average.
+SIGN_TILE = 4096
+#: Counters of the frequency sketch: 16 MB, whatever the table's size; they travel in CHUNKS pieces.
+SKETCH, CHUNKS = 1 << 22, 16
+#: Bits of a filter over ids or keys: 16 MB, whatever the table's size.
 BITS = 1 << 27
+#: Rounds in which the nodes of a large cluster are tested against one other node each, before tiles.
+ROUNDS = 4
 
 
 def shingles(text: bytes, n: int) -> np.ndarray:
@@ -34,85 +41,80 @@ def shingles(text: bytes, n: int) -> np.ndarray:
     size = min(n, len(w))
     total = np.full(len(w) - size + 1, size, np.uint64)
     for k in range(size):
-        total += w[k : k + len(total)] * FACTORS[k]
+        total += w[k : k + len(total)] * FACTORS[k % len(FACTORS)]
     return np.unique(mix(total))
 
 
 @cache
-def bands(percent: int) -> tuple[list[int], list[int], list[int]]:
-    """Upper sizes, parts and spare parts of every band.
-
-    Sets that link differ in at most floor(m * (100 - percent) / percent) elements, m the smaller size. Cut into one
-    part more than that by a hash of the element, they agree on a whole part. With g spare parts they agree on g + 1.
-    """
-    uppers, parts, spares = [], [], []
-    low = 1
+def bands() -> list[int]:
+    """Upper sizes of the bands."""
+    uppers, low = [], 1
     while low < 1 << 40:
-        high = max(low, math.floor(low * RATIO))
-        most = high * (100 - percent) // percent
-        spare = 0
-        for _ in range(3):
-            k = most + 1 + spare
-            spare = 1 + math.ceil(1.2 * k * math.exp(-math.sqrt(low * high) / k)) if most else 0
-        uppers.append(high)
-        parts.append(most + 1 + spare)
-        spares.append(spare)
-        low = high + 1
-    return uppers, parts, spares
+        uppers.append(max(low, math.floor(low * RATIO)))
+        low = uppers[-1] + 1
+    return uppers
 
 
 def bands_of(size: int, percent: int) -> list[int]:
     """The band of a size, and the lower bands that hold sizes it may link to."""
-    uppers = bands(percent)[0]
+    uppers = bands()
     band = own = next(i for i, high in enumerate(uppers) if size <= high)
     while band > 0 and 100 * uppers[band - 1] >= percent * size:
         band -= 1
     return list(range(band, own + 1))
 
 
-def part_places(mixed: np.ndarray, band: int, k: int) -> np.ndarray:
-    """The part of every element (mixed hashes) in a band of k parts."""
-    return ((mixed * FACTORS[11 + band % 50]) >> np.uint64(32)) * np.uint64(k) >> np.uint64(32)
+def set_hashes(sets: list[np.ndarray], seed: int) -> np.ndarray:
+    """A hash of every set, whatever its order."""
+    return np.array([mix(s ^ FACTORS[seed]).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
 
 
-def part_keys(items: np.ndarray, percent: int) -> np.ndarray:
-    """The keys of a set: one for every part, in all bands of bands_of. The last six bits of a key are its band.
+def parity(items: np.ndarray) -> bytes:
+    """A bitmap of 1 to 2 bits an element (256 at least); each bit is the parity of the elements that hash to it.
 
-    A part's key is a hash of the part's elements. Empty parts say nothing: if at most g parts are empty, two linked sets
-    also agree on one that is not, so empty parts get keys only in sets with more than g of them.
+    An element that only one of two sets has flips one bit, so bits that differ are no more than such elements. Halves of
+    a bitmap, one upon the other, are the bitmap of half the width.
     """
-    _, parts, spares = bands(percent)
-    mixed = mix(items ^ FACTORS[7])
-    out = []
-    for band in bands_of(len(items), percent):
-        k, spare = parts[band], spares[band]
-        place = part_places(mixed, band, k).astype(np.uint16 if k < 1 << 16 else np.int64)
-        order = np.argsort(place, kind="stable")
-        filled = np.bincount(place, minlength=k)
-        full = np.flatnonzero(filled)
-        starts = np.concatenate([[0], np.cumsum(filled[full])[:-1]])
-        sums = np.zeros(k, np.uint64)
-        sums[full] = np.add.reduceat(mixed[order], starts)
-        named = np.arange(k) if k - len(full) > spare else full
-        keys = mix(sums[named] + named.astype(np.uint64) * FACTORS[8] + filled[named].astype(np.uint64) * FACTORS[9])
-        out.append(keys >> np.uint64(6) << np.uint64(6) | np.uint64(band % 64))
-    return np.concatenate(out)
-
-
-def shared_keys_needed(items: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """(band, n): how many keys of the band a set has in common with any set that it links to there, at least.
-
-    Linked sets agree on g + 1 parts; of these at most the set's own empty parts have no key.
+    width = 1 << max(8, (len(items) - 1).bit_length())
+    odd = np.bincount(((items >> np.uint64(24)) & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def plausible(sizes: np.ndarray, signs: list[bytes], sides: np.ndarray, percent: int) -> np.ndarray:
+    """Which members of a tile have another (of the other side, if there are two) that the parity bitmaps allow to link."""
+    width = min(map(len, signs)) // 8
+    bits = np.array([np.bitwise_xor.reduce(np.frombuffer(x, np.uint64).reshape(-1, width), axis=0) for x in signs])
+    found = np.zeros(len(signs), bool)
+    one_tile = bool((sides == sides[0]).all())
+    for i in range(len(signs)):
+        if found[i]:
+            continue
+        total = sizes + sizes[i]
+        most = np.minimum((total - np.bitwise_count(bits ^ bits[i]).sum(1, dtype=np.int64)) // 2, np.minimum(sizes, sizes[i]))
+        fits = (100 * most >= percent * (total - most)) & (one_tile | (sides != sides[i]))
+        fits[i] = False
+        if fits.any():
+            found |= fits
+            found[i] = True
+    return found
+
+
+def slots(items: np.ndarray) -> np.ndarray:
+    """The counters of the sketch that elements add to."""
+    return (items & np.uint64(SKETCH - 1)).astype(np.int64)
+
+
+def prefix_keys(items: np.ndarray, sketch: np.ndarray, percent: int) -> np.ndarray:
+    """The keys of a set: its rarest elements, once for each band of bands_of. The last six bits of a key are the band.
+
+    Linked sets share at least percent of the larger one. Under one order of all elements, each set's first
+    size - ceil(percent of size) + 1 elements then have one in common. The order is by the sketch's counter, then by hash:
+    any counters keep this exact, and good ones put passages that many documents hold last.
     """
-    _, parts, spares = bands(percent)
-    mixed = mix(items ^ FACTORS[7])
-    out = []
-    for band in bands_of(len(items), percent):
-        k, spare = parts[band], spares[band]
-        seen = np.zeros(k, bool)
-        seen[part_places(mixed, band, k).astype(np.int64)] = True
-        out.append((band % 64, max(1, spare + 1 - (k - int(seen.sum())))))
-    return out
+    size = len(items)
+    first = items[np.argsort(sketch[slots(items)], kind="stable")[: size - -(-percent * size // 100) + 1]]
+    bare = first >> np.uint64(6) << np.uint64(6)
+    return np.concatenate([bare | np.uint64(band % 64) for band in bands_of(size, percent)])
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -166,21 +168,67 @@ def tile_links(nodes, labels, sides, sets: list[np.ndarray], percent: int) -> li
     return out
 
 
-def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, store_keys: bool = False) -> DataFrame:
+def packed_filter(keys: DataFrame) -> np.ndarray:
+    """A bitmap of BITS bits with the hash of every value of the one column set. At most BITS / 64 rows reach the driver."""
+
+    def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = np.zeros(BITS // 64, np.uint64)
+        for batch in batches:
+            h = mix(batch.column(0).to_numpy().view(np.uint64)) & np.uint64(BITS - 1)
+            np.bitwise_or.at(words, h >> np.uint64(6), np.uint64(1) << (h & np.uint64(63)))
+        at = np.flatnonzero(words)
+        yield pa.record_batch([pa.array(at), pa.array(words[at].view(np.int64))], names=["word", "bits"])
+
+    found = keys.mapInArrow(words_of, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    bits = np.zeros(BITS // 64, np.uint64)
+    bits[found["word"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
+    return bits
+
+
+def passes(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Which values (int64) may be in a packed filter."""
+    h = mix(values.view(np.uint64)) & np.uint64(BITS - 1)
+    return ((bits[h >> np.uint64(6)] >> (h & np.uint64(63))) & np.uint64(1)).astype(bool)
+
+
+def merged_sketch(pieces: DataFrame, fan_in: int = 32) -> np.ndarray:
+    """One sketch of all tasks' pieces (chunk, part, counts): merged by chunk in rounds of `fan_in`, so that no task holds
+    more than that many pieces of one size. Counters stop at the largest 32-bit number."""
+
+    def merge(group: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros(SKETCH // CHUNKS, np.uint64)
+        for packed in group["counts"]:
+            total += np.frombuffer(zlib.decompress(packed), np.uint32)
+        counts = zlib.compress(np.minimum(total, (1 << 32) - 1).astype(np.uint32).tobytes(), 1)
+        return pd.DataFrame({"chunk": group["chunk"].iloc[:1].values, "part": group["part"].iloc[:1].values // fan_in, "counts": [counts]})
+
+    parts = (pieces.agg(F.max("part")).first()[0] or 0) + 1
+    while True:
+        pieces = pieces.groupBy("chunk", F.floor(F.col("part") / fan_in).alias("group")).applyInPandas(merge, "chunk int, part long, counts binary")
+        parts = -(-parts // fan_in)
+        if parts == 1:
+            break
+        pieces = shared_table(pieces, "sketch")
+    sketch = np.zeros((CHUNKS, SKETCH // CHUNKS), np.uint32)
+    for row in pieces.toArrow().to_pylist():
+        sketch[row["chunk"]] = np.frombuffer(zlib.decompress(row["counts"]), np.uint32)
+    return sketch.reshape(-1)
+
+
+def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id.
 
     Two texts link when 100 * intersection >= percent * union over their sets of distinct n-word shingles (A-Z
     lower-cased; a text of fewer words is one shingle). component_id is the smallest doc_id reachable by links.
 
-    Equal sets are one class with its smallest id as node, so copies are never paired. Part keys (see `bands`) bring
-    together every pair that can link; keys of one node, and keys with the members of another key, are dropped, and so are
-    nodes that share fewer keys than any link implies and the most common keys of a node, up to one less than that number. Nodes that keys connect are a cluster. A cluster of up to TILE nodes is one tile. In a larger one every node is first
-    tested against the smallest node that leads one of its keys, which turns a large group of near copies into a star; then the cluster, or
-    each of its keys if that ships less, is cut into tiles, and each pair of tiles is a group of its own. In a group bit
-    counts of hashed bitmaps bound the overlap, sorted arrays decide, documents already linked are not compared, and only
-    links that join components come out. No bucket and no cluster is capped.
-
-    Keys are read twice; store_keys writes them once (about 11 bytes a key) instead of making them twice.
+    Equal sets are one class with its smallest id as node, so copies are never keyed or paired. A first pass counts all
+    shingles in a sketch of fixed size. A node's keys are its rarest shingles in every size band it may link in (see
+    `prefix_keys`): every pair that can link shares one. Keys of one node, and keys with the members of another key, go, and so do
+    members whose small parity bitmap allows a link to no other member of their key. Nodes that keys connect are a cluster; a cluster of up to TILE nodes is one tile. In a larger one, nodes are first
+    tested against one other node each, in a few rounds, which turns a large group of near copies into stars. What is
+    still apart is compared in pairs of tiles: over the cluster (the largest star's nodes only against the others), or
+    over each of its keys if that ships less. In a tile bit counts of hashed bitmaps bound the overlap, sorted arrays
+    decide, documents already linked are not compared, and only links that join components come out. Nothing is capped.
 
     Empty texts, null texts and texts without words have n_shingles 0 and link with nothing. A row without an id can't
     represent its class: it gets its class's component, null if no row of the class has an id. Rows that repeat an id
@@ -191,94 +239,127 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, store_key
     texts = docs.select("doc_id", F.encode(text_of(), "utf-8").alias("bytes"))
 
     def classes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["doc_id", "n_shingles", "h1", "h2", "sign", "chunk", "counts"]
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary()]
+        counts = np.zeros(SKETCH, np.int64)
         for part in rows(batches):
             found = [shingles(x, n) for x in part["bytes"]]
-            h1 = np.array([mix(s ^ FACTORS[1]).sum(dtype=np.uint64) for s in found], np.uint64).view(np.int64)
-            h2 = np.array([mix(s ^ FACTORS[2]).sum(dtype=np.uint64) for s in found], np.uint64).view(np.int64)
             sizes = np.array([len(s) for s in found], np.int64)
-            needed = [[n << 6 | band for band, n in shared_keys_needed(s, percent)] if len(s) else [] for s in found]
-            columns = [pa.array(part["doc_id"], pa.int64()), pa.array(sizes), pa.array(h1), pa.array(h2), pa.array(needed, pa.list_(pa.int32()))]
-            yield pa.record_batch(columns, names=["doc_id", "n_shingles", "h1", "h2", "needed"])
-
-    def keys_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in rows(batches):
-            keys, ids = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-            for doc_id, text in zip(part["doc_id"], part["bytes"], strict=True):
-                items = shingles(text, n)
-                if len(items):
-                    keys.append(part_keys(items, percent))
-                    ids.append(np.full(len(keys[-1]), doc_id, np.int64))
-            yield pa.record_batch([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(ids))], names=["key", "doc_id"])
-
-    sets = shared_table(texts.mapInArrow(classes_of, "doc_id long, n_shingles long, h1 long, h2 long, needed array<int>"), "sets")
+            at = slots(np.concatenate(found)) if found else np.zeros(0, np.int64)
+            if len(at) > SKETCH // 8:
+                counts += np.bincount(at, minlength=SKETCH)
+            else:
+                np.add.at(counts, at, 1)
+            columns = [part["doc_id"], sizes, set_hashes(found, 1), set_hashes(found, 2), [parity(x) for x in found], [None] * len(sizes), [None] * len(sizes)]
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
+        packed = [zlib.compress(c.tobytes(), 1) for c in np.minimum(counts, (1 << 32) - 1).astype(np.uint32).reshape(CHUNKS, -1)]
+        none = [None] * CHUNKS
+        yield pa.record_batch([pa.array(c, t) for c, t in zip([none, none, none, none, none, range(CHUNKS), packed], types, strict=True)], names=names)
+
+    passed = texts.mapInArrow(classes_of, "doc_id long, n_shingles long, h1 long, h2 long, sign binary, chunk int, counts binary")
+    passed = shared_table(passed.withColumn("part", F.spark_partition_id().cast("long")), "sets")
+    sets = passed.where("chunk is null").select("doc_id", "n_shingles", "h1", "h2", "sign")
     same = ["n_shingles", "h1", "h2"]
     classes = shared_table(sets.where("n_shingles > 0").groupBy(*same).agg(F.min("doc_id").alias("node")), "classes")
-    node_of = sets.where("n_shingles > 0 and doc_id is not null").join(classes, same).select("doc_id", "node")
-    node_of = shared_table(node_of, "nodes")
-
-    keyed = texts.where("doc_id is not null").mapInArrow(keys_of, "key long, doc_id long")
-    if store_keys:
-        keyed = shared_table(keyed, "keys")
-    shared_keys = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("low")).where("n > 1").select("key")
-    members = shared_table(keyed.join(shared_keys, "key").join(node_of, "doc_id").select("key", "node").distinct(), "members")
-    # a node that links in a band shares at least `least` keys there; the others leave, and keys left with one node too
-    unpacked = F.explode("needed").alias("needed")
-    least = (
-        sets.where("n_shingles > 0").select(F.col("doc_id").alias("node"), unpacked)
-        .select("node", (F.col("needed") % 64).alias("band"), F.shiftright("needed", 6).alias("least"))
-        .groupBy("node", "band").agg(F.min("least").alias("least"))
-    )
-    band = F.pmod("key", F.lit(64)).cast("int").alias("band")
-    for _ in range(2):
-        linkable = members.join(members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "key", "left_semi")
-        counts = linkable.groupBy("node", band).agg(F.count("*").alias("n")).join(least, ["node", "band"]).where("n >= least")
-        kept = linkable.select("key", "node", band).join(counts.select("node", "band"), ["node", "band"], "left_semi")
-        members = shared_table(kept.select("key", "node"), "linkable")
-    # linked nodes share `least` keys, so they still meet when each drops its least - 1 most common ones (by one order of
-    # all keys); those are mostly parts of passages that many documents hold
-    common = members.groupBy("key").agg(F.count("*").alias("n"))
-    turn = F.row_number().over(Window.partitionBy("node", "band").orderBy(F.desc("n"), "key"))
-    ranked = members.join(common, "key").where("n > 1").select("key", "node", band, "n").withColumn("turn", turn)
-    members = shared_table(ranked.join(least, ["node", "band"]).where("turn >= least").select("key", "node"), "rare-keys")
+    nodes = classes.where("node is not null").select("node").distinct()
+    sketch = spark.sparkContext.broadcast(merged_sketch(passed.where("chunk is not null").select("chunk", "part", "counts")))
+    named_texts = texts.where("doc_id is not null")
+
+    node_bits = spark.sparkContext.broadcast(packed_filter(nodes))
+
+    def keys_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in rows([batch.filter(pa.array(passes(node_bits.value, batch["doc_id"].to_numpy())))]):
+                keys, ids = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+                for doc_id, text in zip(part["doc_id"], part["bytes"], strict=True):
+                    items = shingles(text, n)
+                    if len(items):
+                        keys.append(prefix_keys(items, sketch.value, percent))
+                        ids.append(np.full(len(keys[-1]), doc_id, np.int64))
+                yield pa.record_batch([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(ids))], names=["key", "node"])
+
+    keyed = shared_table(named_texts.mapInArrow(keys_of, "key long, node long"), "keys")
+    shared_keys = shared_table(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "shared-keys")
+    key_bits = spark.sparkContext.broadcast(packed_filter(shared_keys))
+
+    def shared_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(passes(key_bits.value, batch["key"].to_numpy())))
+
+    # both filters may let others through; the joins after them are exact
+    members = keyed.mapInArrow(shared_only, "key long, node long").join(shared_keys, "key", "left_semi").join(nodes, "node", "left_semi").distinct()
+    members = shared_table(members, "members")
+    release(keyed, shared_keys)
     # two similar documents share many keys; of keys with the same members one is enough
     mark = lambda seed: F.bit_xor(F.xxhash64(F.lit(seed), "node"))
     heads = (
         members.groupBy("key")
         .agg(F.min("node").alias("head"), F.count("*").alias("n"), mark(1).alias("m1"), mark(2).alias("m2"))
         .where("n > 1")
-        .groupBy("n", "m1", "m2")
-        .agg(F.min("key").alias("key"), F.min("head").alias("head"))
+        .groupBy("n", "m1", "m2", "head")
+        .agg(F.min("key").alias("key"))
         .select("key", "head")
     )
-    members = shared_table(members.join(heads, "key"), "buckets")
-    nodes = shared_table(members.select("node").distinct(), "candidates")
+    buckets = shared_table(members.join(heads.select("key"), "key"), "buckets")
+    release(members)
+    # members stay with a key if their parity bitmap allows a link to another member; a hot key's members are dealt to
+    # pairs of tiles
+    tiles = F.ceil(F.col("n") / SIGN_TILE).cast("int")
+    own = ["n_shingles", "h1", "h2"]
+    signed = classes.where("node is not null").join(sets.where("doc_id is not null"), own).where("doc_id = node").groupBy("node").agg(F.min(F.struct("n_shingles", "sign")).alias("kept"))
+    dealt = (
+        buckets.join(buckets.groupBy("key").agg(F.count("*").alias("n")), "key")
+        .withColumn("side", F.pmod(F.xxhash64("node"), tiles).cast("int"))
+        .select("key", "node", "side", F.explode(F.sequence(F.lit(0), tiles - 1)).alias("other"))
+        .select("key", "node", "side", F.least("side", "other").alias("t1"), F.greatest("side", "other").alias("t2"))
+        .join(signed, "node")
+        .select("key", "t1", "t2", "node", "side", F.col("kept.n_shingles").alias("size"), "kept.sign")
+        .repartition("key", "t1", "t2").sortWithinPartitions("key", "t1", "t2")
+    )
 
-    def filter_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = np.zeros(BITS // 64, np.uint64)
-        for batch in batches:
-            h = mix(batch["node"].to_numpy().view(np.uint64)) & np.uint64(BITS - 1)
-            np.bitwise_or.at(words, h >> np.uint64(6), np.uint64(1) << (h & np.uint64(63)))
-        at = np.flatnonzero(words)
-        yield pa.record_batch([pa.array(at), pa.array(words[at].view(np.int64))], names=["word", "bits"])
-
-    # at most BITS / 64 rows reach the driver
-    filled = nodes.mapInArrow(filter_words, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
-    bits = np.zeros(BITS // 64, np.uint64)
-    bits[filled["word"].to_numpy()] = filled["bits"].to_numpy().view(np.uint64)
-    wanted = spark.sparkContext.broadcast(bits)
+    def allowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come in tiles, one after the other; the last tile of a batch may go on in the next."""
+        held = None
+        for batch in chain(batches, [None]):
+            if batch is not None:
+                held = batch if held is None else pa.concat_batches([held, batch])
+            if held is None or not held.num_rows:
+                continue
+            unit = np.stack([held[c].to_numpy().astype(np.int64) for c in ("key", "t1", "t2")])
+            starts = np.flatnonzero(np.r_[True, (unit[:, 1:] != unit[:, :-1]).any(0)])
+            ends = np.r_[starts[1:], held.num_rows]
+            if batch is not None:
+                starts, ends = starts[:-1], ends[:-1]
+            sizes, sides, signs = held["size"].to_numpy(), held["side"].to_numpy(), held["sign"].to_pylist()
+            keep = np.zeros(held.num_rows, bool)
+            for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
+                if b - a > 1:
+                    keep[a:b] = plausible(sizes[a:b], signs[a:b], sides[a:b], percent)
+            yield held.filter(pa.array(keep)).select(["key", "node"])
+            held = held.slice(int(ends[-1])) if len(ends) else held
+            if batch is None:
+                return
+
+    members = shared_table(dealt.mapInArrow(allowed, "key long, node long").distinct(), "allowed")
+    release(buckets)
+    members = members.join(members.groupBy("key").agg(F.min("node").alias("head")), "key")
+    wanted = shared_table(members.select("node").distinct(), "candidates")
+    wanted_bits = spark.sparkContext.broadcast(packed_filter(wanted))
 
     def items_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The sets of documents that pass the filter; the join after it is exact."""
-        bits = wanted.value
         for batch in batches:
-            h = mix(batch["doc_id"].to_numpy().view(np.uint64)) & np.uint64(BITS - 1)
-            hit = (bits[h >> np.uint64(6)] >> (h & np.uint64(63))) & np.uint64(1)
-            for part in rows([batch.filter(pa.array(hit.astype(bool)))]):
-                found = [shingles(x, n).tobytes() for x in part["bytes"]]
-                yield pa.record_batch([pa.array(part["doc_id"], pa.int64()), pa.array(found, pa.binary())], names=["node", "items"])
-
-    items = texts.where("doc_id is not null").mapInArrow(items_of, "node long, items binary").join(nodes, "node", "left_semi")
-    items = shared_table(items.groupBy("node").agg(F.min("items").alias("items")), "items")
+            for part in rows([batch.filter(pa.array(passes(wanted_bits.value, batch["doc_id"].to_numpy())))]):
+                found = [shingles(x, n) for x in part["bytes"]]
+                sizes = [len(x) for x in found]
+                columns = [pa.array(part["doc_id"], pa.int64()), pa.array(sizes, pa.int64()), pa.array(set_hashes(found, 1)), pa.array([x.tobytes() for x in found], pa.binary())]
+                yield pa.record_batch(columns, names=["node", "size", "h1", "items"])
+
+    # where an id is repeated with other texts, the row with the class's set is the node; the ids come first, so that
+    # sets move once
+    own = classes.join(wanted, "node", "left_semi").select("node", F.col("n_shingles").alias("own_size"), F.col("h1").alias("own_h1"))
+    items = named_texts.mapInArrow(items_of, "node long, size long, h1 long, items binary").join(own, "node").where("size = own_size and h1 = own_h1")
+    items = shared_table(items.groupBy("node").agg(F.first("size").alias("size"), F.min("items").alias("items")), "items")
+    sizes = items.select("node", "size")
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in rows(batches):
@@ -296,63 +377,99 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, store_key
             yield pa.record_batch([pa.array(c, pa.int64()) for c in out], names=["a", "b"])
 
     def tile(group: pd.DataFrame) -> pd.DataFrame:
-        sets = [np.frombuffer(x, np.uint64) for x in group["items"]]
-        found = tile_links(group["node"], group["label"], group["side"], sets, percent)
+        found = tile_links(group["node"], group["label"], group["side"], [np.frombuffer(x, np.uint64) for x in group["items"]], percent)
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    spokes = shared_table(members.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), "spokes")
-    clusters = components(spokes).withColumnRenamed("component", "cluster")
-    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("m"))
-    clusters = shared_table(clusters.join(sizes, "cluster"), "clusters")
+    spokes = members.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
+    clusters = components(spokes).withColumnRenamed("component", "cluster").join(sizes, "node")
+    measured = clusters.groupBy("cluster").agg(F.count("*").alias("m"), F.sum("size").alias("total"))
+    clusters = shared_table(clusters.join(measured, "cluster"), "clusters")
+    is_small = (F.col("m") <= TILE) & (F.col("total") <= TILE_ITEMS)
 
-    # a small cluster is one group
     small = (
-        clusters.where(F.col("m") <= TILE).join(items, "node")
+        clusters.where(is_small).join(items.drop("size"), "node")
         .select("cluster", "node", F.col("node").alias("label"), F.lit(0).alias("side"), "items")
         .groupBy("cluster").applyInPandas(tile, "a long, b long")
     )
-    small = shared_table(small, "small-links")
-
-    # large clusters: stars first
-    large = clusters.where(F.col("m") > TILE)
-    leads = spokes.groupBy("b").agg(F.min("a").alias("a"))
-    tested = (
-        leads.join(large.select(F.col("node").alias("a")), "a", "left_semi")
-        .join(items.select(F.col("node").alias("a"), F.col("items").alias("x")), "a")
-        .join(items.select(F.col("node").alias("b"), F.col("items").alias("y")), "b")
-        .select("a", "b", "x", "y")
-        .mapInArrow(test, "a long, b long")
-    )
-    star = shared_table(tested, "star")
-    labels = components(star).withColumnRenamed("component", "label")
-    labelled = shared_table(
-        large.join(labels, "node", "left").select("cluster", "m", "node", F.coalesce("label", "node").alias("label")), "labelled"
+    links = shared_table(small, "small-links")
+    large = shared_table(clusters.where(~is_small).select("cluster", "node", "size"), "large")
+    if not large.isEmpty():
+        links = links.unionByName(_large_links(large, members, items, test, tile))
+    labels = components(links)
+    named = shared_table(classes.join(labels, "node", "left").select(*same, F.coalesce("component", "node").alias("component_id")), "named")
+    return (
+        sets.where("n_shingles > 0").join(named, same).select("doc_id", "n_shingles", "component_id")
+        .unionByName(sets.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
     )
-    pieces = lambda n: n * F.ceil(n / TILE)
+
+
+def _large_links(large: DataFrame, members: DataFrame, items: DataFrame, test, tile) -> DataFrame:
+    """Links of the clusters that are no single tile: rounds of stars, then tiles. large: cluster, node, size."""
+    labels = large.select("node", F.col("node").alias("label"))
+    inside = shared_table(members.join(large.select("node"), "node", "left_semi").select("key", "node"), "large-members")
+    links = None
+    for turn in range(ROUNDS):
+        labelled = inside.join(labels, "node")
+        order = F.col("node") if turn == 0 else F.xxhash64(F.lit(turn), "node")
+        end = F.struct(order.alias("order"), "node", "label")
+        ends = labelled.groupBy("key").agg(F.min(end).alias("low"), F.max(end).alias("high")).where("low.label <> high.label")
+        other = F.when(F.col("low.label") == F.col("label"), F.col("high")).otherwise(F.col("low"))
+        pairs = labelled.join(ends, "key").select("node", other.alias("other")).groupBy("node").agg(F.min("other")["node"].alias("a"))
+        tested = (
+            pairs.select("a", F.col("node").alias("b"))
+            .join(items.select(F.col("node").alias("a"), F.col("items").alias("x")), "a")
+            .join(items.select(F.col("node").alias("b"), F.col("items").alias("y")), "b")
+            .select("a", "b", "x", "y")
+            .mapInArrow(test, "a long, b long")
+        )
+        found = shared_table(tested, "star")
+        links = found if links is None else links.unionByName(found)
+        new = components(links).withColumnRenamed("component", "label")
+        before = labels.select("label").distinct().count()
+        labels = shared_table(large.select("node").join(new, "node", "left").select("node", F.coalesce("label", "node").alias("label")), "star-labels")
+        if labels.select("label").distinct().count() > 0.8 * before:
+            break
+    labelled = large.join(labels, "node")
+    # the largest label of a cluster is side B: its nodes are compared with the others, never among themselves
+    by_label = labelled.groupBy("cluster", "label").agg(F.count("*").alias("m"), F.sum("size").alias("total"))
+    top = F.max(F.struct("m", "label", "total"))
+    tiles = lambda m, total: F.greatest(F.ceil(m / TILE), F.ceil(total / TILE_ITEMS)).cast("int")
+    shape = by_label.groupBy("cluster").agg(top.alias("top"), F.sum("m").alias("m"), F.sum("total").alias("total")).where("m > top.m")
+    shape = shape.select(
+        "cluster", F.col("top.label").alias("top"), "m", F.col("top.m").alias("m_top"),
+        tiles(F.col("m") - F.col("top.m"), F.col("total") - F.col("top.total")).alias("t_rest"), tiles(F.col("top.m"), F.col("top.total")).alias("t_top"),
+    )
+    labelled = shared_table(labelled.join(shape, "cluster"), "labelled")
     split_keys = (
-        members.join(labelled, "node")
+        inside.join(labelled, "node")
         .groupBy("key", "cluster")
-        .agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n"), F.first("m").alias("m"))
+        .agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n"), F.sum("size").alias("total"))
         .where("low <> high")
+        .withColumn("tiles", tiles(F.col("n"), F.col("total")))
     )
+    split_keys = shared_table(split_keys, "split-keys")
     # a cluster is compared as a whole or by its keys, whichever ships fewer rows
-    by_key = split_keys.groupBy("cluster").agg((F.sum(pieces(F.col("n"))) < F.first(pieces(F.col("m")))).alias("by_key"))
-    by_key = shared_table(by_key, "plan")
-    whole = labelled.join(by_key.where("not by_key"), "cluster").select(F.lit(0).alias("kind"), F.col("cluster").alias("unit"), "node", "label", F.col("m").alias("n"))
-    keys = split_keys.join(by_key.where("by_key"), "cluster").select("key", "n")
-    parts = members.join(keys, "key").join(labelled.select("node", "label"), "node").select(F.lit(1).alias("kind"), F.col("key").alias("unit"), "node", "label", "n")
+    whole_rows = (F.col("m") - F.col("m_top")) * (F.col("t_rest") + F.col("t_top")) + F.col("m_top") * F.col("t_rest")
+    ships = split_keys.groupBy("cluster").agg(F.sum(F.col("n") * F.col("tiles")).alias("by_keys"))
+    choice = shared_table(shape.select("cluster", whole_rows.alias("whole")).join(ships, "cluster").select("cluster", (F.col("by_keys") < F.col("whole")).alias("by_key")), "choice")
+
+    def side(first: Column, count: Column) -> Column:
+        return first + F.pmod(F.xxhash64("node"), count).cast("int")
+
+    is_top = F.col("label") == F.col("top")
+    whole = labelled.join(choice.where("not by_key"), "cluster").select(
+        F.lit(0).alias("kind"), F.col("cluster").alias("unit"), "node", "label",
+        F.when(is_top, side(F.col("t_rest"), F.col("t_top"))).otherwise(side(F.lit(0), F.col("t_rest"))).alias("side"),
+        F.when(is_top, F.col("t_rest")).otherwise(F.col("t_rest") + F.col("t_top")).alias("others"),
+    )
+    keys = split_keys.join(choice.where("by_key"), "cluster").select("key", "tiles")
+    parts = inside.join(keys, "key").join(labelled.select("node", "label"), "node").select(
+        F.lit(1).alias("kind"), F.col("key").alias("unit"), "node", "label", side(F.lit(0), F.col("tiles")).alias("side"), F.col("tiles").alias("others")
+    )
     spread = (
         whole.unionByName(parts)
-        .withColumn("tiles", F.ceil(F.col("n") / TILE).cast("int"))
-        .withColumn("side", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
         .select("kind", "unit", "node", "label", "side", F.least("side", "other").alias("t1"), F.greatest("side", "other").alias("t2"))
     )
-    rest = spread.join(items, "node").groupBy("kind", "unit", "t1", "t2").applyInPandas(tile, "a long, b long")
-    rest = shared_table(rest.distinct(), "tile-links")
-    labels = components(small.unionByName(star).unionByName(rest))
-    named = shared_table(classes.join(labels, "node", "left").select(*same, F.coalesce("component", "node").alias("component_id")), "named")
-    return (
-        sets.where("n_shingles > 0").join(named, same).select("doc_id", "n_shingles", "component_id")
-        .unionByName(sets.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
-    )
+    rest = spread.join(items.drop("size"), "node").groupBy("kind", "unit", "t1", "t2").applyInPandas(tile, "a long, b long")
+    return links.unionByName(shared_table(rest.distinct(), "tile-links"))

@@ -10,13 +10,13 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from adloom.llm import queries
+from adloom.llm import near_dup, queries
 from adloom.llm.decontaminate import contaminated, seeds, tokens
 from adloom.llm.exact_dedup import exact_dedup
 from adloom.llm.language_model import CLASSES, lm_scores, log_gamma, tree_model
 from adloom.llm.line_dedup import dedup_lines
 from adloom.llm.mixing import mix_sources, sainte_lague, targets
-from adloom.llm.near_dup import bands, jaccard_components, linked, part_keys, shingles, tile_links
+from adloom.llm.near_dup import SKETCH, bands, jaccard_components, linked, parity, plausible, prefix_keys, shingles, tile_links
 from adloom.llm.quality import quality_scores
 from adloom.llm.secrets import scan_secrets, span_list
 from adloom.llm.sharding import bounded_ring
@@ -95,8 +95,10 @@ def test_near_duplicates(docs, rows):
         assert {i: (r["n_shingles"], r["component_id"]) for i, r in got.items()} == want
 
 
-def test_near_duplicates_of_a_large_cluster(spark):
+def test_near_duplicates_of_a_large_cluster(spark, monkeypatch):
     """More copies than a tile holds, some linked only through others."""
+    monkeypatch.setattr(near_dup, "TILE", 64)
+    monkeypatch.setattr(near_dup, "SIGN_TILE", 100)
     rng = random.Random(11)
     base = words(rng, 150, 5000).split()
     out = {}
@@ -110,9 +112,12 @@ def test_near_duplicates_of_a_large_cluster(spark):
 
 
 @pytest.mark.parametrize("percent", [80, 90])
-def test_part_keys_bring_every_link_together(percent):
+def test_prefix_keys_bring_every_link_together(percent):
+    """Whatever the sketch holds: counts, noise or nothing."""
     rng = np.random.default_rng(percent)
-    for _ in range(400):
+    sketches = [rng.integers(0, most, SKETCH).astype(np.uint32) for most in (1, 3, 1000)]
+    for turn in range(300):
+        sketch = sketches[turn % 3]
         size = int(rng.integers(1, 400))
         a = np.unique(rng.integers(0, 1 << 63, size).astype(np.uint64))
         b = a.copy()
@@ -120,8 +125,22 @@ def test_part_keys_bring_every_link_together(percent):
             b = np.delete(b, rng.integers(0, len(b))) if rng.random() < 0.5 and len(b) > 1 else np.append(b, rng.integers(0, 1 << 63).astype(np.uint64))
         b = np.unique(b)
         if linked(a, b, percent):
-            assert set(part_keys(a, percent).tolist()) & set(part_keys(b, percent).tolist())
-    assert len(bands(percent)[0]) < 64 - 11 + 20
+            assert set(prefix_keys(a, sketch, percent).tolist()) & set(prefix_keys(b, sketch, percent).tolist())
+    assert len(bands()) < 80
+
+
+def test_parity_bitmaps_never_hide_a_link():
+    rng = np.random.default_rng(4)
+    apart = 0
+    for _ in range(300):
+        a = np.unique(rng.integers(0, 1 << 63, int(rng.integers(1, 3000))).astype(np.uint64))
+        gone = rng.random(len(a)) < rng.choice((0.02, 0.1, 0.5))
+        b = np.unique(np.r_[a[~gone], rng.integers(0, 1 << 63, int(gone.sum())).astype(np.uint64)])
+        sizes, signs = np.array([len(a), len(b)]), [parity(a), parity(b)]
+        kept = plausible(sizes, signs, np.zeros(2, int), 80)
+        assert kept[0] == kept[1] and (kept[0] or not linked(a, b, 80))
+        apart += not kept[0]
+    assert apart > 50
 
 
 def test_tile_links_span_the_components():
