@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -99,7 +97,10 @@ def lexical_overlap_topk(queries: DataFrame, docs: DataFrame, k: int = 3, query_
 
 
 def bm25_topk(queries: DataFrame, docs: DataFrame, k: int = 100, query_id: str = "query_id", doc_id: str = "doc_id", query_text: Column | None = None, doc_text: Column | None = None) -> DataFrame:
-    """query, pos, doc, score by BM25 with k1 1.2, b 0.75 and idf ln(1 + (N - df + 0.5) / (df + 0.5)); lower ids first of equals."""
+    """query, pos, doc, score by BM25 with k1 1.2, b 0.75 and idf ln(1 + (N - df + 0.5) / (df + 0.5)); lower ids first of equals.
+
+    A term counts in whole millionths, so that a score does not depend on the order of its terms.
+    """
     asked = _query_tokens(queries, query_id, F.col("text") if query_text is None else query_text)
     terms, sizes = _doc_terms(docs, doc_id, F.col("text") if doc_text is None else doc_text, asked.select("token").distinct())
     whole = sizes.agg(F.count("*").alias("n_docs"), F.avg("n_tokens").alias("mean_tokens"))  # one row
@@ -109,10 +110,11 @@ def bm25_topk(queries: DataFrame, docs: DataFrame, k: int = 100, query_id: str =
     tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n_tokens") / F.col("mean_tokens")))
     scored = (
         asked.join(weights, "token").join(terms, "token").join(sizes, doc_id)
-        .groupBy(query_id, doc_id).agg(F.round(F.sum(F.col("idf") * tf), 6).alias("score"))
+        .groupBy(query_id, doc_id).agg(F.sum(F.round(F.col("idf") * tf * 1e6).cast("bigint")).alias("millionths"))
     )
-    by = Window.partitionBy(query_id).orderBy(F.desc("score"), doc_id)
-    return scored.withColumn("pos", F.row_number().over(by)).where(F.col("pos") <= k).select(query_id, "pos", doc_id, "score")
+    by = Window.partitionBy(query_id).orderBy(F.desc("millionths"), doc_id)
+    top = scored.withColumn("pos", F.row_number().over(by)).where(F.col("pos") <= k)
+    return top.select(query_id, "pos", doc_id, (F.col("millionths") / 1e6).alias("score"))
 
 
 def expand_corpus(docs: DataFrame, generated: DataFrame, doc_id: str = "doc_id", order: str = "seq") -> DataFrame:
@@ -124,34 +126,30 @@ def expand_corpus(docs: DataFrame, generated: DataFrame, doc_id: str = "doc_id",
     )
 
 
-def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = 10, block_rows: int = 4096) -> DataFrame:
+def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = 10, block_rows: int = 4096, chunk_rows: int = 65536) -> DataFrame:
     """query_id, pos, id, score: the k highest inner products. Both tables are (id, embedding).
 
-    Queries are cut into blocks of at most `block_rows`; vectors meet one block at a time (a stated query set against all
-    rows), each task keeps its k best per query, and a window merges them. A block is broadcast; its size is the bound.
+    Queries are dealt to blocks and vectors to chunks of about so many rows; each pair of a block and a chunk is a group of
+    one job, which keeps its k best per query, and a window merges them. Nothing passes through the driver but two counts.
     """
-    n_blocks = -(-queries.count() // block_rows)
-    best = None
-    for block in range(n_blocks):
-        part = queries.where(F.pmod(F.xxhash64("id"), F.lit(n_blocks)) == block).toPandas()
-        if part.empty:
-            continue
-        ids, matrix = part["id"].to_numpy(), np.stack(part["embedding"].to_numpy()).astype(np.float32)
-        shared = queries.sparkSession.sparkContext.broadcast((ids, matrix))
-
-        def near(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            ids, matrix = shared.value
-            for batch in batches:
-                own, other = batch["id"].to_numpy(), np.stack(batch["embedding"].to_numpy()).astype(np.float32)
-                score = np.round((matrix.astype(np.float64) @ other.astype(np.float64).T), 6)
-                order = np.lexsort((np.broadcast_to(own, score.shape), -score), axis=1)[:, :k]
-                rows = np.repeat(np.arange(len(ids)), order.shape[1])
-                yield pd.DataFrame({"query_id": ids[rows], "id": own[order.ravel()], "score": score[rows, order.ravel()]})
-
-        found = vectors.select("id", "embedding").mapInPandas(near, "query_id long, id long, score double")
-        best = found if best is None else best.unionByName(found)
-    if best is None:
-        return vectors.sparkSession.createDataFrame([], "query_id long, pos int, id long, score double")
+    blocks, chunks = (max(1, -(-n // size)) for n, size in ((queries.count(), block_rows), (vectors.count(), chunk_rows)))
+
+    def dealt(df: DataFrame, own: str, n_own: int, other: str, n_other: int) -> DataFrame:
+        return df.select(
+            "id", "embedding", F.pmod(F.xxhash64("id"), F.lit(n_own)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))).alias(other)
+        ).groupBy("block", "chunk")
+
+    def near(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        if asked.empty or held.empty:
+            return pd.DataFrame({"query_id": [], "id": [], "score": []}).astype({"query_id": "int64", "id": "int64", "score": "float64"})
+        ids, own = asked["id"].to_numpy(), held["id"].to_numpy()
+        matrix, other = (np.stack(x["embedding"].to_numpy()).astype(np.float32).astype(np.float64) for x in (asked, held))
+        score = np.round(matrix @ other.T, 6)
+        order = np.lexsort((np.broadcast_to(own, score.shape), -score), axis=1)[:, :k]
+        rows = np.repeat(np.arange(len(ids)), order.shape[1])
+        return pd.DataFrame({"query_id": ids[rows], "id": own[order.ravel()], "score": score[rows, order.ravel()]})
+
+    best = dealt(queries, "block", blocks, "chunk", chunks).cogroup(dealt(vectors, "chunk", chunks, "block", blocks)).applyInPandas(near, "query_id long, id long, score double")
     by = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return best.withColumn("pos", F.row_number().over(by)).where(F.col("pos") <= k).select("query_id", "pos", "id", "score")
 
