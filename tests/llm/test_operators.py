@@ -10,10 +10,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from adloom.llm import near_dup, queries
+from adloom.llm import language_model, near_dup, queries
 from adloom.llm.decontaminate import contaminated, seeds, tokens
 from adloom.llm.exact_dedup import exact_dedup
-from adloom.llm.language_model import CLASSES, lm_scores, log_gamma, tree_model
+from adloom.llm.language_model import DEPTH, context_rows, joined, lm_scores, log_gamma, lookup_tables, tree_model
 from adloom.llm.line_dedup import dedup_lines
 from adloom.llm.mixing import mix_sources, sainte_lague, targets
 from adloom.llm.near_dup import SKETCH, bands, jaccard_components, linked, parity, plausible, prefix_keys, shingles, tile_links
@@ -211,48 +211,88 @@ def test_language_model(docs, rows):
         assert (r["n_tokens"], r["n_known"], r["train_tokens"], r["held_out"]) == (len(w) + 1, sum(z in train for z in w) + 1, total, brute.crc(i) % 10 == 0)
 
 
-def test_tree_model_is_a_distribution_and_matches_a_plain_tree():
-    """The tables against context-tree weighting with a node per context and bit prefix."""
-    rng = random.Random(4)
-    data = [(rng.randrange(3), rng.randrange(2), rng.randrange(2), rng.choice((65, 66, 200))) for _ in range(300)]
-    cells = Counter(((a * CLASSES + b) * CLASSES + c) * 256 + d for a, b, c, d in data)
-    model = tree_model(np.array(list(cells)), np.array(list(cells.values()))).reshape(-1, 256)
-    for context in (0, (1 * CLASSES + 1) * CLASSES + 1, 63999):
-        assert (10 ** model[context].astype(float)).sum() == pytest.approx(1, rel=1e-4)
-
-    def nodes(depth):
-        out = defaultdict(lambda: [0, 0])
-        for a, b, c, d in data:
-            for level in range(8):
-                prefix = (1 << level) | (d >> (8 - level))
-                out[(a, b, c)[:depth], prefix][(d >> (7 - level)) & 1] += 1
-        return out
-
-    trees = [nodes(k) for k in range(4)]
+def plain_tree(texts, kept):
+    """P(bytes) of a text by context-tree weighting over the kept contexts, with dictionaries and recursion."""
+    pad = bytes(DEPTH)
+    seen = defaultdict(lambda: defaultdict(lambda: [0, 0]))
+
+    def path(data, i):
+        return [data[i - d : i][::-1] for d in range(DEPTH + 1)]
+
+    def bits(byte):
+        return [((1 << k) | (byte >> (8 - k)), (byte >> (7 - k)) & 1) for k in range(8)]
+
+    for x in texts:
+        data = pad + x + b"\xff"
+        for i in range(DEPTH, len(data)):
+            for s in path(data, i):
+                if s in kept:
+                    for node, bit in bits(data[i]):
+                        seen[s][node][bit] += 1
+    children = defaultdict(list)
+    for s in kept:
+        if s:
+            children[s[:-1]].append(s)
 
     def kt(n):
         return math.lgamma(n[0] + 0.5) + math.lgamma(n[1] + 0.5) - math.log(math.pi) - math.lgamma(sum(n) + 1)
 
-    def weighted(context, prefix):
-        own = kt(trees[len(context)].get((context, prefix), [0, 0]))
-        if len(context) == 3:
+    def rest(s, node):
+        return [seen[s][node][b] - sum(seen[c][node][b] for c in children[s]) for b in (0, 1)]
+
+    def inner(s, node):
+        return kt(rest(s, node)) + sum(weighted(c, node) for c in children[s])
+
+    def weighted(s, node):
+        return np.logaddexp(kt(seen[s][node]), inner(s, node)) - math.log(2) if children[s] else kt(seen[s][node])
+
+    def predict(s, node, bit, way):
+        n = seen[s][node]
+        own = (n[bit] + 0.5) / (sum(n) + 1)
+        if not children[s]:
             return own
-        below = sum(weighted((*context, s), prefix) for s in range(3))
-        return np.logaddexp(own, below) - math.log(2)
-
-    def predict(context, prefix, bit, full):
-        n = trees[len(context)].get((context, prefix), [0, 0])
-        p = (n[bit] + 0.5) / (sum(n) + 1)
-        if len(context) == 3:
-            return p
-        below = sum(weighted((*context, s), prefix) for s in range(3))
-        share = 1 / (1 + math.exp(below - kt(n)))
-        return share * p + (1 - share) * predict((*context, full[len(context)]), prefix, bit, full)
-
-    for full in ((0, 0, 0), (2, 1, 1)):
-        for byte in (65, 200, 7):
-            want = sum(math.log10(predict((), (1 << k) | (byte >> (8 - k)), (byte >> (7 - k)) & 1, full)) for k in range(8))
-            assert model[(full[0] * CLASSES + full[1]) * CLASSES + full[2], byte] == pytest.approx(want, abs=1e-4)
+        share = 1 / (1 + math.exp(inner(s, node) - kt(n)))
+        longer = next((w for w in way if len(w) == len(s) + 1), None)
+        if longer in kept:
+            return share * own + (1 - share) * predict(longer, node, bit, way) if sum(seen[longer][node]) else own
+        left = rest(s, node)
+        return share * own + (1 - share) * (left[bit] + 0.5) / (sum(left) + 1) if sum(left) else own
+
+    def log10(x):
+        data = pad + x + b"\xff"
+        return sum(math.log10(predict(b"", node, bit, path(data, i))) for i in range(DEPTH, len(data)) for node, bit in bits(data[i]))
+
+    return log10
+
+
+def test_scores_match_a_plain_tree(spark, monkeypatch):
+    """End to end, with fewer contexts kept than occur."""
+    monkeypatch.setattr(language_model, "FEWEST", 40)
+    rng = random.Random(4)
+    texts = {i: "".join(rng.choice(("ab", "ba", "c ", "é", "B")) for _ in range(rng.randrange(25))) for i in range(25)} | {30: None, 31: ""}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    train = [(x or "").encode() for i, x in texts.items() if brute.crc(i) % 10]
+    counts = Counter()
+    for x in train:
+        data = bytes(DEPTH) + x + b"\xff"
+        counts.update((d, data[i - d : i][::-1]) for i in range(DEPTH, len(data)) for d in range(DEPTH + 1))
+    kept = {s for d, s in sorted(counts, key=lambda c: (-counts[c], c[0], c[1]))[:40]}
+    log10 = plain_tree(train, kept)
+    for i, r in by_id(lm_scores(docs)).items():
+        assert r["score"] == pytest.approx(log10((texts[i] or "").encode()), rel=2e-3), i
+
+
+def test_tree_rows_are_distributions():
+    rng = random.Random(4)
+    context, byte, starts = joined([bytes(rng.choice(b"abc ") for _ in range(60)) for _ in range(9)])
+    assert len(context) == len(byte) == 9 * 61 and starts.tolist() == [61 * k for k in range(9)]
+    cells = Counter((d, int(c) >> (8 * (DEPTH - d)), int(b)) for c, b in zip(context, byte, strict=True) for d in range(DEPTH + 1))
+    d, c, b = map(np.array, zip(*cells, strict=True))
+    keys, model = tree_model(d, c.astype(np.uint64), b, np.array(list(cells.values())))
+    assert np.abs((10 ** model.astype(float)).sum(1) - 1).max() < 0.02
+    tables = lookup_tables(keys)
+    assert (context_rows(context, tables) > 0).all() and len(set(keys.tolist())) == len(keys)
+    assert context_rows(np.array([0x7A7A7A7A7A], np.uint64), tables).tolist() == [0]
     assert log_gamma(np.array([0.5, 3.0, 1e6])) == pytest.approx([math.lgamma(0.5), math.lgamma(3), math.lgamma(1e6)])
 
 
