@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from adloom.functions import lexicons as L
+from adloom.functions.copies import template_copy
 from adloom.functions.prompts import chat_user_content
 from adloom.functions.text import clean_text, normalize_query, query_too_noisy, related_to_evidence, suspicious_claims, tag_all_matches, tag_first_match
+from adloom.operators.understanding import summary_copy
 
 # System message of chat samples.
 SYSTEM_PROMPT = "你是电商搜索广告创意生成助手。请基于用户搜索意图、用户画像和商品证据，生成自然、短促、合规的广告文案。不得编造证据中没有的信息。"
@@ -202,6 +204,56 @@ def eval_records(planned: DataFrame, outcomes: DataFrame, evidence: DataFrame, k
     return base.join(outcomes, "query").join(evidence_score(evidence, k), "query", "left").join(query_category(evidence, "query", k), "query", "left")
 
 
+def replay_baselines(requests: DataFrame, evidence: DataFrame, llm: DataFrame, pipeline: DataFrame) -> DataFrame:
+    """query, baseline, copy, fallback, reason, retrieval_source, llm_provider, llm_status, provider, model: the same requests
+    through five baselines.
+
+    requests: query, user_id, session_id. evidence: query, pos and item fields; a request takes the evidence of the first
+    query (by text) with its normalized form, and it is an error if there is none. template_top1 and template_personalized
+    show the first item (the latter names the tier of user, session or query), summary_topk sums up all items. llm and
+    pipeline are given texts (query, copy, provider, model, status); a request without one falls back to the template.
+    """
+    asked = requests.select("query", "user_id", "session_id").dropDuplicates(["query"]).withColumn("norm_query", normalize_query(F.col("query")))
+    known = evidence.select(F.col("query").alias("pair_query")).distinct().groupBy(normalize_query(F.col("pair_query")).alias("norm_query")).agg(F.min("pair_query").alias("pair_query"))
+    paired = asked.join(known, "norm_query", "left")
+    missing = F.raise_error(F.concat(F.lit("no pair for query: "), F.col("query")))
+    paired = paired.withColumn("pair_query", F.when(F.col("pair_query").isNull(), missing).otherwise(F.col("pair_query")))
+    shown = paired.select("query", "pair_query").join(evidence.withColumnRenamed("query", "pair_query"), "pair_query").drop("pair_query")
+    tier = F.when(F.col("user_id").isNotNull(), "train_pairs_user_exact").when(F.col("session_id").isNotNull(), "train_pairs_session_exact").otherwise("train_pairs_query_exact")
+    first = shown.where("pos = 1").select("query", template_copy(*map(F.col, ("query", "item_title", "brand_name", "seller_name", "category_path"))).alias("template"))
+    # the left side is every paired request, so that a missing pair is met
+    base = paired.select("query", "pair_query", tier.alias("tier")).join(first, "query", "left").where("pair_query is not null")
+    none = F.lit("")
+
+    def branch(rows: DataFrame, name: str, copy: Column, fallback: Column, reason: Column, source: Column, *llm_fields: Column) -> DataFrame:
+        fields = [*llm_fields, *[none] * (4 - len(llm_fields))]
+        named = [f.alias(n) for f, n in zip(fields, ("llm_provider", "llm_status", "provider", "model"), strict=True)]
+        return rows.select("query", F.lit(name).alias("baseline"), copy.alias("copy"), fallback.alias("fallback"), reason.alias("reason"), source.alias("retrieval_source"), *named)
+
+    def given(texts: DataFrame, name: str) -> DataFrame:
+        rows = base.join(texts.select("query", "copy", F.col("provider").alias("p"), F.col("model").alias("m"), F.col("status").alias("s")), "query", "left")
+        absent = clean_text(F.col("copy")) == ""
+        fields = [F.coalesce(c, none) for c in ("p", "s", "p", "m")]
+        return branch(rows, name, F.when(absent, F.col("template")).otherwise(F.col("copy")), absent, F.when(absent, "no_text_given").otherwise(""), F.col("tier"), *fields)
+
+    no = F.lit(False)
+    summed = base.join(summary_copy(shown), "query")
+    return (
+        branch(base, "template_top1", F.col("template"), no, none, F.lit("train_pairs_query_exact"))
+        .unionByName(branch(base, "template_personalized", F.col("template"), no, none, F.col("tier")))
+        .unionByName(branch(summed, "summary_topk", F.col("copy"), F.col("fallback"), F.when(F.col("fallback"), F.col("reason")).otherwise(""), F.col("tier")))
+        .unionByName(given(llm, "llm_topk"))
+        .unionByName(given(pipeline, "full_pipeline"))
+    )
+
+
+def baseline_distributions(rows: DataFrame) -> DataFrame:
+    """baseline, field, value, n of replayed rows: fallback reason, llm provider, llm status, provider and model; blanks left out."""
+    fields = {"fallback_reason": "reason", "llm_provider": "llm_provider", "llm_status": "llm_status", "provider": "provider", "model": "model"}
+    pairs = F.array(*[F.struct(F.lit(name).alias("field"), F.coalesce(c, F.lit("")).alias("value")) for name, c in fields.items()])
+    return rows.select("baseline", F.inline(pairs)).where("value <> ''").groupBy("baseline", "field", "value").agg(F.count("*").alias("n"))
+
+
 def baseline_summary(rows: DataFrame) -> DataFrame:
     """Per baseline of (baseline, copy, fallback): n, n_non_empty, n_fallback, fallback_ratio."""
     fallback = F.coalesce("fallback", F.lit(False)).cast("int")

@@ -80,15 +80,18 @@ hw AS (SELECT query, w, count(*) AS c FROM (SELECT DISTINCT query, pos, unnest(r
 hint AS (SELECT query, w FROM hw JOIN n USING (query) WHERE c = n AND n >= 2 QUALIFY row_number() OVER (PARTITION BY query ORDER BY length(w) DESC, w) = 1)"""
 
 
-@checked(
-    f"""WITH {WITH_ALL}, {TOP}, s AS (SELECT n.query, n, coalesce(tb.v, '') AS b, coalesce(tb.c, 0) AS bc, coalesce(tm.v, '') AS m, coalesce(tm.c, 0) AS mc, coalesce(tl.v, '') AS l, coalesce(tl.c, 0) AS lc, coalesce(hint.w, '') AS h
+SUMMARY = """s AS (SELECT n.query, n, coalesce(tb.v, '') AS b, coalesce(tb.c, 0) AS bc, coalesce(tm.v, '') AS m, coalesce(tm.c, 0) AS mc, coalesce(tl.v, '') AS l, coalesce(tl.c, 0) AS lc, coalesce(hint.w, '') AS h
   FROM n LEFT JOIN tb USING (query) LEFT JOIN tm USING (query) LEFT JOIN tl USING (query) LEFT JOIN hint USING (query)),
 r AS (SELECT *, CASE WHEN n < 2 THEN 'insufficient_evidence_items' WHEN bc >= 2 AND lc >= 2 THEN 'shared_brand_and_leaf_category' WHEN mc = n AND l <> '' THEN 'shared_major_category' WHEN mc >= 2 THEN 'major_category_majority'
   WHEN h <> '' THEN 'common_title_hint' ELSE 'no_summary_signal' END AS reason FROM s),
-t AS (SELECT query, {COPY} AS template FROM (SELECT *, {SHOWN} FROM evidence WHERE pos = 1))
-SELECT query, reason, reason IN ('insufficient_evidence_items', 'no_summary_signal') AS fallback, CASE reason WHEN 'shared_brand_and_leaf_category' THEN concat('搜“', trim(query), '”时，可先关注', b, l, '方向，当前候选主要集中在这类商品，便于更快缩小选择范围。')
+summed AS (SELECT query, reason, reason IN ('insufficient_evidence_items', 'no_summary_signal') AS fallback, CASE reason WHEN 'shared_brand_and_leaf_category' THEN concat('搜“', trim(query), '”时，可先关注', b, l, '方向，当前候选主要集中在这类商品，便于更快缩小选择范围。')
   WHEN 'shared_major_category' THEN concat('搜“', trim(query), '”时，当前候选主要集中在', m, '下的', l, '方向，建议先从这类商品里继续筛选。') WHEN 'major_category_majority' THEN concat('结合“', trim(query), '”的搜索意图，当前证据更多落在', m, '相关商品上，可优先关注这一类方向。')
-  WHEN 'common_title_hint' THEN concat('搜“', trim(query), '”时，当前候选多围绕“', h, '”相关商品，可先从这一方向继续筛选。') ELSE template END AS copy FROM r JOIN t USING (query)"""
+  WHEN 'common_title_hint' THEN concat('搜“', trim(query), '”时，当前候选多围绕“', h, '”相关商品，可先从这一方向继续筛选。') ELSE template END AS copy FROM r JOIN t USING (query))"""
+
+
+@checked(
+    f"""WITH {WITH_ALL}, {TOP}, t AS (SELECT query, {COPY} AS template FROM (SELECT *, {SHOWN} FROM evidence WHERE pos = 1)), {SUMMARY}
+SELECT query, reason, fallback, copy FROM summed"""
 )
 def u11_summary_copy(spark, sf_dir):
     return U.summary_copy(a5_evidence_topk(spark, sf_dir)).select("query", "reason", "fallback", "copy")

@@ -8,6 +8,7 @@ from adloom.functions.text import normalize_query
 from adloom.operators import ctr, datasets, metrics
 from adloom.operators import evidence as E
 from adloom.plans.base import WITH_ALL, WITH_BEHAVIOR, behavior, checked, history, items, log, norm, table, users
+from adloom.plans.copy_queries import SUMMARY, TOP
 from adloom.plans.evidence_queries import CATEGORIES, COPY, SHOWN, a5_evidence_topk
 from adloom.plans.retrieval_queries import TOKENS_SQL, _bench, _bm25_sql, j5_bm25_topk
 
@@ -217,6 +218,43 @@ b2 AS (SELECT a.query, 'second' AS baseline, coalesce(c.copy, '') AS copy, c.cop
 bl AS (SELECT * FROM b1 UNION ALL SELECT * FROM b2)"""
 
 
+def _replayed(spark, sf_dir):
+    """All queries with evidence, every third without a user; the second and third items' templates stand for given texts."""
+    top = a5_evidence_topk(spark, sf_dir)
+    copy = template_copy(*map(F.col, ("query", "item_title", "brand_name", "seller_name", "category_path")))
+    texts = lambda pos, name: top.where(F.col("pos") == pos).select("query", copy.alias("copy"), F.lit(name).alias("provider"), F.lit("m1").alias("model"), F.lit("ok").alias("status"))
+    size = F.char_length("query")
+    asked = top.select("query").distinct().select("query", F.when(size % 3 != 0, size).alias("user_id"), F.when(size % 2 != 0, size).alias("session_id"))
+    return datasets.replay_baselines(asked, top, texts(2, "second"), texts(3, "third"))
+
+
+REPLAY = f"""pq AS (SELECT nq, min(query) AS pair_query FROM (SELECT DISTINCT query, {norm("query")} AS nq FROM evidence) GROUP BY nq),
+asked AS (SELECT query, pair_query, CASE WHEN length(query) % 3 <> 0 THEN 'train_pairs_user_exact' WHEN length(query) % 2 <> 0 THEN 'train_pairs_session_exact' ELSE 'train_pairs_query_exact' END AS tier
+  FROM (SELECT DISTINCT query, {norm("query")} AS nq FROM evidence) JOIN pq USING (nq)),
+e2 AS (SELECT a.query, e.* EXCLUDE (query) FROM asked a JOIN evidence e ON e.query = a.pair_query), {TOP.replace("evidence", "e2")},
+given AS (SELECT *, {COPY} AS copy FROM (SELECT *, {SHOWN} FROM evidence)),
+t AS (SELECT query, {COPY} AS template FROM (SELECT *, {SHOWN} FROM e2 WHERE pos = 1)), {SUMMARY},
+g AS (SELECT a.query, tier, template, pos, c.copy AS c FROM asked a JOIN t USING (query) CROSS JOIN (SELECT unnest([2, 3]) AS pos) LEFT JOIN given c USING (query, pos)),
+rp AS (SELECT query, 'template_top1' AS baseline, template AS copy, false AS fallback, '' AS reason, 'train_pairs_query_exact' AS retrieval_source, '' AS provider, '' AS model, '' AS status FROM asked JOIN t USING (query)
+  UNION ALL SELECT query, 'template_personalized', template, false, '', tier, '', '', '' FROM asked JOIN t USING (query)
+  UNION ALL SELECT query, 'summary_topk', copy, fallback, CASE WHEN fallback THEN reason ELSE '' END, tier, '', '', '' FROM asked JOIN summed USING (query)
+  UNION ALL SELECT query, CASE pos WHEN 2 THEN 'llm_topk' ELSE 'full_pipeline' END, coalesce(c, template), c IS NULL, CASE WHEN c IS NULL THEN 'no_text_given' ELSE '' END, tier,
+    CASE WHEN c IS NULL THEN '' WHEN pos = 2 THEN 'second' ELSE 'third' END, CASE WHEN c IS NULL THEN '' ELSE 'm1' END, CASE WHEN c IS NULL THEN '' ELSE 'ok' END FROM g)"""
+
+
+@checked(f"WITH {WITH_ALL}, {REPLAY} SELECT query, baseline, copy, fallback, reason, retrieval_source, provider AS llm_provider, status AS llm_status, provider, model FROM rp")
+def d13_replay_baselines(spark, sf_dir):
+    return _replayed(spark, sf_dir)
+
+
+@checked(
+    f"""WITH {WITH_ALL}, {REPLAY} SELECT baseline, field, value, count(*) AS n FROM (SELECT baseline, unnest([{{'field': 'fallback_reason', 'value': reason}}, {{'field': 'llm_provider', 'value': provider}},
+  {{'field': 'llm_status', 'value': status}}, {{'field': 'provider', 'value': provider}}, {{'field': 'model', 'value': model}}], recursive := true) FROM rp) WHERE value <> '' GROUP BY ALL"""
+)
+def d14_baseline_distributions(spark, sf_dir):
+    return datasets.baseline_distributions(_replayed(spark, sf_dir))
+
+
 @checked(f"WITH {WITH_ALL}, {BASELINES} SELECT baseline, count(*) AS n, count(*) FILTER (copy <> '') AS n_non_empty, count(*) FILTER (fallback) AS n_fallback, round(avg(fallback::INT), 4) AS fallback_ratio FROM bl GROUP BY baseline")
 def d14_baseline_summary(spark, sf_dir):
     return datasets.baseline_summary(_baselines(spark, sf_dir))

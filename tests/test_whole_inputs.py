@@ -29,3 +29,18 @@ def test_selling_points_reach_the_score(spark, monkeypatch):
     assert before.keys() == after.keys()
     assert {after[k] - before[k] for k in before} >= {0, 3}
     assert {after[k] - before[k] for k in before} <= {0, 3, 6}
+
+
+def test_replay_fails_without_a_pair(spark):
+    import pytest
+
+    from adloom.operators.datasets import replay_baselines
+
+    item = "query string, pos int, item_title string, brand_name string, seller_name string, category_path string"
+    evidence = spark.createDataFrame([("red shoe", 1, "shoe", "", "", "")], item)
+    texts = spark.createDataFrame([], "query string, copy string, provider string, model string, status string")
+    asked = lambda *q: spark.createDataFrame([(x, None, None) for x in q], "query string, user_id long, session_id long")
+    rows = replay_baselines(asked(" red  shoe "), evidence, texts, texts).collect()
+    assert sorted((r["baseline"], r["fallback"]) for r in rows) == [("full_pipeline", True), ("llm_topk", True), ("summary_topk", True), ("template_personalized", False), ("template_top1", False)]
+    with pytest.raises(Exception, match="no pair for query: blue hat"):
+        replay_baselines(asked("red shoe", "blue hat"), evidence, texts, texts).collect()
