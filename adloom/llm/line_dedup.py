@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from adloom.llm.common import SPACE, ascii_lower, shared_table, text_of
+from adloom.llm.common import SPACE, ascii_lower, release, shared_table, text_of
 
 KEY = ["h1", "h2"]
 
@@ -20,47 +20,55 @@ def line_hash(key: Column) -> Column:
     return F.struct(F.xxhash64(key).alias("h1"), F.xxhash64(F.lit("line"), key).alias("h2"))
 
 
+def _union(tables: list[DataFrame]) -> DataFrame:
+    every = tables[0]
+    for table in tables[1:]:
+        every = every.unionByName(table)
+    return every
+
+
 class LineRuns:
     """Sorted runs of (h1, h2, n_docs, last_doc) in levels, like a log-structured merge tree.
 
-    A new batch is anti-joined with the runs: keys no run knows become the batch's own run, keys already known add their
-    counts in a run of changes beside it. When a level holds `fan_in` batches, they are merged into one run of the next
-    level. Every run is a sorted table in the shared folder, so a lost executor costs a re-read.
+    A new batch is anti-joined with the runs: only keys that no run knows become the batch's own run, so a key is in one run
+    alone and runs are compacted by a merge without any aggregation: when a level holds `fan_in` batches, they are one run of
+    the next level. What a batch says of keys already known is a change (n_docs, last_doc), kept apart and added up once by
+    index(). Every run is a sorted table in the shared folder, so a lost executor costs a re-read.
     """
 
     def __init__(self, fan_in: int = 2):
-        self.fan_in, self.levels = fan_in, {}
+        self.fan_in, self.levels, self.changes = fan_in, {}, []
 
     def runs(self) -> list[DataFrame]:
         return [run for level in self.levels.values() for run in level]
 
-    def _merged(self, runs: list[DataFrame]) -> DataFrame:
-        every = runs[0]
-        for run in runs[1:]:
-            every = every.unionByName(run)
-        return every.groupBy(*KEY).agg(F.sum("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc"))
-
     def _store(self, level: int, run: DataFrame) -> None:
         self.levels.setdefault(level, []).append(shared_table(run.sortWithinPartitions(*KEY), f"run-{level}"))
         if len(self.levels[level]) >= self.fan_in:
-            self._store(level + 1, self._merged(self.levels.pop(level)))
+            merged = self.levels.pop(level)
+            self._store(level + 1, _union(merged).repartitionByRange(*KEY))
+            release(*merged)
 
     def add(self, batch: DataFrame) -> None:
         """batch: h1, h2, doc_id, each key at most once a document."""
         new = batch.groupBy(*KEY).agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("last_doc"))
-        known = self.runs()
-        if known:
-            keys = known[0].select(*KEY)
-            for run in known[1:]:
-                keys = keys.unionByName(run.select(*KEY))
-            new = shared_table(new, "batch")
-            own = new.join(keys, KEY, "left_anti")
-            changes = new.join(keys, KEY, "left_semi")
-            new = own.unionByName(changes)
-        self._store(0, new)
+        if not self.levels:
+            return self._store(0, new)
+        new = shared_table(new, "batch")
+        keys = _union([run.select(*KEY) for run in self.runs()])
+        self.changes.append(shared_table(new.join(keys, KEY, "left_semi"), "changes"))
+        self._store(0, new.join(keys, KEY, "left_anti"))
+        release(new)
 
     def index(self) -> DataFrame:
-        return self._merged(self.runs())
+        """h1, h2, n_docs, last_doc of all keys, one row each."""
+        runs = _union(self.runs())
+        if not self.changes:
+            return runs
+        more = _union(self.changes).groupBy(*KEY).agg(F.sum("n_docs").alias("more_docs"), F.max("last_doc").alias("more_last"))
+        return runs.join(more, KEY, "left").select(
+            *KEY, (F.col("n_docs") + F.coalesce("more_docs", F.lit(0))).alias("n_docs"), F.greatest("last_doc", "more_last").alias("last_doc")
+        )
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches: int = 4, fan_in: int = 2) -> DataFrame:
@@ -80,7 +88,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches
         docs.select(
             "doc_id",
             F.pmod(F.xxhash64("doc_id"), F.lit(batches)).alias("batch"),
-            F.inline(F.array_distinct(F.transform(keys, line_hash))),
+            F.inline(F.transform(F.array_distinct(keys), line_hash)),
         ),
         "lines",
     )

@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -14,7 +15,7 @@ from adloom.llm import language_model, near_dup, queries
 from adloom.llm.decontaminate import contaminated, seeds, tokens
 from adloom.llm.exact_dedup import exact_dedup
 from adloom.llm.language_model import DEPTH, context_rows, joined, lm_scores, log_gamma, lookup_tables, tree_model
-from adloom.llm.line_dedup import dedup_lines
+from adloom.llm.line_dedup import LineRuns, dedup_lines
 from adloom.llm.mixing import mix_sources, sainte_lague, targets
 from adloom.llm.near_dup import SKETCH, bands, jaccard_components, linked, parity, plausible, prefix_keys, shingles, tile_links
 from adloom.llm.quality import quality_scores
@@ -196,6 +197,33 @@ def test_lines(docs, rows):
     assert {i: (r["n_lines"], r["n_dropped"], r["h"]) for i, r in got.items()} == brute.lines(list(rows.items()))
 
 
+def test_runs_hold_a_key_once_and_changes_hold_the_rest(spark):
+    """What no run knows is stored; what some run knows is a change: without the anti-join keys would be in two runs."""
+    rng = random.Random(7)
+    batches = [{(k, -k): [rng.randrange(100) for _ in range(rng.randrange(1, 4))] for k in rng.sample(range(30), 12)} for _ in range(5)]
+    runs = LineRuns(fan_in=2)
+    for batch in batches:
+        made = [(a, b, d) for (a, b), docs in batch.items() for d in docs]
+        runs.add(spark.createDataFrame(made, "h1 long, h2 long, doc_id long"))
+    stored = Counter((r["h1"], r["h2"]) for run in runs.runs() for r in run.collect())
+    assert set(stored.values()) == {1} and len(runs.levels) == 2
+    want = defaultdict(list)
+    for batch in batches:
+        for k, d in batch.items():
+            want[k] += d
+    got = {(r["h1"], r["h2"]): (r["n_docs"], r["last_doc"]) for r in runs.index().collect()}
+    assert got == {k: (len(d), max(d)) for k, d in want.items()}
+
+
+def test_a_text_of_many_lines(spark):
+    """Repeated and common lines of a long text take time in proportion, not by its square."""
+    lines = [f"a line that is long enough {k % 20000}" for k in range(60000)]
+    docs = spark.createDataFrame([(1, "\n".join(lines)), (2, "x\n" + lines[0]), (3, lines[0])], "doc_id long, text string")
+    began = time.time()
+    got = by_id(dedup_lines(docs))
+    assert (got[1]["n_lines"], got[1]["n_dropped"], got[2]["n_dropped"]) == (60000, 3, 1) and time.time() - began < 120
+
+
 def test_language_model(docs, rows):
     got = by_id(lm_scores(docs, frequent=50))
     train, ends = Counter(), 0
