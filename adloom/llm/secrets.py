@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from adloom.llm.common import text_of
+from adloom.llm.common import bound, text_of
 
 ASSIGN = (
     r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -33,6 +33,8 @@ SPAN = "array<struct<start:bigint,kind_no:int,end:bigint,kind:string>>"
 KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_base64")
 #: Scale of the integer table of c * log2(c), so that sums are exact in any order.
 SCALE = 1_000_000
+#: Pieces of a text, and window starts of a candidate, that are handled as one block.
+BLOCK, CHUNK = 64, 128
 
 
 def entropy_table(window: int) -> list[int]:
@@ -47,7 +49,8 @@ def entropy_limit(window: int, bits: float) -> int:
 def matches(text: Column, pattern: str) -> Column:
     """array<struct<start, end, hit>> of a pattern's leftmost non-overlapping matches, in code points.
 
-    The pieces between matches and the matches themselves alternate, so running lengths give the positions.
+    The pieces between matches and the matches themselves alternate, so running lengths give the positions. They run
+    inside blocks of BLOCK pieces first and then over the blocks, so that no array grows with all of a text's matches.
     """
     pairs = F.arrays_zip(
         F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit")
@@ -62,66 +65,90 @@ def matches(text: Column, pattern: str) -> Column:
         )
         return F.struct(end.alias("at"), found.alias("found"))
 
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(kind).alias("found"))
-    return F.when(F.regexp_like(text, F.lit(pattern)), F.aggregate(pairs, start, step, lambda s: s["found"])).otherwise(
-        F.array().cast(kind)
-    )
+    def blocks(ps: Column) -> Column:
+        start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(kind).alias("found"))
+        return F.transform(F.sequence(F.lit(1), F.size(ps), F.lit(BLOCK)), lambda i: F.aggregate(F.slice(ps, i, F.lit(BLOCK)), start, step))
+
+    def placed(bs: Column) -> Column:
+        offsets = F.aggregate(bs, F.array(F.lit(0).cast("long")), lambda o, b: F.concat(o, F.array(F.element_at(o, -1) + b["at"])))
+
+        def moved(os: Column) -> Column:
+            return F.flatten(
+                F.transform(
+                    bs,
+                    lambda b, k: F.transform(
+                        b["found"],
+                        lambda m: F.struct((m["start"] + F.get(os, k)).alias("start"), (m["end"] + F.get(os, k)).alias("end"), m["hit"].alias("hit")),
+                    ),
+                )
+            )
+
+        return bound(offsets, moved)
+
+    return F.when(F.regexp_like(text, F.lit(pattern)), bound(bound(pairs, blocks), placed)).otherwise(F.array().cast(kind))
 
 
 def window_spans(token: Column, alphabet: str, window: int, bits: float) -> Column:
     """array<struct<start, end>> (from 0): the joined windows of a candidate whose entropy reaches `bits`.
 
-    The window's counts live in a string with one character per letter of the alphabet, and its sum of c log2 c is
-    carried along: a step touches the count of the letter that comes in and of the one that goes out.
+    A candidate is cut into chunks of CHUNK window starts, each with the window - 1 letters that follow, so every window
+    lies in one chunk and time grows in proportion to the length. In a chunk the window's counts live in a string with one
+    character per letter of the alphabet, and its sum of c log2 c is carried along: a step touches the count of the letter
+    that comes in and of the one that goes out. Windows that touch are joined within and then across chunks.
     """
     table = F.array(*map(F.lit, entropy_table(window)))
     zero = 48
     kind = "array<struct<start:bigint,end:bigint>>"
-
-    def count(counts: Column, place: Column) -> Column:
-        return F.ascii(F.substr(counts, place, F.lit(1))) - zero
-
-    def put(counts: Column, place: Column, n: Column) -> Column:
-        return F.overlay(counts, F.char(n + zero), place, F.lit(1))
-
-    def enter(s: Column, i: Column) -> Column:
-        place = F.instr(F.lit(alphabet), F.substr(token, i, F.lit(1)))
-        n = count(s["counts"], place)
-        return F.struct(
-            put(s["counts"], place, n + 1).alias("counts"),
-            (s["sum"] + F.get(table, n + 1) - F.get(table, n)).alias("sum"),
-            s["found"].alias("found"),
-        )
-
-    def leave(s: Column, i: Column) -> Column:
-        place = F.instr(F.lit(alphabet), F.substr(token, i, F.lit(1)))
-        n = count(s["counts"], place)
-        return F.struct(
-            put(s["counts"], place, n - 1).alias("counts"),
-            (s["sum"] + F.get(table, n - 1) - F.get(table, n)).alias("sum"),
-            s["found"].alias("found"),
+    chunks = F.regexp_extract_all(token, F.lit(f"(?=(.{{1,{CHUNK + window - 1}}})).{{1,{CHUNK}}}"), F.lit(1))
+
+    def moved(s: Column, place: Column, by: int) -> Column:
+        """The state after the count of one letter changed."""
+        n = F.ascii(F.substr(s["counts"], place, F.lit(1))) - zero
+        return bound(
+            n,
+            lambda n: F.struct(
+                F.overlay(s["counts"], F.char(n + (zero + by)), place, F.lit(1)).alias("counts"),
+                (s["sum"] + F.get(table, n + by) - F.get(table, n)).alias("sum"),
+                s["found"].alias("found"),
+            ),
         )
 
     def join(s: Column, i: Column) -> Column:
-        start, end = (i - window).cast("long"), i.cast("long")
+        start, end = (i - (window - 1)).cast("long"), (i + 1).cast("long")
         last = F.get(s["found"], F.size(s["found"]) - 1)
         grown = F.when(
             (F.size(s["found"]) > 0) & (last["end"] >= start),
             F.concat(F.slice(s["found"], F.lit(1), F.size(s["found"]) - 1), F.array(F.struct(last["start"].alias("start"), end.alias("end"))).cast(kind)),
         ).otherwise(F.concat(s["found"], F.array(F.struct(start.alias("start"), end.alias("end"))).cast(kind)))
-        hit = (i >= window) & (s["sum"] <= entropy_limit(window, bits))
+        hit = (i >= window - 1) & (s["sum"] <= entropy_limit(window, bits))
         return F.struct(s["counts"].alias("counts"), s["sum"].alias("sum"), F.when(hit, grown).otherwise(s["found"]).alias("found"))
 
-    # a transform over a one-element array binds an intermediate state to a name, so that it is computed once
-    def step(s: Column, i: Column) -> Column:
-        left = F.transform(F.array(s), lambda x: F.when(i > window, leave(x, i - window)).otherwise(x))
-        entered = F.transform(left, lambda x: enter(x, i))
-        return F.get(F.transform(entered, lambda x: join(x, i)), F.lit(0))
-
     start = F.struct(
         F.lit(chr(zero) * len(alphabet)).alias("counts"), F.lit(0).cast("long").alias("sum"), F.array().cast(kind).alias("found")
     )
-    return F.aggregate(F.sequence(F.lit(1), F.char_length(token)), start, step, lambda s: s["found"])
+
+    def chunk_spans(places: Column) -> Column:
+        def step(s: Column, i: Column) -> Column:
+            left = bound(s, lambda x: F.when(i >= window, moved(x, F.get(places, i - window), -1)).otherwise(x))
+            entered = bound(left, lambda x: moved(x, F.get(places, i), 1))
+            return bound(entered, lambda x: join(x, i))
+
+        return F.aggregate(F.sequence(F.lit(0), F.size(places) - 1), start, step, lambda s: s["found"])
+
+    def spans(chunk: Column, k: Column) -> Column:
+        places = F.transform(F.regexp_extract_all(chunk, F.lit("."), F.lit(0)), lambda c: F.instr(F.lit(alphabet), c))
+        at = k.cast("long") * CHUNK
+        return F.transform(bound(places, chunk_spans), lambda w: F.struct((w["start"] + at).alias("start"), (w["end"] + at).alias("end")))
+
+    def joined(every: Column) -> Column:
+        """Spans by start, ends rising: a joined one begins where none before touches and ends where none after does."""
+        before = lambda i: F.get(every, i - 1)["end"]
+        after = lambda i: F.get(every, i + 1)["start"]
+        firsts = F.filter(every, lambda s, i: before(i).isNull() | (before(i) < s["start"]))
+        lasts = F.filter(every, lambda s, i: after(i).isNull() | (after(i) > s["end"]))
+        return F.zip_with(firsts, lasts, lambda a, b: F.struct(a["start"].alias("start"), b["end"].alias("end")))
+
+    return bound(F.flatten(F.transform(chunks, spans)), joined)
 
 
 def _placed(alphabet: str, window: int, bits: float):
