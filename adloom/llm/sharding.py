@@ -6,20 +6,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from adloom.llm.common import shared_table, text_of
+from adloom.llm.common import bound, shared_table, text_of
 
 #: Positions on the ring; virtual nodes and keys both fall on one of them. A constant, so tables keyed by it are bounded.
 CELLS = 1 << 16
 
 
 def ring(spark, shards: int, vnodes: int, seed: int) -> DataFrame:
-    """One row per occupied cell: cell, shard. If two virtual nodes meet in a cell, the lower number has it."""
+    """One row per occupied cell: cell, shard. If two virtual nodes meet in a cell, the lower number has it.
+
+    Nodes are numbered shard by shard, so those of the first shards lie where they lie whatever the number of shards.
+    """
     return (
         spark.range(shards * vnodes, numPartitions=1)
         .select(F.pmod(F.xxhash64(F.lit(seed), F.col("id")), F.lit(CELLS)).alias("cell"), F.col("id"))
         .groupBy("cell")
         .agg(F.min("id").alias("id"))
-        .select("cell", (F.col("id") % shards).cast("int").alias("shard"))
+        .select("cell", F.floor(F.col("id") / vnodes).cast("int").alias("shard"))
     )
 
 
@@ -28,48 +31,48 @@ def fill(arcs: Column, shards: int, load: float) -> Column:
 
     arcs: array<struct<arc, shard, n>> in clockwise order. Each arc's keys go to its shard up to the shard's capacity;
     what overflows continues clockwise to the next shard that has room. Only a shard that becomes full cuts an arc, so
-    there are at most arcs + shards segments.
+    there are at most arcs + shards segments. The shards that follow an arc are only looked up where its own is full.
     """
+
+    def capacities(total: Column) -> Column:
+        each = F.floor(total * F.lit(load) / shards).cast("long") if load > 1 else (total - total % shards) / shards
+        return F.transform(
+            F.sequence(F.lit(0), F.lit(shards - 1)),
+            lambda s: (each.cast("long") + F.when(s < total % shards, 1).otherwise(0 if load == 1 else 1)).cast("long"),
+        )
+
     total = F.aggregate(arcs, F.lit(0).cast("long"), lambda a, x: a + x["n"])
-    each = F.floor(total * F.lit(load) / shards).cast("long") if load > 1 else (total - total % shards) / shards
-    caps = F.transform(
-        F.sequence(F.lit(0), F.lit(shards - 1)),
-        lambda s: (each.cast("long") + F.when(s < total % shards, 1).otherwise(0 if load == 1 else 1)).cast("long"),
-    )
-    names = F.transform(arcs, lambda x: x["shard"])
+    return bound(bound(total, capacities), lambda caps: _filled(arcs, caps))
+
+
+def _filled(arcs: Column, caps: Column) -> Column:
     n_arcs = F.size(arcs)
     segment = "array<struct<arc:int,lo:bigint,hi:bigint,shard:int,slot0:bigint>>"
 
-    def arc_step(state: Column, x: Column) -> Column:
-        clockwise = F.array_distinct(
-            F.concat(F.slice(names, x["arc"] + 1, n_arcs), F.slice(names, F.lit(1), x["arc"]))
-        )
+    def piece(state: Column, arc: Column, lo: Column, take: Column, shard: Column) -> list[Column]:
+        """free and segs after `take` keys of an arc, from `lo` on, went to a shard."""
+        used = F.get(caps, shard) - F.get(state["free"], shard)
+        one = F.struct(arc.alias("arc"), lo.alias("lo"), (lo + take).alias("hi"), shard.alias("shard"), used.alias("slot0"))
+        free = F.transform(state["free"], lambda c, i: F.when(i == shard, c - take).otherwise(c))
+        return [free.alias("free"), F.concat(state["segs"], F.array(one)).cast(segment).alias("segs")]
+
+    def overflow(state: Column, x: Column) -> Column:
+        """An arc whose shard lacks room: shards take its keys in the order in which they come up clockwise."""
+        names = F.transform(arcs, lambda y: y["shard"])
+        clockwise = F.array_distinct(F.concat(F.slice(names, x["arc"] + 1, n_arcs), F.slice(names, F.lit(1), x["arc"])))
 
         def shard_step(s: Column, shard: Column) -> Column:
             take = F.least(s["left"], F.get(s["free"], shard))
-            used = F.get(caps, shard) - F.get(s["free"], shard)
             return F.when(take <= 0, s).otherwise(
-                F.struct(
-                    (s["left"] - take).alias("left"),
-                    F.transform(s["free"], lambda c, i: F.when(i == shard, c - take).otherwise(c)).alias("free"),
-                    F.concat(
-                        s["segs"],
-                        F.array(
-                            F.struct(
-                                x["arc"].alias("arc"),
-                                (x["n"] - s["left"]).alias("lo"),
-                                (x["n"] - s["left"] + take).alias("hi"),
-                                shard.alias("shard"),
-                                used.alias("slot0"),
-                            )
-                        ),
-                    ).cast(segment).alias("segs"),
-                )
+                F.struct((s["left"] - take).alias("left"), *piece(s, x["arc"], x["n"] - s["left"], take, shard))
             )
 
         start = F.struct(x["n"].alias("left"), state["free"].alias("free"), state["segs"].alias("segs"))
-        done = F.aggregate(clockwise, start, shard_step)
-        return F.struct(done["free"].alias("free"), done["segs"].alias("segs"))
+        return F.aggregate(clockwise, start, shard_step, lambda done: F.struct(done["free"].alias("free"), done["segs"].alias("segs")))
+
+    def arc_step(state: Column, x: Column) -> Column:
+        fits = F.struct(*piece(state, x["arc"], F.lit(0).cast("long"), x["n"], x["shard"]))
+        return F.when(x["n"] == 0, state).when(x["n"] <= F.get(state["free"], x["shard"]), fits).otherwise(overflow(state, x))
 
     return F.aggregate(
         arcs,
@@ -84,7 +87,8 @@ def bounded_ring(docs: DataFrame, shards: int = 16, vnodes: int = 64, load: floa
 
     A row's place on the ring is a hash of its doc_id. Shards take keys in ring order up to their capacity, `load`
     times the mean number of rows; keys that overflow a full shard continue clockwise. At load 1 the capacities are
-    the mean rounded so that they add up to the table, and counts differ by one at most (law `rows`).
+    the mean rounded so that they add up to the table, and counts differ by one at most (law `rows`). One more shard
+    takes arcs over from all others; beyond those, only keys that overflow, or no longer do, move.
     slot numbers a shard's rows from 0 without gaps. grown_shard is null under this law.
 
     Only counts by cell, a table of CELLS rows at most, are brought together; a row finds its arc, rank and segment by
