@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -127,16 +129,27 @@ def validate_chat(samples: DataFrame) -> DataFrame:
 
 
 def chat_stats(validated: DataFrame) -> DataFrame:
-    """One row: total, valid, invalid, mean length of valid assistants."""
+    """One row: total, valid, invalid, mean length of valid assistants and, if metadata has a score, its mean over them."""
     valid = F.size("errors") == 0
+    mean = lambda c: F.coalesce(F.round(F.avg(F.when(valid, F.col(c))), 2), F.lit(0.0))
+    scored = "score" in validated.schema["metadata"].dataType.fieldNames()
     return validated.agg(
         F.count("*").alias("total_samples"),
-        F.sum(valid.cast("int")).alias("valid_samples"),
-        F.sum((~valid).cast("int")).alias("invalid_samples"),
-        F.coalesce(F.round(F.avg(F.when(valid, F.col("assistant_length"))), 2), F.lit(0.0)).alias("avg_assistant_length"),
+        F.coalesce(F.sum(valid.cast("int")), F.lit(0)).alias("valid_samples"),
+        F.coalesce(F.sum((~valid).cast("int")), F.lit(0)).alias("invalid_samples"),
+        mean("assistant_length").alias("avg_assistant_length"),
+        *([mean("metadata.score").alias("avg_score")] if scored else []),
     )
 
 
+def chat_distributions(validated: DataFrame) -> DataFrame:
+    """field, value, n: provider and evidence_confidence of the valid samples, invalid_reason once per error; one aggregate."""
+    pair = lambda name, value: F.struct(F.lit(name).alias("field"), F.coalesce(value, F.lit("")).alias("value"))
+    kept = F.array(*[pair(c, F.col(f"metadata.{c}")) for c in ("provider", "evidence_confidence")])
+    pairs = F.when(F.size("errors") == 0, kept).otherwise(F.transform("errors", lambda e: pair("invalid_reason", e)))
+    return validated.select(F.inline(pairs)).groupBy("field", "value").agg(F.count("*").alias("n"))
+
+
 def invalid_reasons(validated: DataFrame) -> DataFrame:
     return validated.select(F.explode("errors").alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
 
@@ -198,10 +211,45 @@ def distribution(rows: DataFrame, field: str, keys: list[str]) -> DataFrame:
     return counts.join(F.broadcast(listed), "value", "full").select("value", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("place", F.lit(len(keys))).alias("place"))
 
 
-def eval_records(planned: DataFrame, outcomes: DataFrame, evidence: DataFrame, k: int = 3) -> DataFrame:
+def number_samples(sample: DataFrame, orders: dict[str, Sequence[str]], then: Sequence[str] = ("query_category", "normalized_query"), prefix: str = "v5eval") -> DataFrame:
+    """Adds sample_no from 1 and sample_id: by the listed order of each field in `orders`, then by the fields of `then`.
+
+    A sample is as large as its quotas add up to, so one window numbers it.
+    """
+    places = [F.array_position(F.array(*map(F.lit, values)), F.col(field)) for field, values in orders.items()]
+    numbered = sample.withColumn("sample_no", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*places, *then)))
+    return numbered.withColumn("sample_id", F.format_string(f"{prefix}_%03d", "sample_no"))
+
+
+def eval_distributions(records: DataFrame, listed: dict[str, Sequence[str]], quotas: dict[tuple[str, str], int], strata: tuple[str, str] = ("query_bucket", "evidence_strength")) -> DataFrame:
+    """field, value, n, place, requested of evaluation records in one aggregate.
+
+    Fields are those of `listed`, whose values come with their place (from 0) even where n is 0, other values without a
+    place; and `quota`, with one value per stratum ("short-high") and the requested number beside the actual one.
+    """
+    pair = lambda name, value: F.struct(F.lit(name).alias("field"), F.coalesce(value, F.lit("")).alias("value"))
+    pairs = F.array(pair("quota", F.concat_ws("-", *strata)), *[pair(c, F.col(c).cast("string")) for c in listed])
+    counts = records.select(F.inline(pairs)).groupBy("field", "value").agg(F.count("*").alias("n"))
+    keys = [(f, v, i, None) for f, values in listed.items() for i, v in enumerate(values)]
+    keys += [("quota", f"{a}-{b}", i, quotas[a, b]) for i, (a, b) in enumerate(sorted(quotas))]
+    table = records.sparkSession.createDataFrame(keys, "field string, value string, place int, requested int")
+    return counts.join(table, ["field", "value"], "full").select("field", "value", F.coalesce("n", F.lit(0)).alias("n"), "place", "requested")
+
+
+def eval_summary(records: DataFrame) -> DataFrame:
+    """One row: total_samples, fallback_triggered_count, fallback_triggered_ratio (0 without records)."""
+    fallback = F.coalesce("fallback", F.lit(False)).cast("int")
+    return records.agg(
+        F.count("*").alias("total_samples"),
+        F.coalesce(F.sum(fallback), F.lit(0)).alias("fallback_triggered_count"),
+        F.coalesce(F.round(F.avg(fallback), 4), F.lit(0.0)).alias("fallback_triggered_ratio"),
+    )
+
+
+def eval_records(planned: DataFrame, outcomes: DataFrame, evidence: DataFrame, k: int = 3, lexicon=L.QUERY_CATEGORIES) -> DataFrame:
     """Planned samples with their outcomes; score, strength and category come from the evidence selected there."""
     base = planned.drop("evidence_score", "evidence_strength", "query_category")
-    return base.join(outcomes, "query").join(evidence_score(evidence, k), "query", "left").join(query_category(evidence, "query", k), "query", "left")
+    return base.join(outcomes, "query").join(evidence_score(evidence, k), "query", "left").join(query_category(evidence, "query", k, lexicon), "query", "left")
 
 
 def replay_baselines(requests: DataFrame, evidence: DataFrame, llm: DataFrame, pipeline: DataFrame) -> DataFrame:
@@ -280,6 +328,19 @@ def compare_providers(rows: DataFrame, one: str, other: str, key: str = "query")
     return wide.withColumn("observation", seen)
 
 
+def provider_rows(rows: DataFrame, *more: str) -> DataFrame:
+    """query, the columns of `more`, provider, model, llm_status, fallback, copy, copy_length, is_bad_copy, claims: what each model gave.
+
+    A copy is bad if it is blank or reads like a search result; claims are the listed words that it contains.
+    """
+    copy = clean_text(F.col("copy"))
+    bad = (copy == "") | (F.size(tag_all_matches(copy, L.BAD_COPY_PATTERNS)) > 0)
+    return rows.select(
+        "query", *more, "provider", "model", "llm_status", F.coalesce("fallback", F.lit(False)).alias("fallback"), copy.alias("copy"),
+        F.char_length(copy).alias("copy_length"), bad.alias("is_bad_copy"), tag_all_matches(copy, L.COMPARED_CLAIMS).alias("claims"),
+    )
+
+
 def bad_copy_gate(copy: Column, rewritten: Column, fallback: Column) -> Column:
     """struct<copy, status, reason>: a copy that reads like a search result is replaced by its rewrite, else by the fallback."""
     first = lambda c: F.get(tag_all_matches(c, L.BAD_COPY_PATTERNS), F.lit(0))

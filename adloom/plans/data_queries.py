@@ -194,7 +194,34 @@ def d7_validate_chat(spark, sf_dir):
   coalesce(round(avg(CASE WHEN len(errors) = 0 THEN assistant_length END), 2), 0.0) AS avg_assistant_length FROM v"""
 )
 def d8_chat_stats(spark, sf_dir):
-    return datasets.chat_stats(_validated(spark, sf_dir))
+    return datasets.chat_stats(_validated(spark, sf_dir)).drop("avg_score")
+
+
+RATED = f"""{CHATS}, x AS (SELECT v.*, 'p' || conv_id % 3 AS provider, len(m) * 1.5 AS score, CASE WHEN len(m) >= 6 THEN 'high' WHEN len(m) >= 4 THEN 'medium' ELSE 'low' END AS confidence FROM v JOIN c USING (conv_id))"""
+
+
+def _rated(spark, sf_dir):
+    """The same samples with a provider by id, and a score and confidence by the number of turns."""
+    turns = F.size("messages")
+    confidence = F.when(turns >= 6, "high").when(turns >= 4, "medium").otherwise("low")
+    meta = F.struct(F.concat(F.lit("p"), (F.col("conv_id") % 3).cast("string")).alias("provider"), (turns * 1.5).alias("score"), confidence.alias("evidence_confidence"))
+    return _validated(spark, sf_dir).withColumn("metadata", meta)
+
+
+@checked(
+    f"""WITH {RATED} SELECT count(*) AS total_samples, count(*) FILTER (len(errors) = 0) AS valid_samples, count(*) FILTER (len(errors) > 0) AS invalid_samples,
+  coalesce(round(avg(assistant_length) FILTER (len(errors) = 0), 2), 0.0) AS avg_assistant_length, coalesce(round(avg(score::DOUBLE) FILTER (len(errors) = 0), 2), 0.0) AS avg_score FROM x"""
+)
+def d8_chat_scores(spark, sf_dir):
+    return datasets.chat_stats(_rated(spark, sf_dir))
+
+
+@checked(
+    f"""WITH {RATED}, y AS (SELECT 'provider' AS field, provider AS value FROM x WHERE len(errors) = 0 UNION ALL SELECT 'evidence_confidence', confidence FROM x WHERE len(errors) = 0
+  UNION ALL SELECT 'invalid_reason', unnest(errors) FROM x) SELECT field, value, count(*) AS n FROM y GROUP BY ALL"""
+)
+def d8_chat_distributions(spark, sf_dir):
+    return datasets.chat_distributions(_rated(spark, sf_dir))
 
 
 @checked(f"WITH {CHATS} SELECT reason, count(*) AS n FROM (SELECT unnest(errors) AS reason FROM v) GROUP BY reason")
@@ -255,6 +282,65 @@ def d14_baseline_distributions(spark, sf_dir):
     return datasets.baseline_distributions(_replayed(spark, sf_dir))
 
 
+ORDERS = {"query_bucket": ("short", "medium", "long"), "evidence_strength": ("high", "low")}
+NUMBERED = f"""{POOL_SQL},
+picked AS (SELECT *, row_number() OVER (PARTITION BY query_bucket, evidence_strength ORDER BY md5(concat_ws('|', '42', normalized_query)), normalized_query) AS picked FROM pool
+  QUALIFY picked <= CASE query_bucket WHEN 'short' THEN 2 WHEN 'medium' THEN 3 ELSE 10 END),
+numbered AS (SELECT *, row_number() OVER (ORDER BY list_position(['short', 'medium', 'long'], query_bucket), list_position(['high', 'low'], evidence_strength), query_category, normalized_query) AS sample_no FROM picked)"""
+RECORDS = f"""{NUMBERED}, {REPLAY}, rec AS (SELECT printf('v5eval_%03d', sample_no) AS sample_id, p.*, r.copy, r.provider, r.model, r.status AS llm_status, r.fallback, CASE WHEN length(r.copy) % 2 = 0 THEN 'hit' ELSE 'miss' END AS cache_status
+  FROM numbered p JOIN rp r USING (query) WHERE baseline = 'full_pipeline')"""
+
+
+def _numbered(spark, sf_dir):
+    return datasets.number_samples(datasets.stratified_sample(_pool(spark, sf_dir), SAMPLE_QUOTAS, strict=False), ORDERS)
+
+
+def _records(spark, sf_dir):
+    """The numbered sample with the full pipeline's outcomes; whether a copy was cached is read off its length."""
+    outcomes = _replayed(spark, sf_dir).where("baseline = 'full_pipeline'").select("query", "copy", "provider", "model", "llm_status", "fallback", F.when(F.char_length("copy") % 2 == 0, "hit").otherwise("miss").alias("cache_status"))
+    planned = _numbered(spark, sf_dir)
+    return datasets.eval_records(planned, outcomes, a5_evidence_topk(spark, sf_dir), 3, CATEGORIES)
+
+
+@checked(f"WITH {WITH_ALL}, {NUMBERED} SELECT printf('v5eval_%03d', sample_no) AS sample_id, sample_no::INT AS sample_no, query_bucket, evidence_strength, query_category, normalized_query FROM numbered")
+def d10_numbered_sample(spark, sf_dir):
+    return _numbered(spark, sf_dir).select("sample_id", "sample_no", "query_bucket", "evidence_strength", "query_category", "normalized_query")
+
+
+@checked(f"WITH {WITH_ALL}, {RECORDS} SELECT sample_id, query, query_bucket, query_category, round(evidence_score, 6) AS evidence_score, evidence_strength, copy, provider, model, llm_status, fallback, cache_status FROM rec")
+def d18_eval_records(spark, sf_dir):
+    kept = ("query_bucket", "query_category", F.round("evidence_score", 6).alias("evidence_score"), "evidence_strength", "copy", "provider", "model", "llm_status", "fallback", "cache_status")
+    return _records(spark, sf_dir).select("sample_id", "query", *kept)
+
+
+@checked(
+    f"""WITH {WITH_ALL}, {RECORDS}, k(field, value, place, requested) AS (VALUES ('query_bucket', 'short', 0, NULL), ('query_bucket', 'medium', 1, NULL), ('query_bucket', 'long', 2, NULL), ('evidence_strength', 'high', 0, NULL), ('evidence_strength', 'low', 1, NULL),
+  ('query_category', 'metal', 0, NULL), ('query_category', 'plain', 1, NULL), ('query_category', 'fine', 2, NULL), ('query_category', 'misc', 3, NULL),
+  ('quota', 'long-high', 0, 10), ('quota', 'long-low', 1, 10), ('quota', 'medium-high', 2, 3), ('quota', 'medium-low', 3, 3), ('quota', 'short-high', 4, 2), ('quota', 'short-low', 5, 2)),
+c AS (SELECT field, value, count(*) AS n FROM (SELECT unnest([{{'field': 'quota', 'value': query_bucket || '-' || evidence_strength}}, {{'field': 'query_bucket', 'value': query_bucket}}, {{'field': 'evidence_strength', 'value': evidence_strength}},
+  {{'field': 'query_category', 'value': query_category}}, {{'field': 'provider', 'value': provider}}, {{'field': 'model', 'value': model}}, {{'field': 'llm_status', 'value': llm_status}}, {{'field': 'cache_status', 'value': cache_status}}], recursive := true) FROM rec) GROUP BY ALL)
+SELECT coalesce(k.field, c.field) AS field, coalesce(k.value, c.value) AS value, coalesce(n, 0) AS n, place, requested FROM k FULL JOIN c ON k.field = c.field AND k.value = c.value"""
+)
+def d12_eval_distributions(spark, sf_dir):
+    listed = ORDERS | {"query_category": ("metal", "plain", "fine", "misc"), "provider": (), "model": (), "llm_status": (), "cache_status": ()}
+    return datasets.eval_distributions(_records(spark, sf_dir), listed, SAMPLE_QUOTAS)
+
+
+@checked(f"WITH {WITH_ALL}, {RECORDS} SELECT count(*) AS total_samples, count(*) FILTER (fallback) AS fallback_triggered_count, coalesce(round(avg(fallback::INT), 4), 0.0) AS fallback_triggered_ratio FROM rec")
+def d12_eval_summary(spark, sf_dir):
+    return datasets.eval_summary(_records(spark, sf_dir))
+
+
+@checked(
+    f"""WITH {WITH_ALL}, {REPLAY}, w AS (SELECT ['元', '¥', '折', '优惠', '立减', '销量', '热销', '爆款', '治', '改善', '修复', '药效', '功效', '续航', '认证'] AS claims, ['当前候选主要集中', '建议先从这类商品里继续筛选', '更贴近当前需求', '信息清楚，适合先了解', '可先关注', '等商品'] AS bad)
+SELECT query, baseline, provider, model, status AS llm_status, fallback, copy, length(copy)::INT AS copy_length, copy = '' OR len(list_filter(bad, lambda t: contains(copy, t))) > 0 AS is_bad_copy,
+  array_to_string(list_filter(claims, lambda t: contains(copy, t)), '|') AS claims FROM (SELECT * REPLACE (trim(copy) AS copy) FROM rp WHERE baseline IN ('summary_topk', 'llm_topk', 'full_pipeline')), w"""
+)
+def d16_provider_rows(spark, sf_dir):
+    rows = _replayed(spark, sf_dir).where("baseline in ('summary_topk', 'llm_topk', 'full_pipeline')")
+    return datasets.provider_rows(rows, "baseline").withColumn("claims", F.array_join("claims", "|"))
+
+
 @checked(f"WITH {WITH_ALL}, {BASELINES} SELECT baseline, count(*) AS n, count(*) FILTER (copy <> '') AS n_non_empty, count(*) FILTER (fallback) AS n_fallback, round(avg(fallback::INT), 4) AS fallback_ratio FROM bl GROUP BY baseline")
 def d14_baseline_summary(spark, sf_dir):
     return datasets.baseline_summary(_baselines(spark, sf_dir))
