@@ -49,3 +49,30 @@ def template_copy(query: Column, title: Column, brand: Column, seller: Column, p
         .when(category != "", fill(CATEGORY_ONLY, **values))
         .otherwise(fill(QUERY_ONLY, **values))
     )
+
+
+# Sentences of the conservative copy, and the marks that a cut copy loses at its end.
+CAUTIOUS_SELLER = "围绕“{query}”，可先看看这款{title}，由{seller}在售，信息更直观。"
+CAUTIOUS_TITLE = "围绕“{query}”，可先看看这款{title}，更贴近当前搜索需求。"
+CAUTIOUS_CATEGORY = "围绕“{query}”，建议先关注{category}方向的候选商品。"
+CAUTIOUS_QUERY = "围绕“{query}”，建议先关注当前更匹配的候选商品方向。"
+CUT_MARKS = "，。；、 "
+
+
+def cut_copy(text: Column, limit: int = 50) -> Column:
+    """White space collapsed; a text over the limit is cut one short of it, loses marks at its end and gets a full stop."""
+    flat = F.regexp_replace(clean_text(text), r"(?U)\s+", " ")
+    return F.when(F.char_length(flat) <= limit, flat).otherwise(F.concat(F.rtrim(F.left(flat, F.lit(limit - 1)), F.lit(CUT_MARKS)), F.lit("。")))
+
+
+def conservative_copy(query: Column, title: Column, seller: Column, path: Column, limit: int = 50) -> Column:
+    """The sentence for when no text was generated: about the first item, its category, or the query alone."""
+    query, title, seller, category = clean_text(query), clean_text(title), clean_text(seller), leaf_category(path)
+    values = {"query": query, "title": title, "seller": seller, "category": category}
+    made = (
+        F.when((title != "") & (seller != ""), fill(CAUTIOUS_SELLER, **values))
+        .when(title != "", fill(CAUTIOUS_TITLE, **values))
+        .when(category != "", fill(CAUTIOUS_CATEGORY, **values))
+        .otherwise(fill(CAUTIOUS_QUERY, **values))
+    )
+    return cut_copy(made, limit)

@@ -221,6 +221,16 @@ def number_samples(sample: DataFrame, orders: dict[str, Sequence[str]], then: Se
     return numbered.withColumn("sample_id", F.format_string(f"{prefix}_%03d", "sample_no"))
 
 
+def domain_sample(pool: DataFrame, quotas: dict[tuple[str, str], int], orders: dict[str, Sequence[str]], least: int = 30, size: int | None = None, then: Sequence[str] = ("normalized_query",)) -> DataFrame:
+    """The sample of every (domain, length) in order, with sample_no; its first `size` rows. Fewer than `least` rows in all
+    are an error."""
+    sample = number_samples(stratified_sample(pool, quotas, tuple(orders), strict=False), orders, then, "case")
+    found = sample.count()  # at most the quotas' sum
+    if found < least:
+        raise ValueError(f"only {found} samples of at least {least}")
+    return sample if size is None else sample.where(F.col("sample_no") <= size)
+
+
 def eval_distributions(records: DataFrame, listed: dict[str, Sequence[str]], quotas: dict[tuple[str, str], int], strata: tuple[str, str] = ("query_bucket", "evidence_strength")) -> DataFrame:
     """field, value, n, place, requested of evaluation records in one aggregate.
 
@@ -320,6 +330,27 @@ def compare_baselines(rows: DataFrame, one: str, other: str, key: str = "query")
     return both.agg(F.count("*").alias("n"), F.coalesce(F.sum((F.col(f"`{one}`") != F.col(f"`{other}`")).cast("int")), F.lit(0)).alias("n_different"))
 
 
+def comparison_summary(rows: DataFrame, key: str = "query") -> DataFrame:
+    """One row of replayed baselines: n_samples, fallbacks and their ratios of summary and model, and how many samples have
+    different copies: personalised against plain template, model against summary and against template."""
+    named = {"template": "template_top1", "personalized": "template_personalized", "summary": "summary_topk", "llm": "llm_topk"}
+    of = lambda name, c: F.max(F.when(F.col("baseline") == named[name], F.col(c)))
+    wide = rows.groupBy(key).agg(*[of(n, "copy").alias(n) for n in named], *[of(n, "fallback").alias(f"{n}_fell") for n in ("summary", "llm")])
+    count = lambda c: F.coalesce(F.sum(F.coalesce(c, F.lit(False)).cast("int")), F.lit(0))
+    ratio = lambda c: F.coalesce(F.round(F.avg(F.coalesce(c, F.lit(False)).cast("int")), 4), F.lit(0.0))
+    differ = lambda a, b: F.col(a) != F.col(b)
+    return wide.agg(
+        F.count("*").alias("n_samples"),
+        count(F.col("summary_fell")).alias("summary_fallback_count"),
+        ratio(F.col("summary_fell")).alias("summary_fallback_ratio"),
+        count(F.col("llm_fell")).alias("llm_fallback_count"),
+        ratio(F.col("llm_fell")).alias("llm_fallback_ratio"),
+        count(differ("template", "personalized")).alias("personalized_changed"),
+        count(differ("llm", "summary")).alias("llm_vs_summary_changed"),
+        count(differ("llm", "template")).alias("llm_vs_template_changed"),
+    )
+
+
 def compare_providers(rows: DataFrame, one: str, other: str, key: str = "query") -> DataFrame:
     """query, the two copies and what is to be seen: same, first longer, second longer, only one."""
     wide = rows.where(F.col("provider").isin(one, other)).groupBy(key).pivot("provider", [one, other]).agg(F.first("copy")).select(key, F.col(f"`{one}`").alias("first_copy"), F.col(f"`{other}`").alias("second_copy"))

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from adloom.functions import prompts as P
-from adloom.functions.copies import template_copy
+from adloom.functions.copies import conservative_copy, template_copy
 from adloom.functions.text import normalize_query
 from adloom.operators import ctr, datasets, metrics
 from adloom.operators import evidence as E
@@ -161,6 +161,18 @@ def d11_domain_sample(spark, sf_dir):
     return picked.select("normalized_query", "query_category", "query_bucket", "picked")
 
 
+@checked(
+    f"""WITH {WITH_ALL}, {POOL_SQL}, d AS (SELECT * FROM pool QUALIFY row_number() OVER (PARTITION BY query_category, query_bucket ORDER BY md5(concat_ws('|', '42', normalized_query)), normalized_query) <= CASE query_category WHEN 'misc' THEN 1 ELSE 3 END)
+SELECT row_number() OVER (ORDER BY list_position(['metal', 'plain', 'fine', 'misc'], query_category), list_position(['short', 'medium', 'long'], query_bucket), normalized_query)::INT AS sample_no, normalized_query, query_category, query_bucket FROM d QUALIFY sample_no <= 15"""
+)
+def d11_ordered_sample(spark, sf_dir):
+    """The test data have too few kinds of queries for 30 samples, so 5 are asked for at least."""
+    orders = {"query_category": ("metal", "plain", "fine", "misc"), "query_bucket": ("short", "medium", "long")}
+    quotas = {(c, b): 1 if c == "misc" else 3 for c in orders["query_category"] for b in orders["query_bucket"]}
+    picked = datasets.domain_sample(_pool(spark, sf_dir), quotas, orders, 5, 15)
+    return picked.select("sample_no", "normalized_query", "query_category", "query_bucket")
+
+
 @checked(
     f"""WITH {WITH_ALL}, {POOL_SQL}, k AS (SELECT unnest(['short', 'medium', 'long', 'endless']) AS value, unnest([0, 1, 2, 3]) AS place)
 SELECT k.value, count(p.query) AS n, place FROM k LEFT JOIN pool p ON p.query_bucket = k.value GROUP BY ALL"""
@@ -282,6 +294,27 @@ def d14_baseline_distributions(spark, sf_dir):
     return datasets.baseline_distributions(_replayed(spark, sf_dir))
 
 
+@checked(
+    f"""WITH {WITH_ALL}, {REPLAY}, w AS (SELECT query, max(copy) FILTER (baseline = 'template_top1') AS t, max(copy) FILTER (baseline = 'template_personalized') AS p, max(copy) FILTER (baseline = 'summary_topk') AS s, max(copy) FILTER (baseline = 'llm_topk') AS l,
+  bool_or(fallback) FILTER (baseline = 'summary_topk') AS sf, bool_or(fallback) FILTER (baseline = 'llm_topk') AS lf FROM rp GROUP BY query)
+SELECT count(*) AS n_samples, count(*) FILTER (sf) AS summary_fallback_count, round(avg(sf::INT), 4) AS summary_fallback_ratio, count(*) FILTER (lf) AS llm_fallback_count, round(avg(lf::INT), 4) AS llm_fallback_ratio,
+  count(*) FILTER (t <> p) AS personalized_changed, count(*) FILTER (l <> s) AS llm_vs_summary_changed, count(*) FILTER (l <> t) AS llm_vs_template_changed FROM w"""
+)
+def d15_comparison_summary(spark, sf_dir):
+    return datasets.comparison_summary(_replayed(spark, sf_dir))
+
+
+@checked(
+    f"""WITH {WITH_ALL}, x AS (SELECT query, pos, trim(query) AS q, item_title AS t, seller_name AS s, trim(string_split(category_path, '>')[-1]) AS c FROM evidence),
+y AS (SELECT query, pos, regexp_replace(CASE WHEN t <> '' AND s <> '' THEN concat('围绕“', q, '”，可先看看这款', t, '，由', s, '在售，信息更直观。') WHEN t <> '' THEN concat('围绕“', q, '”，可先看看这款', t, '，更贴近当前搜索需求。')
+  WHEN c <> '' THEN concat('围绕“', q, '”，建议先关注', c, '方向的候选商品。') ELSE concat('围绕“', q, '”，建议先关注当前更匹配的候选商品方向。') END, '\\s+', ' ', 'g') AS made FROM x)
+SELECT query, pos, CASE WHEN length(made) <= 50 THEN made ELSE rtrim(left(made, 49), '，。；、 ') || '。' END AS copy FROM y"""
+)
+def u10_conservative_copy(spark, sf_dir):
+    copy = conservative_copy(*map(F.col, ("query", "item_title", "seller_name", "category_path")))
+    return a5_evidence_topk(spark, sf_dir).select("query", "pos", copy.alias("copy"))
+
+
 ORDERS = {"query_bucket": ("short", "medium", "long"), "evidence_strength": ("high", "low")}
 NUMBERED = f"""{POOL_SQL},
 picked AS (SELECT *, row_number() OVER (PARTITION BY query_bucket, evidence_strength ORDER BY md5(concat_ws('|', '42', normalized_query)), normalized_query) AS picked FROM pool
