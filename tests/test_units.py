@@ -125,6 +125,10 @@ def test_metrics_edges(spark):
     with pytest.raises(ValueError):
         datasets.stratified_sample(pool, {("short", "high"): 2})
     assert datasets.stratified_sample(pool, {("short", "high"): 1}).count() == 1
+    orders = {"query_bucket": ("short", "long"), "evidence_strength": ("high", "low")}
+    with pytest.raises(ValueError):
+        datasets.domain_sample(pool, {("short", "high"): 1}, orders, least=2)
+    assert [r["sample_id"] for r in datasets.domain_sample(pool, {("short", "high"): 1}, orders, least=1).collect()] == ["case_001"]
 
 
 def test_candidates(spark):
