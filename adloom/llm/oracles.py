@@ -81,4 +81,25 @@ hit AS (SELECT b.doc_id, sum(least((j + 1) * 16, at_word + size) - greatest(j *
   WHERE quota >= in_shard OR (coalesce(prime, 1000003) * (j - u.shard * 16384) + 42 * 7919 + u.shard * 104729) % in_shard < quota GROUP BY b.doc_id)
 SELECT doc_id, size, source_size, target, (passes * size + coalesce(extra, 0))::BIGINT AS taken FROM pos LEFT JOIN hit USING (doc_id)"""
 
-ORACLES = {"op1_secret_scan": OP1, "op2_ngram_jaccard": OP2, "op3_exact_dedup": OP3, "op6_line_dedup": OP6, "op8_mixing": OP8}
+OP11 = """WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, a.label AS own, b.vec_id AS id, b.label, list_dot_product(a.v, b.v)::BIGINT AS score FROM e a JOIN e b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE label = own QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT p.anchor_id, positive_id, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, id)::INT AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND s.label <> s.own AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score QUALIFY rank <= 10"""
+
+OP13 = f"""WITH t AS (SELECT row_number() OVER () AS d, coalesce(lang, 'und') AS lang, {LOWER.format("coalesce(text, '')")} AS t FROM documents),
+p AS (SELECT d, lang, unnest(string_split_regex(t, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM t),
+q AS (SELECT lang, list_filter(string_split_regex(piece, '[ \\t]'), lambda x: x <> '') AS w FROM p),
+g AS (SELECT lang, size, array_to_string(w[i : i + size - 1], ' ') AS phrase FROM (SELECT lang, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM q, (SELECT unnest([1, 2, 3, 4]) AS size))),
+f AS (SELECT lang, size, phrase, count(*) AS f FROM g GROUP BY ALL), n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE size = 1 GROUP BY lang),
+c AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE f >= 30),
+cuts AS (SELECT lang, size, phrase, w, f AS a, unnest(range(1, size)) AS k FROM c WHERE size > 1),
+s AS (SELECT cuts.lang, cuts.phrase, a, k, x.f AS l, y.f AS r, (2000000::HUGEINT * a // (x.f + y.f))::BIGINT AS score FROM cuts JOIN f x ON x.lang = cuts.lang AND x.phrase = array_to_string(w[1:k], ' ') JOIN f y ON y.lang = cuts.lang AND y.phrase = array_to_string(w[k + 1:], ' ')),
+low AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+sub AS (SELECT lang, f, array_to_string(w[i : i + m - 1], ' ') AS phrase FROM (SELECT *, unnest(range(1, size - m + 2)) AS i FROM (SELECT *, unnest(range(2, size)) AS m FROM c WHERE size > 2))),
+h AS (SELECT lang, phrase, max(f) AS longer FROM sub GROUP BY ALL)
+SELECT low.lang, row_number() OVER (PARTITION BY low.lang ORDER BY score DESC, a DESC, low.phrase) AS rank, low.phrase, a, l, r, n, score FROM low JOIN n ON n.lang = low.lang LEFT JOIN h ON h.lang = low.lang AND h.phrase = low.phrase
+WHERE longer IS NULL OR 100 * longer < 80 * a QUALIFY rank <= 2000"""
+
+ORACLES = {"op1_secret_scan": OP1, "op2_ngram_jaccard": OP2, "op3_exact_dedup": OP3, "op6_line_dedup": OP6, "op8_mixing": OP8, "op11_hard_negatives": OP11, "op13_phrases": OP13}

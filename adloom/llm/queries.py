@@ -10,11 +10,14 @@ from pyspark.sql import functions as F
 from adloom.llm.common import table
 from adloom.llm.decontaminate import contaminated
 from adloom.llm.exact_dedup import exact_dedup
+from adloom.llm.hard_negatives import hard_negatives
+from adloom.llm.language_id import identify_languages
 from adloom.llm.language_model import lm_scores
 from adloom.llm.line_dedup import dedup_lines
 from adloom.llm.mixing import mix_sources
 from adloom.llm.near_dup import jaccard_components
 from adloom.llm.oracles import ORACLES  # noqa: F401
+from adloom.llm.phrases import mine_phrases
 from adloom.llm.quality import quality_scores
 from adloom.llm.secrets import scan_secrets, span_list
 from adloom.llm.sharding import bounded_ring
@@ -74,6 +77,20 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bounded_ring(table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(vectors.withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(table(spark, sf_dir, "documents"))
+
+
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mine_phrases(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -87,5 +104,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_mixing,
         op9_decontamination,
         op10_sharding,
+        op11_hard_negatives,
+        op12_language_id,
+        op13_phrases,
     )
 }
