@@ -2,119 +2,127 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from adloom.functions.text import normalize_query, tokens
-from adloom.operators.evidence import attach_user_profile, best_record, evidence_topk, query_item_stats
+from adloom.operators.evidence import attach_user_profile, evidence_topk, query_item_stats
+from adloom.operators.search import bm25_topk, lexical_overlap_topk
+from adloom.sources.stored import dropped, stored
 
-K1, B = 1.2, 0.75
+
+#: Requests of one query, and rows of one frequent key, are dealt to so many tasks.
+SALTS = 16
+#: A pair token is hot if more pair queries have it; at most so many tokens are hot at all, and in one query.
+HOT, MOST_HOT, WIDEST = 1000, 65_536, 8
+
+
+def _three_keys(rows: DataFrame, *kept: str) -> DataFrame:
+    """Every row under its (query, user), (query, session) and query: norm_query, the columns of `kept`, tier, who."""
+    keys = [F.struct(F.lit(tier).alias("tier"), F.col(c).cast("string").alias("who")) for tier, c in ((1, "user_id"), (2, "session_id"))]
+    query_key = F.struct(F.lit(3).alias("tier"), F.lit("").alias("who"))
+    return rows.select(normalize_query(F.col("query")).alias("norm_query"), *kept, F.inline(F.array(*keys, query_key))).where("who is not null")
 
 
 def match_pairs_exact(requests: DataFrame, pairs: DataFrame) -> DataFrame:
     """request_id, pair_seq, source for requests (request_id, query, user_id, session_id) whose normalized query has pairs
     (query, user_id, session_id, seq). A pair of the same user comes first, then of the same session, then any; the first
-    in seq of each. One aggregate per request, no sort."""
-    asked = requests.select("request_id", normalize_query(F.col("query")).alias("norm_query"), F.col("user_id").alias("asked_user"), F.col("session_id").alias("asked_session"))
-    known = pairs.select(normalize_query(F.col("query")).alias("norm_query"), "user_id", "session_id", "seq")
-    tier = F.when(F.col("user_id") == F.col("asked_user"), 1).when(F.col("session_id") == F.col("asked_session"), 2).otherwise(3)
-    best = asked.join(known, "norm_query").groupBy("request_id").agg(F.min(F.struct(tier.alias("tier"), "seq")).alias("best"))
+    in seq of each.
+
+    Pairs are reduced before they meet anything: to the first per (query, user), (query, session) and query. A request
+    looks up three keys, so it has three rows at most, however many pairs and requests its query has.
+    """
+    known = _three_keys(pairs, "seq").groupBy("norm_query", "tier", "who").agg(F.min("seq").alias("seq"))
+    # the query's own key may be asked for by very many requests
+    salts = F.when(F.col("tier") == 3, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    known = known.select("norm_query", "tier", "who", "seq", F.explode(salts).alias("salt"))
+    salt = F.when(F.col("tier") == 3, F.pmod(F.xxhash64("request_id"), F.lit(SALTS)).cast("int")).otherwise(0)
+    met = _three_keys(requests, "request_id").withColumn("salt", salt).join(known, ["norm_query", "tier", "who", "salt"])
+    best = met.groupBy("request_id").agg(F.min(F.struct("tier", "seq")).alias("best"))
     names = F.array(*map(F.lit, ("train_pairs_user_exact", "train_pairs_session_exact", "train_pairs_query_exact")))
     return best.select("request_id", F.col("best.seq").alias("pair_seq"), F.element_at(names, F.col("best.tier")).alias("source"))
 
 
-def match_pairs_fuzzy(requests: DataFrame, pairs: DataFrame) -> DataFrame:
+def _subsets(words: Column) -> Column:
+    """Every subset of a short sorted array but the empty one, as struct<n, key>."""
+    none = F.array(F.struct(F.lit(0).alias("n"), F.lit("").alias("key")))
+    grown = lambda found, w: F.concat(found, F.transform(found, lambda x: F.struct((x["n"] + 1).alias("n"), F.concat(x["key"], F.lit("\x01"), w).alias("key"))))
+    return F.filter(F.aggregate(words, none, grown), lambda x: x["n"] > 0)
+
+
+def fuzzy_candidates(left: DataFrame, right: DataFrame, hot: int = HOT, most_hot: int = MOST_HOT, widest: int = WIDEST) -> tuple[DataFrame, DataFrame]:
+    """Two tables of (norm_query, few, gap, pair_query), one row of each being a query's best: pairs of queries that share a
+    token that is not hot in both, with all they share; and the best pair query by hot tokens alone.
+
+    left (norm_query, words) and right (pair_query, words) are distinct. Up to `widest` hot tokens of a query, the most
+    frequent ones, are hot in it, the others keyed. Keyed tokens join both sides. Hot tokens never do: every subset of a
+    pair query's hot tokens keeps, for each length, the first text, and a query looks its own subsets up, one row each.
+    """
+    counts = right.select(F.explode("words").alias("token")).groupBy("token").agg(F.count("*").alias("df")).where(F.col("df") > hot)
+    frequent = counts.orderBy(F.desc("df"), "token").limit(most_hot)  # bounded, so it is broadcast
+
+    def split(side: DataFrame, name: str) -> DataFrame:
+        marked = side.select(name, F.explode("words").alias("token")).join(F.broadcast(frequent), "token").groupBy(name)
+        marked = marked.agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("df")).alias("few"), "token"))), 1, widest).alias("hot"))
+        marked = marked.select(name, F.sort_array(F.transform("hot", lambda x: x["token"])).alias("hot"))
+        found = side.join(marked, name, "left").withColumn("hot", F.coalesce("hot", F.array().cast("array<string>")))
+        return stored(found.withColumn("keyed", F.array_except("words", "hot")), "split")
+
+    asked, known = split(left, "norm_query"), split(right, "pair_query")
+    own = lambda side, name, which: side.select(name, F.explode(which).alias("token"))
+    spilled = lambda side, name: own(side, name, "keyed").select("token").distinct().join(F.broadcast(frequent), "token", "left_semi")
+    asked_keys = own(asked, "norm_query", "keyed").unionByName(own(asked, "norm_query", "hot").join(spilled(known, "pair_query"), "token", "left_semi"))
+    known_keys = own(known, "pair_query", "keyed").unionByName(own(known, "pair_query", "hot").join(spilled(asked, "norm_query"), "token", "left_semi"))
+    met = asked_keys.join(known_keys, "token").select("norm_query", "pair_query").distinct()
+    met = met.join(left, "norm_query").join(right.withColumnRenamed("words", "others"), "pair_query")
+    gap = F.abs(F.char_length("pair_query") - F.char_length("norm_query"))
+    by_key = met.select("norm_query", (-F.size(F.array_intersect("words", "others"))).alias("few"), gap.alias("gap"), "pair_query")
+
+    first = known.select("pair_query", F.char_length("pair_query").alias("size"), F.inline(_subsets(F.col("hot")))).groupBy("key", "size").agg(F.min("pair_query").alias("pair_query"))
+    listed = first.groupBy("key").agg(F.collect_list(F.struct("size", "pair_query")).alias("found"))
+    looked = asked.select("norm_query", F.char_length("norm_query").alias("own"), F.inline(_subsets(F.col("hot")))).join(listed, "key")
+    nearest = F.array_min(F.transform("found", lambda x: F.struct(F.abs(x["size"] - F.col("own")).alias("gap"), x["pair_query"].alias("pair_query"))))
+    by_hot = looked.select("norm_query", (-F.col("n")).alias("few"), nearest.alias("best")).select("norm_query", "few", "best.*")
+    return by_key, by_hot
+
+
+def match_pairs_fuzzy(requests: DataFrame, pairs: DataFrame, hot: int = HOT, most_hot: int = MOST_HOT, widest: int = WIDEST) -> DataFrame:
     """request_id, pair_seq, matched_query, overlap: the pair query that shares most distinct tokens, then has the closest
     length, then comes first by text; its first pair.
 
-    Distinct normalized queries on both sides meet on tokens, so repeated requests and pairs cost nothing extra.
+    Distinct normalized queries on both sides meet (see fuzzy_candidates), so repeated requests and pairs cost nothing extra.
     """
     asked = requests.select("request_id", normalize_query(F.col("query")).alias("norm_query"))
     known = pairs.select(normalize_query(F.col("query")).alias("pair_query"), "seq").groupBy("pair_query").agg(F.min("seq").alias("pair_seq"))
-    left = asked.select("norm_query").distinct().select("norm_query", F.explode(F.array_distinct(tokens(F.col("norm_query"), "chunk4"))).alias("token"))
-    right = known.select("pair_query", F.explode(F.array_distinct(tokens(F.col("pair_query"), "chunk4"))).alias("token"))
-    shared = left.join(right, "token").groupBy("norm_query", "pair_query").agg(F.count("*").alias("overlap"))
-    gap = F.abs(F.char_length("pair_query") - F.char_length("norm_query"))
-    best = shared.groupBy("norm_query").agg(
-        F.min(F.struct((-F.col("overlap")).alias("few"), gap.alias("gap"), F.col("pair_query").alias("pair_query"))).alias("best")
-    ).select("norm_query", F.col("best.pair_query").alias("pair_query"), (-F.col("best.few")).alias("overlap"))
+    worded = lambda df, name: df.select(name, F.array_distinct(tokens(F.col(name), "chunk4")).alias("words")).where(F.size("words") > 0)
+    left = stored(worded(asked.select("norm_query").distinct(), "norm_query"), "asked")
+    right = stored(worded(known, "pair_query"), "known")
+    by_key, by_hot = fuzzy_candidates(left, right, hot, most_hot, widest)
+    best = by_key.unionByName(by_hot).groupBy("norm_query").agg(F.min(F.struct("few", "gap", "pair_query")).alias("best"))
+    best = best.select("norm_query", F.col("best.pair_query").alias("pair_query"), (-F.col("best.few")).cast("long").alias("overlap"))
     return (
         asked.join(best, "norm_query").join(known, "pair_query")
         .select("request_id", "pair_seq", F.col("pair_query").alias("matched_query"), "overlap")
-    )
+    )
 
 
 def match_rank_exact(requests: DataFrame, rows: DataFrame, items: DataFrame, k: int = 3) -> DataFrame:
     """request_id, source, pos and evidence of requests whose normalized query is among positive log rows.
 
     Rows of the requesting user are aggregated if there are any, else rows of the session, else all rows of the query.
-    User and session sums are keyed by (query, user) and (query, session), so a query's rows are never repeated per request.
+    A request first picks its group among the distinct keys of the log; the sums and the top k of a group are then made
+    once for all of its requests.
     """
-    asked = requests.select("request_id", normalize_query(F.col("query")).alias("norm_query"), "user_id", "session_id")
-    logged = rows.withColumn("norm_query", normalize_query(F.col("query")))
-    wanted = logged.join(asked.select("norm_query").distinct(), "norm_query", "left_semi")
-    kind = [("rank_user_exact", ["norm_query", "user_id"]), ("rank_session_exact", ["norm_query", "session_id"]), ("rank_query_exact", ["norm_query"])]
-    left, out = asked, None
-    for source, keys in kind:
-        # requests and groups meet on distinct keys; the group's top k is computed once for all of its requests
-        group = F.concat_ws("\x01", *[F.col(c).cast("string") for c in keys])
-        groups = left.select(*keys).distinct()
-        stats = query_item_stats(wanted.join(groups, keys, "left_semi").withColumn("group", group), "group")
-        top = evidence_topk(stats, items, k, key="group")
-        found = left.withColumn("group", group).join(top, "group").drop("group", "norm_query", "user_id", "session_id").withColumn("source", F.lit(source))
-        out = found if out is None else out.unionByName(found)
-        left = left.join(found.select("request_id").distinct(), "request_id", "left_anti")
-    return out
-
-
-def _query_tokens(queries: DataFrame, query_id: str, text: Column) -> DataFrame:
-    return queries.select(query_id, F.explode(F.array_distinct(tokens(text, "unigram"))).alias("token"))
-
-
-def _doc_terms(docs: DataFrame, doc_id: str, text: Column, vocabulary: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc, token, tf) of tokens that some query has, and (doc, n_tokens) of all."""
-    words = tokens(text, "unigram")
-    sizes = docs.select(doc_id, F.size(words).cast("bigint").alias("n_tokens")).where("n_tokens > 0")
-    terms = docs.select(doc_id, F.explode(words).alias("token")).join(vocabulary, "token", "left_semi")
-    return terms.groupBy(doc_id, "token").agg(F.count("*").alias("tf")), sizes
-
-
-def lexical_overlap_topk(queries: DataFrame, docs: DataFrame, k: int = 3, query_id: str = "query_id", doc_id: str = "doc_id", query_text: Column | None = None, doc_text: Column | None = None) -> DataFrame:
-    """query, pos, doc, overlap, score: distinct shared tokens plus 0.001 per token of the document; lower ids first of equals.
-
-    Only tokens of the queries' vocabulary leave the documents.
-    """
-    asked = _query_tokens(queries, query_id, F.col("text") if query_text is None else query_text)
-    terms, sizes = _doc_terms(docs, doc_id, F.col("text") if doc_text is None else doc_text, asked.select("token").distinct())
-    shared = asked.join(terms, "token").groupBy(query_id, doc_id).agg(F.count("*").alias("overlap"))
-    scored = shared.join(sizes, doc_id).withColumn("milli", F.col("overlap") * 1000 + F.col("n_tokens"))
-    by = Window.partitionBy(query_id).orderBy(F.desc("milli"), doc_id)
-    top = scored.withColumn("pos", F.row_number().over(by)).where(F.col("pos") <= k)
-    return top.select(query_id, "pos", doc_id, "overlap", F.round(F.col("milli") / 1000.0, 6).alias("score"))
-
-
-def bm25_topk(queries: DataFrame, docs: DataFrame, k: int = 100, query_id: str = "query_id", doc_id: str = "doc_id", query_text: Column | None = None, doc_text: Column | None = None) -> DataFrame:
-    """query, pos, doc, score by BM25 with k1 1.2, b 0.75 and idf ln(1 + (N - df + 0.5) / (df + 0.5)); lower ids first of equals.
-
-    A term counts in whole millionths, so that a score does not depend on the order of its terms.
-    """
-    asked = _query_tokens(queries, query_id, F.col("text") if query_text is None else query_text)
-    terms, sizes = _doc_terms(docs, doc_id, F.col("text") if doc_text is None else doc_text, asked.select("token").distinct())
-    whole = sizes.agg(F.count("*").alias("n_docs"), F.avg("n_tokens").alias("mean_tokens"))  # one row
-    frequency = terms.groupBy("token").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = frequency.join(F.broadcast(whole)).select("token", idf.alias("idf"), "mean_tokens")
-    tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n_tokens") / F.col("mean_tokens")))
-    scored = (
-        asked.join(weights, "token").join(terms, "token").join(sizes, doc_id)
-        .groupBy(query_id, doc_id).agg(F.sum(F.round(F.col("idf") * tf * 1e6).cast("bigint")).alias("millionths"))
-    )
-    by = Window.partitionBy(query_id).orderBy(F.desc("millionths"), doc_id)
-    top = scored.withColumn("pos", F.row_number().over(by)).where(F.col("pos") <= k)
-    return top.select(query_id, "pos", doc_id, (F.col("millionths") / 1e6).alias("score"))
+    key = ["norm_query", "tier", "who"]
+    known = _three_keys(rows).distinct()
+    picked = _three_keys(requests, "request_id").join(known, key, "left_semi").groupBy("request_id", "norm_query").agg(F.min(F.struct("tier", "who")).alias("best"))
+    picked = stored(picked.select("request_id", "norm_query", "best.*"), "groups")
+    signs = ("item_id", "is_purchased", "is_clicked", "show_cnt", "click_cnt", "order_cnt")
+    wanted = _three_keys(rows, *signs).join(picked.select(key).distinct(), key, "left_semi")
+    group = F.concat_ws("\x01", "tier", "who", "norm_query").alias("group")
+    top = evidence_topk(query_item_stats(wanted.select(group, *signs), "group"), items, k, key="group")
+    names = F.array(*map(F.lit, ("rank_user_exact", "rank_session_exact", "rank_query_exact")))
+    return picked.select("request_id", F.element_at(names, F.col("tier")).alias("source"), group).join(top, "group").drop("group")
 
 
 def expand_corpus(docs: DataFrame, generated: DataFrame, doc_id: str = "doc_id", order: str = "seq") -> DataFrame:
@@ -126,79 +134,61 @@ def expand_corpus(docs: DataFrame, generated: DataFrame, doc_id: str = "doc_id",
     )
 
 
-def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = 10, block_rows: int = 4096, chunk_rows: int = 65536) -> DataFrame:
-    """query_id, pos, id, score: the k highest inner products. Both tables are (id, embedding).
-
-    Queries are dealt to blocks and vectors to chunks of about so many rows; each pair of a block and a chunk is a group of
-    one job, which keeps its k best per query, and a window merges them. Nothing passes through the driver but two counts.
-    """
-    blocks, chunks = (max(1, -(-n // size)) for n, size in ((queries.count(), block_rows), (vectors.count(), chunk_rows)))
-
-    def dealt(df: DataFrame, own: str, n_own: int, other: str, n_other: int) -> DataFrame:
-        return df.select(
-            "id", "embedding", F.pmod(F.xxhash64("id"), F.lit(n_own)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))).alias(other)
-        ).groupBy("block", "chunk")
-
-    def near(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        if asked.empty or held.empty:
-            return pd.DataFrame({"query_id": [], "id": [], "score": []}).astype({"query_id": "int64", "id": "int64", "score": "float64"})
-        ids, own = asked["id"].to_numpy(), held["id"].to_numpy()
-        matrix, other = (np.stack(x["embedding"].to_numpy()).astype(np.float32).astype(np.float64) for x in (asked, held))
-        score = np.round(matrix @ other.T, 6)
-        order = np.lexsort((np.broadcast_to(own, score.shape), -score), axis=1)[:, :k]
-        rows = np.repeat(np.arange(len(ids)), order.shape[1])
-        return pd.DataFrame({"query_id": ids[rows], "id": own[order.ravel()], "score": score[rows, order.ravel()]})
-
-    best = dealt(queries, "block", blocks, "chunk", chunks).cogroup(dealt(vectors, "chunk", chunks, "block", blocks)).applyInPandas(near, "query_id long, id long, score double")
-    by = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return best.withColumn("pos", F.row_number().over(by)).where(F.col("pos") <= k).select("query_id", "pos", "id", "score")
+EVIDENCE = ["item_id", "item_title", "brand_name", "seller_name", "category_path", "purchase_cnt", "click_cnt", "ranking_signal", "relevance_signal"]
 
 
 def retrieve_cascade(requests: DataFrame, pairs: DataFrame, rows: DataFrame, items: DataFrame, mode: str = "offline", k: int = 3) -> DataFrame:
     """request_id, source, pos and evidence; requests that no tier resolves come back once with source 'none'.
 
     offline: pairs, rank log by user, session and query, BM25, lexical overlap. runtime: pairs, fuzzy pairs, rank log
-    merged by normalized query, lexical overlap. A tier only sees requests that no earlier tier resolved. pairs carry
-    evidence_items.
+    merged by normalized query, lexical overlap, then the offline tiers. pairs carry evidence_items.
+
+    A tier only sees requests that no earlier tier resolved. What it found and what it left open are written once, so the
+    next tier's plan begins at a table and the plans add up instead of multiplying; when nothing is open, the rest is
+    skipped.
     """
-    fields = ["item_id", "item_title", "brand_name", "seller_name", "category_path", "purchase_cnt", "click_cnt", "ranking_signal", "relevance_signal"]
-    listed = pairs.select(F.col("seq").alias("pair_seq"), F.posexplode(F.slice("evidence_items", 1, k)).alias("place", "item")).select("pair_seq", (F.col("place") + 1).alias("pos"), "item.*")
+    pairs = stored(pairs.select("query", "user_id", "session_id", "seq", F.slice("evidence_items", 1, k).alias("evidence_items")), "pairs")
+    listed = pairs.select(F.col("seq").alias("pair_seq"), F.posexplode("evidence_items").alias("place", "item")).select("pair_seq", (F.col("place") + 1).alias("pos"), "item.*")
 
     def of_pairs(hits: DataFrame) -> DataFrame:
-        return hits.select("request_id", "pair_seq", "source").join(listed, "pair_seq").select("request_id", "source", "pos", *fields)
+        return hits.select("request_id", "pair_seq", "source").join(listed, "pair_seq")
 
     text = F.concat_ws(" ", "item_title", "brand_name", "seller_name", "category_path")
     about = items.select("item_id", "item_title", "brand_name", "seller_name", "category_path", text.alias("text"))
 
-    def of_items(hits: DataFrame, source: str) -> DataFrame:
-        zero = F.lit(0).cast("bigint")
-        return hits.join(about.drop("text"), "item_id").select(
-            F.col("norm_query"), F.lit(source).alias("source"), "pos", "item_id", "item_title", "brand_name", "seller_name", "category_path",
-            zero.alias("purchase_cnt"), zero.alias("click_cnt"), F.round("score", 6).alias("ranking_signal"), F.lit(0).alias("relevance_signal"),
-        )
+    def asked_of(left: DataFrame) -> DataFrame:
+        return left.select("request_id", normalize_query(F.col("query")).alias("norm_query"))
 
     def by_query(left: DataFrame, search, source: str) -> DataFrame:
-        asked = left.select("request_id", normalize_query(F.col("query")).alias("norm_query"))
-        hits = search(asked.select("norm_query").distinct(), about, k, query_id="norm_query", doc_id="item_id", query_text=F.col("norm_query"))
-        return asked.join(of_items(hits, source), "norm_query").select("request_id", "source", "pos", *fields)
+        hits = search(asked_of(left).select("norm_query").distinct(), about, k, query_id="norm_query", doc_id="item_id", query_text=F.col("norm_query"))
+        zero = F.lit(0).cast("bigint")
+        shown = hits.join(about.drop("text"), "item_id").select(
+            "norm_query", F.lit(source).alias("source"), "pos", *EVIDENCE[:5], zero.alias("purchase_cnt"), zero.alias("click_cnt"),
+            F.round("score", 6).alias("ranking_signal"), F.lit(0).alias("relevance_signal"),
+        )
+        return asked_of(left).join(shown, "norm_query")
 
     def merged_rank(left: DataFrame) -> DataFrame:
-        asked = left.select("request_id", normalize_query(F.col("query")).alias("norm_query"))
-        logged = rows.withColumn("norm_query", normalize_query(F.col("query"))).join(asked.select("norm_query").distinct(), "norm_query", "left_semi")
+        logged = rows.withColumn("norm_query", normalize_query(F.col("query"))).join(asked_of(left).select("norm_query").distinct(), "norm_query", "left_semi")
         top = evidence_topk(query_item_stats(logged, "norm_query"), items, k, key="norm_query")
-        return asked.join(top, "norm_query").withColumn("source", F.lit("rank_query_exact")).select("request_id", "source", "pos", *fields)
+        return asked_of(left).join(top, "norm_query").withColumn("source", F.lit("rank_query_exact"))
 
     exact = lambda left: of_pairs(match_pairs_exact(left, pairs))
     fuzzy = lambda left: of_pairs(match_pairs_fuzzy(left, pairs).withColumn("source", F.lit("train_pairs_query_fuzzy")))
-    rank = lambda left: match_rank_exact(left, rows, items, k).select("request_id", "source", "pos", *fields)
+    rank = lambda left: match_rank_exact(left, rows, items, k)
     bm25 = lambda left: by_query(left, bm25_topk, "bm25")
     lexical = lambda left: by_query(left, lexical_overlap_topk, "lexical_overlap")
-    tiers = {"offline": (exact, rank, bm25, lexical), "runtime": (exact, fuzzy, merged_rank, lexical)}[mode]
-    left, out = requests, None
+    offline = (exact, rank, bm25, lexical)
+    tiers = {"offline": offline, "runtime": (exact, fuzzy, merged_rank, lexical, *offline)}[mode]
+    left, out = stored(requests, "open"), None
     for tier in tiers:
-        found = tier(left)
+        found = stored(tier(left).select("request_id", "source", "pos", *EVIDENCE), "found")
         out = found if out is None else out.unionByName(found)
-        left = left.join(found.select("request_id").distinct(), "request_id", "left_anti")
+        rest = stored(left.join(found.select("request_id").distinct(), "request_id", "left_anti"), "open")
+        dropped(left)
+        left = rest
+        if left.isEmpty():
+            break
     return out.unionByName(left.select("request_id", F.lit("none").alias("source")), allowMissingColumns=True)
 
 
@@ -209,33 +199,46 @@ def requested_profiles(requests: DataFrame, pairs: DataFrame, users: DataFrame)
     return attach_user_profile(both, users, "pair_user", "asked_user")
 
 
+def _pieces(text: Column, n: int) -> Column:
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.char_length(text) - n + 1), lambda i: F.substr(text, i, F.lit(n))))
+
+
+def containment_candidates(outer: DataFrame, inner: DataFrame, n: int = 3) -> DataFrame:
+    """(o, i): pairs of distinct texts where outer may contain inner: outer has the piece of inner that fewest outer texts have.
+
+    A text shorter than n is its own piece. An inner text with a piece that no outer text has meets nothing.
+    """
+    found = None
+    for size in range(1, n + 1):
+        pieces = outer.where(F.char_length("o") >= size).select("o", F.explode(_pieces(F.col("o"), size)).alias("piece"))
+        own = inner.where(F.char_length("i") >= n if size == n else F.char_length("i") == size)
+        counts = pieces.groupBy("piece").agg(F.count("*").alias("n"))
+        rated = own.select("i", F.explode(_pieces(F.col("i"), size)).alias("piece")).join(counts, "piece", "left")
+        rarest = rated.groupBy("i").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "piece")).alias("best"))
+        part = rarest.where("best.n > 0").select("i", F.col("best.piece").alias("piece")).join(pieces, "piece").select("o", "i")
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
 def lookup_sample(queries: DataFrame, samples: DataFrame) -> DataFrame:
     """query, sample_seq, tier: the first sample (seq, keys array<string>) with an equal key (lower-cased, stripped), else the
     first where one text contains the other.
 
-    The second tier is a search of the queries the first left open against all keys. It runs over character trigrams
-    (all substrings of a contained text are shared), so texts of fewer than three characters compare by their own pieces.
+    The second tier is a search of the queries the first left open against all keys, both as distinct texts, over the
+    rarest trigram of the contained one.
     """
     low = lambda c: F.lower(F.trim(c))
     asked = queries.select("query", low(F.col("query")).alias("q")).where("q <> ''").distinct()
     keys = samples.select("seq", F.explode("keys").alias("key")).select("seq", low(F.col("key")).alias("s")).where("s <> ''")
-    exact = asked.join(keys, asked["q"] == keys["s"]).groupBy("query").agg(F.min("seq").alias("sample_seq")).withColumn("tier", F.lit("exact"))
-    rest = asked.join(exact, "query", "left_anti")
-    gram = lambda c, n: F.array_distinct(F.transform(F.sequence(F.lit(1), F.char_length(c) - n + 1), lambda i: F.substr(c, i, F.lit(n))))
-
-    def holds(outer: DataFrame, o: str, inner: DataFrame, i: str) -> DataFrame:
-        """Pairs where outer contains inner: they meet on the inner text's first piece of up to three characters."""
-        found = None
-        for n in (1, 2, 3):
-            ends = F.char_length(i) >= 3 if n == 3 else F.char_length(i) == n
-            left = inner.where(ends).withColumn("piece", F.left(F.col(i), F.lit(n)))
-            right = outer.where(F.char_length(o) >= n).withColumn("piece", F.explode(gram(F.col(o), n)))
-            part = left.join(right, "piece").where(F.contains(F.col(o), F.col(i))).select("query", "seq")
-            found = part if found is None else found.unionByName(part)
-        return found
-
-    near = holds(rest, "q", keys, "s").unionByName(holds(keys, "s", rest, "q"))
-    near = near.groupBy("query").agg(F.min("seq").alias("sample_seq")).withColumn("tier", F.lit("contains"))
+    keys = stored(keys.groupBy("s").agg(F.min("seq").alias("seq")), "keys")
+    exact = stored(asked.join(keys, asked["q"] == keys["s"]).groupBy("query").agg(F.min("seq").alias("sample_seq")).withColumn("tier", F.lit("exact")), "exact")
+    rest = stored(asked.join(exact, "query", "left_anti"), "rest")
+    texts = rest.select("q").distinct()
+    named = lambda df, c, name: df.select(F.col(c).alias(name))
+    holding = containment_candidates(named(texts, "q", "o"), named(keys, "s", "i")).where(F.contains("o", "i")).select(F.col("o").alias("q"), F.col("i").alias("s"))
+    held = containment_candidates(named(keys, "s", "o"), named(texts, "q", "i")).where(F.contains("o", "i")).select(F.col("i").alias("q"), F.col("o").alias("s"))
+    best = holding.unionByName(held).join(keys, "s").groupBy("q").agg(F.min("seq").alias("sample_seq"))
+    near = rest.join(best, "q").select("query", "sample_seq", F.lit("contains").alias("tier"))
     return exact.unionByName(near)
 
 

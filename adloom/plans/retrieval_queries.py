@@ -2,9 +2,12 @@
 
 from pyspark.sql import functions as F
 
+from adloom.functions.text import leaf_category
 from adloom.operators import evidence as E
 from adloom.operators import retrieval as R
-from adloom.plans.base import WITH_ALL, checked, chunk4, items, log, norm, table, unigram, users
+from adloom.operators import search as S
+from adloom.operators import vectors as V
+from adloom.plans.base import WITH_ALL, WITH_ITEMS, WITH_LOG, WITH_USERS, checked, chunk4, items, log, norm, table, unigram, users
 
 
 def train_pairs(spark, sf_dir):
@@ -86,7 +89,7 @@ SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY overlap * 100
 FROM o JOIN sizes USING (doc_id) QUALIFY pos <= 10"""
 )
 def j4_lexical_overlap_topk(spark, sf_dir):
-    return R.lexical_overlap_topk(_bench(spark, sf_dir), table(spark, sf_dir, "documents"), 10)
+    return S.lexical_overlap_topk(_bench(spark, sf_dir), table(spark, sf_dir, "documents"), 10)
 
 
 def _bm25_sql(k: int) -> str:
@@ -98,7 +101,7 @@ run AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score
 
 @checked(f"WITH {TOKENS_SQL}, {_bm25_sql(100)} SELECT query_id, pos, doc_id, score FROM run")
 def j5_bm25_topk(spark, sf_dir):
-    return R.bm25_topk(_bench(spark, sf_dir), table(spark, sf_dir, "documents"), 100)
+    return S.bm25_topk(_bench(spark, sf_dir), table(spark, sf_dir, "documents"), 100)
 
 
 @checked(
@@ -118,20 +121,86 @@ SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, i
 )
 def j7_dense_topk(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    return R.dense_topk(vectors.where("id % 20 = 0"), vectors, 5).withColumn("score", F.round("score", 4))
+    return V.dense_topk(vectors.where("id % 20 = 0"), vectors, 5).withColumn("score", F.round("score", 4))
+
+
+def cascade_requests(spark, sf_dir):
+    """The test rows' requests, and what their users might ask for besides: the item's shop, its category, their city. So
+    every tier of the cascade has requests that only it resolves, and some stay open."""
+    rows = log(spark, sf_dir).where("split = 'test'").select("query", "user_id", "session_id", "item_id")
+    about = items(spark, sf_dir).select("item_id", "seller_name", leaf_category(F.col("category_path")).alias("leaf"))
+    shown = rows.join(about, "item_id", "left").join(users(spark, sf_dir).select("user_id", "city"), "user_id", "left")
+    asked = shown.select(F.explode(F.array("query", "seller_name", "leaf", "city")).alias("query"), "user_id", "session_id").where("query <> ''").distinct()
+    return asked.withColumn("request_id", F.md5(F.concat_ws("|", "query", "user_id", "session_id")))
+
+
+def cascade_rows(spark, sf_dir):
+    """The positive training rows; purchases count for the shop's name as well."""
+    rows = E.positives(log(spark, sf_dir).where("split = 'train'"))
+    shops = items(spark, sf_dir).where("seller_name <> ''").select("item_id", "seller_name")
+    bought = rows.where("is_purchased = 1").join(shops, "item_id").withColumn("query", F.col("seller_name")).select(rows.columns)
+    return rows.unionByName(bought)
+
+
+CASCADE = f"""{WITH_ITEMS}, {WITH_USERS}, {WITH_LOG}, tp AS (SELECT * FROM pos WHERE split = 'train'),
+shown AS (SELECT l.query, l.user_id, session_id, seller_name, trim(string_split(category_path, '>')[-1]) AS leaf, city FROM log l LEFT JOIN items i ON i.item_id = l.item_id LEFT JOIN users u ON u.user_id = l.user_id WHERE split = 'test'),
+asked AS (SELECT *, md5(concat_ws('|', query, user_id, session_id)) AS request_id, {norm("query")} AS nq FROM
+  (SELECT DISTINCT unnest([query, seller_name, leaf, city]) AS query, user_id, session_id FROM shown) WHERE query <> ''),
+pairs AS (SELECT query, user_id, session_id, seq, {norm("query")} AS nq FROM tp QUALIFY row_number() OVER (PARTITION BY query ORDER BY signal DESC, is_purchased DESC, is_clicked DESC, item_id, seq) = 1),
+tev AS (SELECT query, item_id, sum(is_purchased)::BIGINT AS p, sum(is_clicked)::BIGINT AS c, sum(signal)::BIGINT AS s FROM tp GROUP BY query, item_id QUALIFY row_number() OVER (PARTITION BY query ORDER BY s DESC, p DESC, c DESC, item_id) <= 3),
+pev AS (SELECT pairs.seq AS pair_seq, item_id, p, c, s, row_number() OVER (PARTITION BY query ORDER BY s DESC, p DESC, c DESC, item_id) AS pos FROM tev JOIN pairs USING (query)),
+exact AS (SELECT request_id, p.seq AS pair_seq, CASE WHEN p.user_id = a.user_id THEN 1 WHEN p.session_id = a.session_id THEN 2 ELSE 3 END AS tier FROM asked a JOIN pairs p USING (nq)
+  QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY tier, p.seq) = 1),
+logged AS (SELECT query, user_id, session_id, item_id, is_purchased, is_clicked, signal FROM tp UNION ALL
+  SELECT seller_name, user_id, session_id, item_id, is_purchased, is_clicked, signal FROM tp JOIN items USING (item_id) WHERE is_purchased = 1 AND seller_name <> ''),
+docs AS (SELECT item_id AS doc_id, unnest({unigram("concat_ws(' ', item_title, brand_name, seller_name, category_path)")}) AS token FROM items),
+sizes AS (SELECT doc_id, count(*) AS n FROM docs GROUP BY doc_id), tf AS (SELECT doc_id, token, count(*) AS tf FROM docs GROUP BY ALL)"""
+SHOWN_ITEM = "coalesce(i.item_title, '') AS item_title, coalesce(i.brand_name, '') AS brand_name, coalesce(i.category_path, '') AS category_path"
+LOGGED_ITEM = "p AS purchase_cnt, c AS click_cnt, round(s / 1000.0, 6) AS ranking_signal, CASE WHEN p > 0 THEN 2 ELSE 1 END AS relevance_signal"
+NO_ITEM = "NULL::BIGINT AS pos, NULL::BIGINT AS item_id, NULL AS item_title, NULL AS brand_name, NULL AS category_path, NULL::BIGINT AS purchase_cnt, NULL::BIGINT AS click_cnt, NULL::DOUBLE AS ranking_signal, NULL::INT AS relevance_signal"
+FOUND_ITEM = "0::BIGINT AS purchase_cnt, 0::BIGINT AS click_cnt, round(score, 6) AS ranking_signal, 0 AS relevance_signal"
+
+
+def _cascade(spark, sf_dir, mode):
+    pairs = train_pairs(spark, sf_dir)
+    found = R.retrieve_cascade(cascade_requests(spark, sf_dir), pairs, cascade_rows(spark, sf_dir), items(spark, sf_dir), mode)
+    return found.drop("seller_name")
 
 
 @checked(
-    f"""WITH {ALL}, {FUZZY}, sm AS (SELECT nq, item_id, sum(is_purchased)::BIGINT AS p, sum(is_clicked)::BIGINT AS c, sum(signal)::BIGINT AS s FROM (SELECT *, {norm("query")} AS nq FROM tp) GROUP BY ALL)
-SELECT request_id, {SOURCES} AS source FROM exact
-UNION ALL SELECT request_id, 'train_pairs_query_fuzzy' FROM asked JOIN fz USING (nq) WHERE request_id NOT IN (SELECT request_id FROM exact)
-UNION ALL SELECT request_id, 'none' FROM asked WHERE request_id NOT IN (SELECT request_id FROM exact) AND nq NOT IN (SELECT nq FROM fz)"""
+    f"""WITH {CASCADE}, {FUZZY},
+open1 AS (SELECT * FROM asked WHERE request_id NOT IN (SELECT request_id FROM exact)), fuzzy AS (SELECT request_id, pair_seq FROM open1 JOIN fz USING (nq) JOIN kp USING (pq)),
+open2 AS (SELECT * FROM open1 WHERE request_id NOT IN (SELECT request_id FROM fuzzy)),
+sm AS (SELECT nq, item_id, sum(is_purchased)::BIGINT AS p, sum(is_clicked)::BIGINT AS c, sum(signal)::BIGINT AS s FROM (SELECT *, {norm("query")} AS nq FROM logged) GROUP BY ALL),
+rank AS (SELECT request_id, sm.*, row_number() OVER (PARTITION BY request_id ORDER BY s DESC, p DESC, c DESC, item_id) AS pos FROM open2 JOIN sm USING (nq) QUALIFY pos <= 3),
+open3 AS (SELECT * FROM open2 WHERE request_id NOT IN (SELECT request_id FROM rank)),
+q AS (SELECT DISTINCT nq, unnest({unigram("nq")}) AS token FROM open3),
+o AS (SELECT nq, doc_id AS item_id, (count(*) * 1000 + n) / 1000.0 AS score FROM q JOIN tf USING (token) JOIN sizes USING (doc_id) GROUP BY nq, doc_id, n QUALIFY row_number() OVER (PARTITION BY nq ORDER BY score DESC, doc_id) <= 3),
+lexical AS (SELECT request_id, item_id, score, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, item_id) AS pos FROM open3 JOIN o USING (nq))
+SELECT request_id, {SOURCES} AS source, pos, item_id, {SHOWN_ITEM}, {LOGGED_ITEM} FROM exact JOIN pev USING (pair_seq) LEFT JOIN items i USING (item_id)
+UNION ALL SELECT request_id, 'train_pairs_query_fuzzy', pos, item_id, {SHOWN_ITEM}, {LOGGED_ITEM} FROM fuzzy JOIN pev USING (pair_seq) LEFT JOIN items i USING (item_id)
+UNION ALL SELECT request_id, 'rank_query_exact', pos, item_id, {SHOWN_ITEM}, {LOGGED_ITEM} FROM rank LEFT JOIN items i USING (item_id)
+UNION ALL SELECT request_id, 'lexical_overlap', pos, item_id, {SHOWN_ITEM}, {FOUND_ITEM} FROM lexical JOIN items i USING (item_id)
+UNION ALL SELECT request_id, 'none', {NO_ITEM} FROM open3 WHERE request_id NOT IN (SELECT request_id FROM lexical)"""
 )
 def j8_cascade_runtime(spark, sf_dir):
-    """The source of every request. (Queries without tokens reach no token tier; the log tier only repeats exact pairs.)"""
-    rows = E.positives(log(spark, sf_dir).where("split = 'train'"))
-    found = R.retrieve_cascade(requests(spark, sf_dir), train_pairs(spark, sf_dir), rows, items(spark, sf_dir), "runtime")
-    return found.where("pos = 1 or source = 'none'").select("request_id", "source")
+    """The evidence rows of every request, through pairs, fuzzy pairs, log and lexical overlap."""
+    return _cascade(spark, sf_dir, "runtime")
+
+
+@checked(
+    f"""WITH {CASCADE}, {_rank_sql("logged")},
+open1 AS (SELECT * FROM asked WHERE request_id NOT IN (SELECT request_id FROM exact)), rank AS (SELECT * FROM rk WHERE request_id IN (SELECT request_id FROM open1)),
+open2 AS (SELECT * FROM open1 WHERE request_id NOT IN (SELECT request_id FROM rank)), q AS (SELECT DISTINCT nq AS query_id, unnest({unigram("nq")}) AS token FROM open2), {_bm25_sql(3)},
+bm25 AS (SELECT request_id, pos, doc_id AS item_id, score FROM open2 JOIN run ON query_id = nq)
+SELECT request_id, {SOURCES} AS source, pos, item_id, {SHOWN_ITEM}, {LOGGED_ITEM} FROM exact JOIN pev USING (pair_seq) LEFT JOIN items i USING (item_id)
+UNION ALL SELECT request_id, {RANK_SOURCES}, pos, item_id, {SHOWN_ITEM}, {LOGGED_ITEM} FROM rank LEFT JOIN items i USING (item_id)
+UNION ALL SELECT request_id, 'bm25', pos, item_id, {SHOWN_ITEM}, {FOUND_ITEM} FROM bm25 JOIN items i USING (item_id)
+UNION ALL SELECT request_id, 'none', {NO_ITEM} FROM open2 WHERE request_id NOT IN (SELECT request_id FROM bm25)"""
+)
+def j8_cascade_offline(spark, sf_dir):
+    """The evidence rows of every request, through pairs, log by user, session and query, and BM25."""
+    return _cascade(spark, sf_dir, "offline")
 
 
 @checked(
