@@ -47,6 +47,28 @@ def ship(spark: SparkSession) -> None:
     context._adloom_shipped = True
 
 
+class Scope:
+    """Tables that shared_table() makes inside `with Scope()` are removed at its end, but for those of keep()."""
+
+    open: list[Scope] = []
+
+    def __enter__(self) -> Scope:
+        self.made: list[DataFrame] = []
+        Scope.open.append(self)
+        return self
+
+    def keep(self, stored: DataFrame) -> DataFrame:
+        """The table goes to the scope around this one, if there is one."""
+        self.made = [x for x in self.made if x is not stored]
+        if len(Scope.open) > 1:
+            Scope.open[-2].made.append(stored)
+        return stored
+
+    def __exit__(self, *error) -> None:
+        Scope.open.remove(self)
+        release(*self.made)
+
+
 def shared_table(df: DataFrame, label: str) -> DataFrame:
     """Write df once as Parquet in the shared folder and read it back: lineage ends here, lost executors lose nothing.
 
@@ -59,6 +81,8 @@ def shared_table(df: DataFrame, label: str) -> DataFrame:
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
     stored = spark.read.schema(df.schema).parquet(path)
     stored._shared_path = path
+    if Scope.open:
+        Scope.open[-1].made.append(stored)
     return stored
 
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from adloom.llm.common import release, shared_table, ship, text_of
+from adloom.llm.common import Scope, release, shared_table, ship, text_of
 from adloom.llm.components import components
 from adloom.llm.decontaminate import FACTORS
 from adloom.llm.textbytes import mix, rows, word_hashes
@@ -234,6 +234,18 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     represent its class: it gets its class's component, null if no row of the class has an id. Rows that repeat an id
     count as one document for linking. An empty table gives an empty result; other columns are ignored.
     """
+    same = ["n_shingles", "h1", "h2"]
+    with Scope() as scope:
+        sets, named = _linked_classes(docs, n, percent, scope)
+    return (
+        sets.where("n_shingles > 0").join(named, same).select("doc_id", "n_shingles", "component_id")
+        .unionByName(sets.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    )
+
+
+def _linked_classes(docs: DataFrame, n: int, percent: int, scope: Scope) -> tuple[DataFrame, DataFrame]:
+    """The sets of all rows (doc_id, n_shingles, h1, h2) and the component of every class of equal sets. The scope removes
+    all other tables."""
     spark = docs.sparkSession
     ship(spark)
     texts = docs.select("doc_id", F.encode(text_of(), "utf-8").alias("bytes"))
@@ -257,7 +269,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
         yield pa.record_batch([pa.array(c, t) for c, t in zip([none, none, none, none, none, range(CHUNKS), packed], types, strict=True)], names=names)
 
     passed = texts.mapInArrow(classes_of, "doc_id long, n_shingles long, h1 long, h2 long, sign binary, chunk int, counts binary")
-    passed = shared_table(passed.withColumn("part", F.spark_partition_id().cast("long")), "sets")
+    passed = scope.keep(shared_table(passed.withColumn("part", F.spark_partition_id().cast("long")), "sets"))
     sets = passed.where("chunk is null").select("doc_id", "n_shingles", "h1", "h2", "sign")
     same = ["n_shingles", "h1", "h2"]
     classes = shared_table(sets.where("n_shingles > 0").groupBy(*same).agg(F.min("doc_id").alias("node")), "classes")
@@ -396,11 +408,8 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     if not large.isEmpty():
         links = links.unionByName(_large_links(large, members, items, test, tile))
     labels = components(links)
-    named = shared_table(classes.join(labels, "node", "left").select(*same, F.coalesce("component", "node").alias("component_id")), "named")
-    return (
-        sets.where("n_shingles > 0").join(named, same).select("doc_id", "n_shingles", "component_id")
-        .unionByName(sets.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
-    )
+    named = scope.keep(shared_table(classes.join(labels, "node", "left").select(*same, F.coalesce("component", "node").alias("component_id")), "named"))
+    return sets, named
 
 
 def _large_links(large: DataFrame, members: DataFrame, items: DataFrame, test, tile) -> DataFrame:

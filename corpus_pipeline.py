@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adloom.llm.common import shared_table, table
+from adloom.llm.common import Scope, release, shared_table, table
 from adloom.llm.decontaminate import contaminated
 from adloom.llm.mixing import mix_sources
 from adloom.llm.near_dup import jaccard_components
@@ -90,7 +90,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every stage's result replaces the one before; what a stage stored for itself goes when its result is written."""
     docs = table(spark, sf_dir, "documents")
+    before = None
     for name, stage in STAGES[:-1]:
-        docs = shared_table(stage(spark, docs, sf_dir), name)
+        with Scope() as scope:
+            docs = scope.keep(shared_table(stage(spark, docs, sf_dir), name))
+        if before is not None:
+            release(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
