@@ -15,21 +15,42 @@ from adloom.sources.stored import stored
 
 #: Added to bounds: scores are rounded to six places.
 SLACK = 2e-6
+#: Vectors that the driver sees for each centre.
+SAMPLED = 16
 
 
 def _matrix(column) -> np.ndarray:
     return np.stack(column.to_numpy(zero_copy_only=False) if isinstance(column, pa.Array) else column.to_numpy()).astype(np.float32).astype(np.float64)
 
 
+def chosen_centres(sample: np.ndarray, clusters: int, rounds: int = 3) -> np.ndarray:
+    """Centres of a bounded sample: each next one is the point farthest from those before, then they move to the means of
+    their points a few times."""
+    picked = [0]
+    far = ((sample - sample[0]) ** 2).sum(1)
+    while len(picked) < min(clusters, len(sample)) and far.max() > 0:
+        picked.append(int(far.argmax()))
+        far = np.minimum(far, ((sample - sample[picked[-1]]) ** 2).sum(1))
+    centres = sample[picked]
+    for _ in range(rounds):
+        own = ((centres**2).sum(1) - 2 * sample @ centres.T).argmin(1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, own, sample)
+        counts = np.bincount(own, minlength=len(centres))
+        centres = np.where(counts[:, None] > 0, sums / np.maximum(counts, 1)[:, None], centres)
+    return centres
+
+
 def cluster_vectors(vectors: DataFrame, clusters: int = 256, chunk_rows: int = 16_384) -> tuple[DataFrame, np.ndarray, pd.DataFrame]:
     """The vectors (id, embedding) with their cluster and chunk, stored; the centres; and per cluster its number of rows, radius
     and number of chunks.
 
-    Centres are `clusters` vectors, first by a hash of their id; a vector belongs to the nearest. Large clusters are cut
-    into chunks, so one cluster may hold any share of the rows. `clusters` bounds what the driver gets.
+    Up to `clusters` centres come from SAMPLED vectors for each, first by a hash of their id; a vector belongs to the
+    nearest centre. Large clusters are cut into chunks, so one cluster may hold any share of the rows. The sample bounds
+    what the driver gets; only the number of skipped pairs depends on it.
     """
-    first = vectors.orderBy(F.xxhash64("id"), "id").limit(clusters).select("embedding").toPandas()
-    centres = _matrix(first["embedding"]) if len(first) else np.zeros((1, 1))
+    first = vectors.orderBy(F.xxhash64("id"), "id").limit(clusters * SAMPLED).select("embedding").toPandas()
+    centres = chosen_centres(_matrix(first["embedding"]), clusters) if len(first) else np.zeros((1, 1))
     squares = (centres**2).sum(1)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
