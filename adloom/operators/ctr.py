@@ -109,32 +109,52 @@ def assemble_examples(log: DataFrame, users: DataFrame, items: DataFrame, histor
     return rows.join(history_features(history, items, "user_id"), "user_id", "left")
 
 
-def masked_mean_history(histories: DataFrame, vectors: DataFrame, key: str, ids: str = "hist_item") -> DataFrame:
-    """key, pooled: the mean vector of the ids that are not 0; zeros if there are none.
-
-    Ids meet their vectors one by one and each task sums them in NumPy per key; sums of a key from several tasks add up.
-    """
-    width = vectors.select(F.size("embedding").alias("n")).first()
-    dims = width["n"] if width else 0
-    long = histories.select(key, F.explode(ids).alias("id")).where("id <> 0")
-    met = long.groupBy(key, "id").agg(F.count("*").alias("times")).join(vectors.select("id", "embedding"), "id")
+def _pooled(met: DataFrame, key: str, dims: int, mean: bool) -> DataFrame:
+    """key, pooled from rows (key, embedding, times, target): sums per key in NumPy, parts of a key from several tasks add up."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wide = lambda column: column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dims)
         for batch in batches:
             if not batch.num_rows:
                 continue
             keys, place = np.unique(batch[key].to_numpy(zero_copy_only=False), return_inverse=True)
-            values = batch["embedding"].flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dims)
-            times = batch["times"].to_numpy(zero_copy_only=False)
+            values, times = wide(batch["embedding"]), batch["times"].to_numpy(zero_copy_only=False)
+            weights = times if mean else times * np.einsum("ij,ij->i", values, wide(batch["target"]))
             sums, counts = np.zeros((len(keys), dims)), np.zeros(len(keys), np.int64)
-            np.add.at(sums, place, values * times[:, None])
+            np.add.at(sums, place, values * weights[:, None])
             np.add.at(counts, place, times)
             yield pa.record_batch([pa.array(keys), pa.array(list(sums), pa.list_(pa.float64())), pa.array(counts)], names=[key, "part", "n"])
 
     kind = dict(met.dtypes)[key]
-    parts = met.select(key, "embedding", "times").mapInArrow(add, f"{key} {kind}, part array<double>, n long")
-    flat = parts.select(key, "n", F.posexplode("part").alias("d", "v")).groupBy(key, "d").agg((F.sum("v") / F.sum("n")).alias("v"))
-    pooled = flat.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("d", "v"))), lambda x: x["v"]).alias("pooled"))
+    parts = met.mapInArrow(add, f"{key} {kind}, part array<double>, n long")
+    over = F.sum("n") if mean else F.lit(1)
+    flat = parts.select(key, "n", F.posexplode("part").alias("d", "v")).groupBy(key, "d").agg((F.sum("v") / over).alias("v"))
+    return flat.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("d", "v"))), lambda x: x["v"]).alias("pooled"))
+
+
+def _history_vectors(histories: DataFrame, vectors: DataFrame, key: str, ids: str) -> tuple[DataFrame, int]:
+    """(key, id, times, embedding) of the ids that are not 0, and the vectors' width."""
+    width = vectors.select(F.size("embedding").alias("n")).first()
+    long = histories.select(key, F.explode(ids).alias("id")).where("id <> 0").groupBy(key, "id").agg(F.count("*").alias("times"))
+    return long.join(vectors.select("id", "embedding"), "id"), width["n"] if width else 0
+
+
+def masked_mean_history(histories: DataFrame, vectors: DataFrame, key: str, ids: str = "hist_item") -> DataFrame:
+    """key, pooled: the mean vector of the ids that are not 0; zeros if there are none."""
+    met, dims = _history_vectors(histories, vectors, key, ids)
+    pooled = _pooled(met.select(key, "embedding", "times"), key, dims, True)
+    return histories.select(key).join(pooled, key, "left").select(key, F.coalesce("pooled", F.array_repeat(F.lit(0.0), dims)).alias("pooled"))
+
+
+def weighted_history(histories: DataFrame, vectors: DataFrame, key: str, target: str, ids: str = "hist_item") -> DataFrame:
+    """key, pooled: the sum of the vectors of the ids that are not 0, each times its inner product with the vector of the row's
+    target id; not divided by anything. Zeros without such ids or without a target vector.
+
+    Every history row meets its vector and its key's target vector; weights and sums are one Arrow pass.
+    """
+    met, dims = _history_vectors(histories, vectors, key, ids)
+    aims = histories.select(key, F.col(target).alias("id")).join(vectors.select("id", F.col("embedding").alias("target")), "id").select(key, "target")
+    pooled = _pooled(met.join(aims, key).select(key, "embedding", "times", "target"), key, dims, False)
     return histories.select(key).join(pooled, key, "left").select(key, F.coalesce("pooled", F.array_repeat(F.lit(0.0), dims)).alias("pooled"))
 
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -13,6 +14,7 @@ from adloom.functions.copies import template_copy
 from adloom.functions.prompts import chat_user_content
 from adloom.functions.text import clean_text, normalize_query, query_too_noisy, related_to_evidence, suspicious_claims, tag_all_matches, tag_first_match
 from adloom.operators.understanding import summary_copy
+from adloom.sources.stored import stored
 
 # System message of chat samples.
 SYSTEM_PROMPT = "你是电商搜索广告创意生成助手。请基于用户搜索意图、用户画像和商品证据，生成自然、短促、合规的广告文案。不得编造证据中没有的信息。"
@@ -77,6 +79,63 @@ def funnel_counts(outcomes: DataFrame, reason: str = "reason") -> DataFrame:
     return outcomes.groupBy(F.coalesce(reason, F.lit("accepted")).alias("outcome")).agg(F.count("*").alias("n"))
 
 
+#: Every rule of filter_reason, and the other outcomes of a run.
+REASONS = (
+    "query_too_noisy", "provider_not_ok", "validator_invalid", "fallback_copy_source", "suspicious_claims", "score_below_min", "copy_length_out_of_range",
+    "template_like", "unrelated_to_evidence", "rewritten_copy_too_short",
+)
+
+
+def funnel_status(outcomes: DataFrame, target: int, max_source: int, done: DataFrame | None = None, order: str = "seq") -> DataFrame:
+    """order, query, kind, why of every outcome (query, error, reason) that a run looks at.
+
+    The run takes rows in order, at most max_source, and ends with the target-th accepted one. A row is filtered
+    (empty_query, or its reason), skipped if its query was accepted before (duplicate_query) or is in `done`
+    (resume_existing_query), an error (its text, cut to 80 characters), or accepted.
+    """
+    query = clean_text(F.col("query"))
+    rows = outcomes.withColumn("query", query).orderBy(order).limit(max_source)
+    good = (F.col("query") != "") & (F.coalesce("error", F.lit("")) == "") & F.col("reason").isNull()
+    if done is not None:
+        known = done.select(clean_text(F.col("query")).alias("query"), F.lit(True).alias("known")).distinct()
+        rows = rows.join(known, "query", "left")
+    else:
+        rows = rows.withColumn("known", F.lit(False))
+    known = F.coalesce("known", F.lit(False))
+    rows = rows.withColumn("first", F.min(F.when(good & ~known, F.col(order))).over(Window.partitionBy("query")))
+    again = F.coalesce(F.col("first") < F.col(order), F.lit(False))
+    kind = (
+        F.when(F.col("query") == "", "filtered").when(known | again, "skipped").when(F.coalesce("error", F.lit("")) != "", "error")
+        .when(F.col("reason").isNotNull(), "filtered").otherwise("accepted")
+    )
+    why = (
+        F.when(F.col("query") == "", "empty_query").when(known, "resume_existing_query").when(again, "duplicate_query")
+        .when(F.coalesce("error", F.lit("")) != "", F.left("error", F.lit(80))).otherwise(F.coalesce("reason", F.lit("")))
+    )
+    judged = rows.select(order, "query", kind.alias("kind"), why.alias("why"))
+    # max_source rows at most, ranked once
+    place = F.sum((F.col("kind") == "accepted").cast("int")).over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    return judged.withColumn("before", F.coalesce(place, F.lit(0))).where(F.col("before") < target).drop("before")
+
+
+def observed_funnel(statuses: DataFrame) -> tuple[DataFrame, Observation]:
+    """The accepted rows, and counts that are ready when they have been written: one pass gives both. Errors count as one."""
+    whys = [("accepted", ""), ("filtered", "empty_query"), *[("filtered", r) for r in REASONS], ("skipped", "duplicate_query"), ("skipped", "resume_existing_query")]
+    same = lambda kind, why: F.count_if((F.col("kind") == kind) & (F.col("why") == why))
+    counts = [same(*w).alias("|".join(w)) for w in whys] + [F.count_if(F.col("kind") == "error").alias("error|"), F.count("*").alias("scanned|")]
+    texts = F.collect_set(F.when(F.col("kind") == "error", F.col("why"))).alias("errors")
+    seen = Observation(f"funnel-{uuid.uuid4().hex}")
+    return statuses.observe(seen, *counts, texts).where("kind = 'accepted'"), seen
+
+
+def funnel_table(seen: Observation) -> list[tuple[str, str, int]]:
+    """(kind, why, n) of an observed run, zeros left out; errors under their text if there is only one."""
+    found = dict(seen.get)
+    errors = found.pop("errors")
+    rows = [(*name.split("|"), n) for name, n in found.items() if n or name == "scanned|"]
+    return [(kind, errors[0] if kind == "error" and len(errors) == 1 else why, n) for kind, why, n in rows]
+
+
 def accept_first_n(outcomes: DataFrame, target: int, max_source: int, order: str = "seq") -> DataFrame:
     """The first `target` accepted rows (reason is null) among the first max_source rows in order; empty queries and
     queries accepted before are skipped."""
@@ -188,20 +247,33 @@ def candidate_pool(pairs: DataFrame, evidence: DataFrame, k: int = 3, lexicon=L.
     return first.select("normalized_query", "kept.*", length_bucket(F.col("normalized_query")).alias("query_bucket"), F.char_length("normalized_query").alias("query_len"))
 
 
+#: Cells of the hash that a stratum's histogram counts.
+CELLS = 1 << 16
+
+
 def stratified_sample(pool: DataFrame, quotas: dict[tuple[str, str], int] | None = None, strata: tuple[str, str] = ("query_bucket", "evidence_strength"), key: str = "normalized_query", seed: int = 42, strict: bool = True) -> DataFrame:
     """Per stratum the `quota` rows with the smallest md5 of seed and key, with `picked` from 1. strict: a stratum with fewer
-    rows fails the job. Ranks are limited per task before strata meet."""
+    rows fails the job.
+
+    The pool is stored and counted once, by the first 16 bits of the md5. That histogram says in which cell a stratum's
+    quota is full; rows of later cells go without being ranked, so only about the quota is sorted, however large the pool.
+    """
     quotas = QUOTAS if quotas is None else quotas
     spark = pool.sparkSession
-    table = spark.createDataFrame([(a, b, n) for (a, b), n in quotas.items()], f"{strata[0]} string, {strata[1]} string, quota int")
-    if strict:
-        have = pool.groupBy(*strata).agg(F.count("*").alias("n"))
-        short = table.join(have, list(strata), "left").where(F.coalesce("n", F.lit(0)) < F.col("quota")).collect()  # one row a stratum
-        if short:
-            raise ValueError("strata with too few rows: " + ", ".join(f"{r[0]}/{r[1]} {r['n'] or 0} of {r['quota']}" for r in short))
     mark = F.md5(F.concat_ws("|", F.lit(str(seed)), key))
-    ranked = pool.withColumn("picked", F.row_number().over(Window.partitionBy(*strata).orderBy(mark, key))).where(F.col("picked") <= max(quotas.values()))
-    return ranked.join(F.broadcast(table), list(strata)).where("picked <= quota").drop("quota")
+    pool = stored(pool.withColumn("mark", mark).withColumn("cell", F.conv(F.left("mark", F.lit(4)), 16, 10).cast("int")), "pool")
+    table = spark.createDataFrame([(a, b, n) for (a, b), n in quotas.items()], f"{strata[0]} string, {strata[1]} string, quota int")
+    histogram = pool.groupBy(*strata, "cell").agg(F.count("*").alias("n")).join(F.broadcast(table), list(strata))
+    held = histogram.withColumn("held", F.sum("n").over(Window.partitionBy(*strata).orderBy("cell")))
+    full = held.groupBy(*strata).agg(F.min(F.when(F.col("held") >= F.col("quota"), F.col("cell"))).alias("last"), F.sum("n").alias("n"))
+    limits = table.join(full, list(strata), "left").select(*strata, "quota", F.coalesce("last", F.lit(CELLS)).alias("last"), F.coalesce("n", F.lit(0)).alias("n")).collect()  # one row a stratum
+    short = [r for r in limits if r["n"] < r["quota"]]
+    if strict and short:
+        raise ValueError("strata with too few rows: " + ", ".join(f"{r[0]}/{r[1]} {r['n']} of {r['quota']}" for r in short))
+    limits = spark.createDataFrame([tuple(r[:4]) for r in limits], f"{strata[0]} string, {strata[1]} string, quota int, last int")
+    near = pool.join(F.broadcast(limits), list(strata)).where("cell <= last")
+    ranked = near.withColumn("picked", F.row_number().over(Window.partitionBy(*strata).orderBy("mark", key))).where("picked <= quota")
+    return ranked.drop("quota", "last", "mark", "cell")
 
 
 def distribution(rows: DataFrame, field: str, keys: list[str]) -> DataFrame:
@@ -224,7 +296,7 @@ def number_samples(sample: DataFrame, orders: dict[str, Sequence[str]], then: Se
 def domain_sample(pool: DataFrame, quotas: dict[tuple[str, str], int], orders: dict[str, Sequence[str]], least: int = 30, size: int | None = None, then: Sequence[str] = ("normalized_query",)) -> DataFrame:
     """The sample of every (domain, length) in order, with sample_no; its first `size` rows. Fewer than `least` rows in all
     are an error."""
-    sample = number_samples(stratified_sample(pool, quotas, tuple(orders), strict=False), orders, then, "case")
+    sample = stored(number_samples(stratified_sample(pool, quotas, tuple(orders), strict=False), orders, then, "case"), "sample")
     found = sample.count()  # at most the quotas' sum
     if found < least:
         raise ValueError(f"only {found} samples of at least {least}")

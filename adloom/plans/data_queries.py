@@ -72,17 +72,36 @@ def r7_assemble_examples(spark, sf_dir):
     return made.select("seq", "part", "label", "gender", "age", "feature_item", F.md5(ids).alias("hist"))
 
 
+VECTOR_HISTORY = """n AS (SELECT count(*) AS n FROM embeddings), owners AS (SELECT DISTINCT user_id FROM log), dims AS (SELECT unnest(range(1, (SELECT len(any_value(embedding)) FROM embeddings) + 1)) AS dim),
+h AS (SELECT user_id, item_id % n AS vec FROM recent, n WHERE back <= 20 AND item_id % n <> 0)"""
+
+
+def _vector_history(spark, sf_dir):
+    """user_id, hist_item: the vectors of a user's last 20 items; target: the user's own."""
+    n = F.lit(_vectors(spark, sf_dir).count())
+    last = history(spark, sf_dir, 20)
+    return last.select("user_id", F.transform("recently_clicked_item_ids", lambda x: x % n).alias("hist_item"), (F.col("user_id") % n).alias("target"))
+
+
+def _by_dimension(pooled):
+    return pooled.select("user_id", F.posexplode("pooled").alias("at", "v")).select("user_id", (F.col("at") + 1).cast("long").alias("dim"), F.round("v", 5).alias("value"))
+
+
 @checked(
-    f"""WITH {WITH_ALL}, n AS (SELECT count(*) AS n FROM embeddings), h AS (SELECT user_id, item_id % n AS vec FROM recent, n WHERE back <= 20 AND item_id % n <> 0),
-m AS (SELECT user_id, avg(embedding[1]::DOUBLE) AS a, avg(embedding[64]::DOUBLE) AS b FROM h JOIN embeddings ON vec_id = vec GROUP BY user_id)
-SELECT u.user_id, round(coalesce(a, 0.0), 5) AS first_dim, round(coalesce(b, 0.0), 5) AS last_dim FROM (SELECT DISTINCT user_id FROM log) u LEFT JOIN m USING (user_id)"""
+    f"""WITH {WITH_ALL}, {VECTOR_HISTORY}, m AS (SELECT user_id, dim, avg(embedding[dim]::DOUBLE) AS v FROM h JOIN embeddings ON vec_id = vec, dims GROUP BY ALL)
+SELECT user_id, dim, round(coalesce(v, 0.0), 5) AS value FROM owners CROSS JOIN dims LEFT JOIN m USING (user_id, dim)"""
 )
 def r8_masked_mean_history(spark, sf_dir):
-    vectors = _vectors(spark, sf_dir)
-    n = vectors.count()
-    last = history(spark, sf_dir, 20).select("user_id", F.transform("recently_clicked_item_ids", lambda x: x % F.lit(n)).alias("hist_item"))
-    pooled = ctr.masked_mean_history(last, vectors, "user_id")
-    return pooled.select("user_id", F.round(F.col("pooled")[0], 5).alias("first_dim"), F.round(F.element_at("pooled", -1), 5).alias("last_dim"))
+    return _by_dimension(ctr.masked_mean_history(_vector_history(spark, sf_dir), _vectors(spark, sf_dir), "user_id"))
+
+
+@checked(
+    f"""WITH {WITH_ALL}, {VECTOR_HISTORY}, w AS (SELECT user_id, e.embedding, list_inner_product(e.embedding::DOUBLE[], t.embedding::DOUBLE[]) AS w FROM h JOIN embeddings e ON e.vec_id = vec, n JOIN embeddings t ON t.vec_id = user_id % n),
+m AS (SELECT user_id, dim, sum(w * embedding[dim]::DOUBLE) AS v FROM w, dims GROUP BY ALL)
+SELECT user_id, dim, round(coalesce(v, 0.0), 5) AS value FROM owners CROSS JOIN dims LEFT JOIN m USING (user_id, dim)"""
+)
+def r8_weighted_history(spark, sf_dir):
+    return _by_dimension(ctr.weighted_history(_vector_history(spark, sf_dir), _vectors(spark, sf_dir), "user_id", "target"))
 
 
 def _judged(spark, sf_dir):
@@ -531,6 +550,35 @@ def d3_funnel_counts(spark, sf_dir):
     return datasets.funnel_counts(_outcomes(spark, sf_dir).withColumn("reason", datasets.filter_reason(8.0)))
 
 
+#: A run over the first outcomes in order: some failed, some have no query; a query is taken once, and 60 are wanted.
+RUN = f"""{REASONS}, r AS (SELECT seq, CASE WHEN item_id % 17 = 0 THEN '' ELSE query END AS query, CASE WHEN item_id % 19 = 0 THEN 'timeout' ELSE '' END AS error, reason FROM f),
+s AS (SELECT * FROM r ORDER BY seq LIMIT 3000), g AS (SELECT *, min(seq) FILTER (error = '' AND reason IS NULL) OVER (PARTITION BY query) AS first FROM s),
+t AS (SELECT seq, query, CASE WHEN query = '' THEN 'filtered' WHEN first < seq THEN 'skipped' WHEN error <> '' THEN 'error' WHEN reason IS NOT NULL THEN 'filtered' ELSE 'accepted' END AS kind,
+  CASE WHEN query = '' THEN 'empty_query' WHEN first < seq THEN 'duplicate_query' WHEN error <> '' THEN error ELSE coalesce(reason, '') END AS why FROM g),
+u AS (SELECT * FROM t WHERE seq <= coalesce((SELECT seq FROM t WHERE kind = 'accepted' ORDER BY seq LIMIT 1 OFFSET 59), 'zzzz'))"""
+
+
+def _run(spark, sf_dir):
+    judged = _outcomes(spark, sf_dir).withColumn("reason", datasets.filter_reason(8.0))
+    given = a5_evidence_topk(spark, sf_dir).select(F.concat_ws("#", "query", F.col("pos").cast("string")).alias("seq"), "item_id")
+    rows = judged.join(given, "seq").withColumn("query", F.when(F.col("item_id") % 17 == 0, "").otherwise(F.col("query")))
+    rows = rows.withColumn("error", F.when(F.col("item_id") % 19 == 0, "timeout").otherwise(""))
+    return datasets.funnel_status(rows.select("seq", "query", "error", "reason"), 60, 3000)
+
+
+@checked(f"WITH {WITH_ALL}, {RUN} SELECT seq, query, kind, why FROM u")
+def d3_funnel_status(spark, sf_dir):
+    return _run(spark, sf_dir)
+
+
+@checked(f"WITH {WITH_ALL}, {RUN} SELECT kind, why, count(*) AS n FROM u GROUP BY ALL UNION ALL SELECT 'scanned', '', count(*) FROM u")
+def d3_funnel_report(spark, sf_dir):
+    """The counts of a run, read off while its accepted rows are written."""
+    accepted, seen = datasets.observed_funnel(_run(spark, sf_dir))
+    accepted.write.format("noop").mode("overwrite").save()
+    return spark.createDataFrame(datasets.funnel_table(seen), "kind string, why string, n long")
+
+
 @checked(
     f"""WITH {WITH_ALL}, {REASONS}, s AS (SELECT * FROM f ORDER BY seq LIMIT 1500), a AS (SELECT * FROM s WHERE reason IS NULL QUALIFY row_number() OVER (PARTITION BY query ORDER BY seq) = 1)
 SELECT seq, query FROM a ORDER BY seq LIMIT 100"""
