@@ -246,19 +246,6 @@ def backfill_generations(generations: DataFrame, synthetic: DataFrame) -> DataFr
     return met.select("query", "place", F.when(replace, F.coalesce("copy", "t")).otherwise(F.col("t")).alias("text"), status.alias("status"), (status != "provider_ok").alias("fallback"))
 
 
-def template_candidates(queries: DataFrame, templates: DataFrame, per_query: int = 5) -> DataFrame:
-    """query, candidate_id, text, strategy from a template table (vertical, strategy, place, sentence with {query} and {point}).
-
-    queries: query, vertical, points array<string> (at most four are used). Templates are a small table that is joined by
-    vertical; the text of the n-th template uses the n-th point.
-    """
-    met = queries.join(F.broadcast(templates), "vertical")
-    point = F.coalesce(F.get(F.slice("points", 1, 4), F.pmod(F.col("place") - 1, F.greatest(F.size(F.slice("points", 1, 4)), F.lit(1)))), F.lit(""))
-    text = F.replace(F.replace("sentence", F.lit("{query}"), F.col("query")), F.lit("{point}"), point)
-    by = Window.partitionBy("query").orderBy("place", "strategy")
-    return met.withColumn("n", F.row_number().over(by)).where(F.col("n") <= per_query).select("query", F.concat(F.lit("cand_"), F.col("n").cast("string")).alias("candidate_id"), sanitize_copy(text).alias("text"), "strategy")
-
-
 def assign_copies(items: DataFrame, candidates: DataFrame) -> DataFrame:
     """query, item_id, candidate_id, how for items (query, item_id, pos) and candidates (query, candidate_id, rank_score,
     used_evidence): the best candidate that cites the item (linked), else the next unused candidate by score (distributed),

@@ -2,12 +2,13 @@
 
 from pyspark.sql import functions as F
 
-
 from adloom.functions import lexicons as L
 from adloom.operators import candidates as K
+from adloom.operators import templates as T
 from adloom.operators import understanding as U
 from adloom.plans.base import WITH_ALL, WITH_BEHAVIOR, checked, log, norm, quoted
 from adloom.plans.evidence_queries import COPY, SHOWN, a5_evidence_topk
+from adloom.sources.stored import stored
 
 HINTS = f"""nq AS (SELECT DISTINCT query, {norm("query")} AS query_text FROM evidence),
 named AS (SELECT query, min_by(brand_name, pos) AS b FROM evidence JOIN nq USING (query) WHERE brand_name <> '' AND contains(lower(query_text), lower(brand_name)) GROUP BY query),
@@ -148,9 +149,9 @@ def u8_select_style(spark, sf_dir):
     return made.select("query", style["style_id"].alias("style_id"))
 
 
-def _generations(spark, sf_dir):
+def _generations(spark, sf_dir, top=None):
     """Raw generator outputs of every evidence row: JSON with one copy at odd positions, labelled lines at even ones."""
-    top = a5_evidence_topk(spark, sf_dir)
+    top = a5_evidence_topk(spark, sf_dir) if top is None else top
     copy = F.concat(F.col("item_title"), F.lit("，"), F.col("brand_name"), F.when(F.col("item_id") % 3 == 0, F.lit("优惠")).otherwise(F.lit("日常")))
     json = F.to_json(F.struct(F.array(F.struct(copy.alias("copy"), F.lit("卖点型").alias("strategy"), F.array(F.col("item_id").cast("string")).alias("used_evidence"))).alias("copies")))
     plain = F.concat(F.lit("\n候选"), F.col("pos").cast("string"), F.lit("："), copy)
@@ -167,11 +168,16 @@ def k2_parse_generations(spark, sf_dir):
     return K.parse_generations(_generations(spark, sf_dir)).select("query", "candidate_id", "text", F.array_join("used_evidence", "|").alias("used"))
 
 
-def _validated(spark, sf_dir):
-    top = a5_evidence_topk(spark, sf_dir)
+def _evidence(spark, sf_dir):
+    """The evidence of all queries, written once for the plans that read it several times."""
+    return stored(a5_evidence_topk(spark, sf_dir), "evidence")
+
+
+def _validated(spark, sf_dir, top=None):
+    top = a5_evidence_topk(spark, sf_dir) if top is None else top
     intents = U.intent(top).select("query", "query_text", "brand_hint", "category_hint", "scene_hint", "crowd_hint")
     anchor = top.where("pos = 1").select("query", F.col("item_title").alias("anchor_title"))
-    return K.validate_candidates(K.parse_generations(_generations(spark, sf_dir)).join(intents, "query").join(anchor, "query"))
+    return K.validate_candidates(K.parse_generations(_generations(spark, sf_dir, top)).join(intents, "query").join(anchor, "query"))
 
 
 VALID = """cand AS (SELECT p.*, regexp_replace(text, '\\s+', '', 'g') AS clean, query_text, brand_hint, category_hint, a.item_title AS anchor FROM parsed p JOIN hints USING (query) JOIN (SELECT query, item_title FROM evidence WHERE pos = 1) a USING (query)),
@@ -184,11 +190,11 @@ def k4_validate_candidates(spark, sf_dir):
     return _validated(spark, sf_dir).select("query", "candidate_id", "text", F.array_join("issues", "|").alias("issues"), "length", "relevance_hits")
 
 
-def _ranked(spark, sf_dir):
-    top = a5_evidence_topk(spark, sf_dir)
-    intents = U.intent(top)
+def _ranked(spark, sf_dir, top=None):
+    top = _evidence(spark, sf_dir) if top is None else top
+    intents = stored(U.intent(top), "intents")
     points = U.facts(U.rescore_evidence(top, intents), intents).select("query", "selling_points")
-    return K.rank_candidates(K.score_candidates(_validated(spark, sf_dir).join(points, "query")))
+    return K.rank_candidates(K.score_candidates(_validated(spark, sf_dir, top).join(points, "query")))
 
 
 SCORED = """scored AS (SELECT *, CASE WHEN issues = '' THEN 48 ELSE greatest(0, 16 - 8 * len(string_split(issues, '|'))) END + 8 * relevance_hits + 18 + CASE WHEN contains(clean, '日常') THEN 4 ELSE 0 END
@@ -208,15 +214,69 @@ def k8_distinct_candidates(spark, sf_dir):
     return K.distinct_candidates(_ranked(spark, sf_dir), 2)
 
 
-@checked(None)
-def k7_choose_final_copy(spark, sf_dir):
-    """The whole chain to the final copy; the rewriting rules have no SQL form and are unit-tested."""
-    top = a5_evidence_topk(spark, sf_dir)
-    best = _ranked(spark, sf_dir).where("rank = 1").select("query", "text", "issues")
+#: final: the top candidate with an end mark if it has no issues; else the summary, as all of its issues are claims here.
+FINAL = f"""{TOP}, t AS (SELECT query, {COPY} AS template FROM (SELECT *, {SHOWN} FROM evidence WHERE pos = 1)), {SUMMARY},
+final AS (SELECT s.query, r.candidate_id, r.clean, r.issues, coalesce(issues = '', false) AS good, CASE WHEN good THEN clean || '。' ELSE s.copy END AS final_copy, CASE WHEN good THEN 'llm_ranker_top1' ELSE 'summary_fallback' END AS final_source,
+  CASE WHEN good THEN 'top_candidate_kept' WHEN clean IS NULL THEN 'empty_ranker_result_then_summary_fallback' ELSE 'summary_fallback:' || s.reason END AS rewrite_reason
+  FROM summed s LEFT JOIN (SELECT * FROM rankd WHERE rank = 1) r ON r.query = s.query)"""
+CLAIMS = f"list_filter([{', '.join(map(quoted, L.SUSPICIOUS_CLAIMS))}], lambda w: contains(final_copy, w))"
+
+
+def _chosen(spark, sf_dir, top, ranked):
+    best = ranked.where("rank = 1").select("query", "candidate_id", "text", "issues")
     summary = U.summary_copy(top).select("query", F.col("copy").alias("summary"), F.col("reason").alias("summary_reason"))
     creative = U.creative_copy(top).select("query", F.col("copy").alias("creative"))
-    rows = summary.join(best, "query", "left").join(creative, "query").withColumn("template", F.col("summary"))
-    return K.flatten_outcome(K.choose_final_copy(rows).withColumn("provider_fallback", F.lit(False))).withColumn("suspicious_claims", F.array_join("suspicious_claims", "|"))
+    return K.choose_final_copy(summary.join(best, "query", "left").join(creative, "query").withColumn("template", F.col("summary")))
+
+
+@checked(
+    f"""WITH {WITH_ALL}, {HINTS}, {PARSED}, {VALID}, {SCORED}, {FINAL}
+SELECT query, final_copy, final_source, rewrite_reason, NOT good AS fallback_triggered, CASE WHEN good THEN '' ELSE rewrite_reason END AS fallback_reason, array_to_string({CLAIMS}, '|') AS suspicious_claims FROM final"""
+)
+def k7_choose_final_copy(spark, sf_dir):
+    """The whole chain to the final copy. On this data's titles cleaning only adds the end mark, so it has an SQL form; the
+    other rewriting rules are unit-tested."""
+    top = _evidence(spark, sf_dir)
+    chosen = _chosen(spark, sf_dir, top, _ranked(spark, sf_dir, top)).withColumn("provider_fallback", F.lit(False))
+    return K.flatten_outcome(chosen).withColumn("suspicious_claims", F.array_join("suspicious_claims", "|"))
+
+
+#: The vertical of an item's last digit in eights, its two first points, and pieces of its scene and audience.
+def _vertical_values() -> str:
+    rows = []
+    for i, (name, _, scene, audience) in enumerate(L.VERTICALS):
+        pieces = [scene[:4], audience[:4], *[t[k : k + n] for t in (scene, audience) for n in (2, 3) for k in range(len(t) - n + 1)], *L.NATURAL_SCENES]
+        first, second = L.VERTICAL_POINTS[name][1][:2]
+        rows.append(f"({i}, {quoted(name)}, {quoted(scene)}, {quoted(audience)}, {quoted(first)}, {quoted(second)}, [{', '.join(map(quoted, pieces))}])")
+    return ", ".join(rows)
+
+
+SENTENCE_VALUES = ", ".join(f"({quoted(v)}, {quoted(L.STRATEGIES[i])}, {i}, {quoted(x)})" for v, found in L.SENTENCES.items() for i, x in enumerate(found))
+FILLED = "sentence"
+for mark, value in (("{ab}", "CASE WHEN a <> b THEN a || b ELSE a END"), ("{s}", "scene"), ("{u}", "audience"), ("{q}", "term"), ("{a}", "a"), ("{b}", "b"), ("{o}", "b")):
+    FILLED = f"replace({FILLED}, '{mark}', {value})"
+
+
+@checked(
+    f"""WITH {WITH_ALL}, v(k, vertical, scene, audience, p1, p2, pieces) AS (VALUES {_vertical_values()}), st(vertical, strategy, turn, sentence) AS (VALUES {SENTENCE_VALUES}),
+e AS (SELECT query, item_id, item_title, brand_name FROM evidence WHERE pos = 1),
+w AS (SELECT *, coalesce(list_filter(regexp_extract_all(query, '[A-Za-z0-9][A-Za-z0-9\\-]*'), lambda t: length(t) >= 2)[1], query) AS term, list_filter(regexp_extract_all(brand_name, '[A-Za-z0-9][A-Za-z0-9\\-]*|[\\x{{4e00}}-\\x{{9fff}}]{{1,4}}'), lambda t: length(t) >= 2) AS focus FROM e JOIN v ON v.k = item_id % 8),
+p AS (SELECT *, ([p1, p2] || list_filter([item_title] || focus, lambda x, i: list_position([item_title] || focus, x) = i))[1:4] AS points FROM w),
+d AS (SELECT p.*, strategy, turn, sentence, CASE WHEN turn = 1 THEN points[2] ELSE p1 END AS a, CASE WHEN turn = 1 THEN points[3] ELSE p2 END AS b FROM p JOIN st USING (vertical)),
+f AS (SELECT *, {FILLED} AS filled FROM d)
+SELECT query, 'tpl_' || (turn + 1) AS candidate_id, strategy, vertical, CASE WHEN len(list_filter(pieces || regexp_extract_all(term, '[A-Za-z0-9][A-Za-z0-9\\-]*')[1:3], lambda t: contains(filled, t))) > 0 THEN filled ELSE scene || filled END AS draft,
+  a || '|' || b AS evidence, audience AS tags FROM f"""
+)
+def k1_template_drafts(spark, sf_dir):
+    """The filled sentences for every query; its first item's id in eights says which vertical's word stands for its category."""
+    named = F.array(*[F.lit(words[0] if words else "") for _, words, *_ in L.VERTICALS])
+    none = F.array().cast("array<string>")
+    asked = a5_evidence_topk(spark, sf_dir).where("pos = 1").select(
+        "query", F.get(named, (F.col("item_id") % 8).cast("int")).alias("category_hint"), F.array("item_title").alias("titles"), F.lit("").alias("scenario"), F.lit(None).cast("string").alias("audience"),
+        F.col("brand_name").alias("purchase_focus"), F.array("item_title").alias("points"), none.alias("interest_tags"), none.alias("demographic_tags"),
+    )
+    made = T.template_drafts(asked)
+    return made.select("query", "candidate_id", "strategy", "vertical", "draft", F.array_join("used_evidence", "|").alias("evidence"), F.array_join("personalized_tags", "|").alias("tags"))
 
 
 @checked(
