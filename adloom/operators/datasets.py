@@ -453,3 +453,110 @@ def bad_copy_gate(copy: Column, rewritten: Column, fallback: Column) -> Column:
     return F.struct(
         pick(copy, rewritten, fallback).alias("copy"), pick(F.lit("ok"), F.lit("rewritten"), F.lit("fallback")).alias("status"), pick(none, first(copy), first(copy)).alias("reason")
     )
+
+
+def gated_copies(rows: DataFrame) -> DataFrame:
+    """Adds final_copy, llm_status, rewrite_attempted, bad_copy_reason, fallback_triggered and fallback_reason to rows (tone,
+    candidate, error, rewritten, summary, summary_fell, summary_reason, creative, template).
+
+    A candidate is taken as it is, unless the tone is creative and it reads like a search result: then its rewrite is
+    tried once. A failed call (error, or no candidate), or a rewrite that reads so too, falls back by tone: creative to
+    the creative copy, others to the summary, or to the template where the summary fell back itself; an empty copy to
+    the next one. Nulls count as empty.
+    """
+    text = {c: clean_text(F.col(c)) for c in ("candidate", "error", "rewritten", "summary", "creative", "template")}
+    bad = lambda c: F.coalesce(F.get(tag_all_matches(c, L.BAD_COPY_PATTERNS), F.lit(0)), F.lit(""))
+    creative_tone = F.coalesce(F.col("tone") == "creative", F.lit(False))
+    failed = (text["error"] != "") | (text["candidate"] == "")
+    first, again = bad(text["candidate"]), bad(text["rewritten"])
+    checked = ~failed & creative_tone & (first != "")
+    hopeless = checked & ((again != "") | (text["rewritten"] == ""))
+    reason = F.when(hopeless & (again != ""), again).otherwise(first)
+    why = F.when(hopeless, F.concat(F.lit("bad_ad_copy_detected:"), reason)).otherwise(F.coalesce(F.nullif(text["error"], F.lit("")), F.lit("no_candidate")))
+    fell = failed | hopeless
+    status = F.when(fell, F.concat(F.lit("llm_failed: "), why)).when(checked, "llm_ok_rewritten").otherwise("llm_ok")
+    summary_fell = F.coalesce("summary_fell", F.lit(False))
+    stage = (
+        F.when(hopeless, "llm_bad_copy_then_creative_template").when(creative_tone, "llm_failed_then_creative_template")
+        .when(summary_fell, F.concat(F.lit("llm_failed_then_summary_"), clean_text(F.col("summary_reason")))).otherwise("llm_failed_then_summary_ok")
+    )
+    some = lambda *names: F.coalesce(*[F.nullif(text[n], F.lit("")) for n in names], F.lit(""))
+    instead = F.when(creative_tone, some("creative", "template")).when(summary_fell, some("template", "summary")).otherwise(some("summary", "template"))
+    return rows.select(
+        "*", F.when(fell, instead).when(checked, text["rewritten"]).otherwise(text["candidate"]).alias("final_copy"), status.alias("llm_status"),
+        checked.alias("rewrite_attempted"), F.when(checked, reason).otherwise("").alias("bad_copy_reason"), fell.alias("fallback_triggered"),
+        F.when(fell, stage).otherwise("").alias("fallback_reason"),
+    )
+
+
+def provider_observations(local: DataFrame, remote: DataFrame) -> DataFrame:
+    """query, naturalness, richness, risk: what a remote provider's outcome shows beside the local one. Both: query, copy,
+    n_candidates; remote also status ('skipped_no_api_key', 'error', else good). A query that only one has is left out.
+
+    naturalness: skipped, error, no_output, same, longer (not shorter), different. richness: skipped, error, richer (more
+    candidates or a longer copy), similar (both equal), not_richer. risk: the listed claims in the remote copy, else in
+    the local one.
+    """
+    both = local.select("query", clean_text(F.col("copy")).alias("a"), F.coalesce("n_candidates", F.lit(0)).alias("n_a")).join(
+        remote.select("query", clean_text(F.col("copy")).alias("b"), F.coalesce("n_candidates", F.lit(0)).alias("n_b"), "status"), "query"
+    )
+    a, b, n_a, n_b = (F.char_length("a"), F.char_length("b"), F.col("n_a"), F.col("n_b"))
+    unseen = F.when(F.col("status") == "skipped_no_api_key", "skipped").when(F.col("status") == "error", "error")
+    natural = unseen.when(F.col("b") == "", "no_output").when(F.col("a") == F.col("b"), "same").when(b >= a, "longer").otherwise("different")
+    rich = unseen.when((n_b > n_a) | (b > a), "richer").when((n_b == n_a) & (b == a), "similar").otherwise("not_richer")
+    return both.select("query", natural.alias("naturalness"), rich.alias("richness"), tag_all_matches(F.coalesce(F.nullif("b", F.lit("")), "a"), L.COMPARED_CLAIMS).alias("risk"))
+
+
+def comparison_counts(rows: DataFrame, about: DataFrame, domain: Sequence[str], lengths: Sequence[str], key: str = "query") -> DataFrame:
+    """field, value, n of replayed baselines beside comparison_summary(): domain and length of the samples (listed values even
+    where n is 0), why the summary fell back, and who gave the model's texts ('none' for blanks).
+
+    about: key, domain, length_bucket of every sample.
+    """
+    pair = lambda name, value: F.struct(F.lit(name).alias("field"), F.coalesce(F.nullif(value, F.lit("")), F.lit("none")).alias("value"))
+    samples = rows.select(key).distinct().join(about.select(key, "domain", "length_bucket"), key, "left")
+    samples = samples.select(F.inline(F.array(pair("domain", F.coalesce("domain", F.lit("misc"))), pair("length", F.coalesce("length_bucket", F.lit("medium"))))))
+    own = F.when(F.col("baseline") == "summary_topk", pair("summary_reason", F.col("reason"))).when(F.col("baseline") == "llm_topk", pair("llm_provider", F.col("llm_provider")))
+    counts = samples.unionByName(rows.select(F.inline(F.array_compact(F.array(own))))).groupBy("field", "value").agg(F.count("*").alias("n"))
+    listed = rows.sparkSession.createDataFrame([("domain", v) for v in domain] + [("length", v) for v in lengths], "field string, value string")
+    return counts.join(listed, ["field", "value"], "full").select("field", "value", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def eval_samples(planned: DataFrame, outcomes: DataFrame, intents: DataFrame, selected: DataFrame, generations: DataFrame, ranked: DataFrame, k: int = 3, lexicon=L.QUERY_CATEGORIES) -> DataFrame:
+    """The whole evaluation record of every planned sample that has an outcome.
+
+    planned: sample_id, query, normalized_query, query_bucket, query_len. outcomes: query, provider, model, llm_status,
+    final_copy, final_source, rewrite_reason, top_candidate_id, fallback, fallback_reason, cache_status. intents and selected (evidence
+    with pos) come from the run; score, strength, category and anchor are read off the selected evidence. generations:
+    query, candidate_id, raw_text. ranked: all candidates with text, strategy, used_evidence, personalized_tags, issues,
+    is_valid, length, relevance_hits, rank_score, rank.
+
+    Arrays are at most k items and a query's candidates. rewritten_candidates has the top candidate's new text if the run
+    rewrote it, else it is empty; best_copy is the top candidate as ranked.
+    """
+    listed = lambda df, order, value, name: df.groupBy("query").agg(F.transform(F.sort_array(F.collect_list(F.struct(order, value.alias("v")))), lambda x: x["v"]).alias(name))
+    fields = [c for c in selected.columns if c not in ("query", "pos")]
+    evidence = listed(selected.where(F.col("pos") <= k), "pos", F.struct(*fields), "selected_evidence")
+    raw = listed(generations, "candidate_id", F.col("raw_text"), "raw_llm_output")
+    parsed, judged = ("candidate_id", "strategy", "text", "used_evidence", "personalized_tags"), ("issues", "is_valid", "length", "relevance_hits")
+    candidates = ranked.groupBy("query").agg(
+        F.sort_array(F.collect_list(F.struct(*parsed))).alias("parsed_candidates"),
+        F.sort_array(F.collect_list(F.struct("candidate_id", "text", *judged))).alias("validated_candidates"),
+        F.sort_array(F.collect_list(F.struct("rank", "candidate_id", "text", "rank_score"))).alias("ranked_candidates"),
+    )
+    intent_fields = ("intent_summary", "scenario", "audience", "purchase_focus", "attribute_hints", "search_focus")
+    scores = evidence_score(selected, k).join(query_category(selected, "query", k, lexicon), "query")
+    rows = planned.select("sample_id", "query", "normalized_query", "query_bucket", "query_len").join(outcomes, "query")
+    for side in (intents.select("query", F.struct(*intent_fields).alias("intent")), evidence, scores, raw, candidates):
+        rows = rows.join(side, "query", "left")
+    top = F.get("ranked_candidates", F.lit(0))
+    source = F.get(F.filter("parsed_candidates", lambda x: x["candidate_id"] == F.col("top_candidate_id")), F.lit(0))
+    again = F.struct(F.col("top_candidate_id").alias("candidate_id"), source["strategy"].alias("strategy"), F.col("final_copy").alias("text"), "rewrite_reason", F.col("final_source").alias("source"))
+    rewritten = (F.col("final_source") == "llm_rule_rewrite") & F.col("top_candidate_id").isNotNull()
+    return rows.select(
+        "sample_id", "query", "normalized_query", "query_bucket", "query_len", "query_category", "intent", "selected_evidence",
+        F.get("selected_evidence", F.lit(0))["item_id"].alias("anchor_item_id"), F.round("evidence_score", 4).alias("evidence_score"), "evidence_strength",
+        "provider", "model", "llm_status", "raw_llm_output", "parsed_candidates", "validated_candidates", "ranked_candidates",
+        F.filter(F.array(again), lambda x: rewritten).alias("rewritten_candidates"), F.coalesce(top["text"], F.lit("")).alias("best_copy"), F.col("final_copy").alias("final_ad_copy"),
+        F.coalesce("fallback", F.lit(False)).alias("fallback_triggered"), F.coalesce("fallback_reason", F.lit("")).alias("fallback_reason"), "cache_status",
+    )

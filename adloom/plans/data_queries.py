@@ -4,13 +4,15 @@ from pyspark.sql import functions as F
 
 from adloom.functions import prompts as P
 from adloom.functions.copies import conservative_copy, template_copy
-from adloom.functions.text import normalize_query
+from adloom.functions.text import length_bucket, normalize_query
 from adloom.operators import ctr, datasets, metrics
 from adloom.operators import evidence as E
+from adloom.operators.understanding import summary_copy
 from adloom.plans.base import WITH_ALL, WITH_BEHAVIOR, behavior, checked, history, items, log, norm, table, users
 from adloom.plans.copy_queries import SUMMARY, TOP
 from adloom.plans.evidence_queries import CATEGORIES, COPY, SHOWN, a5_evidence_topk
 from adloom.plans.retrieval_queries import TOKENS_SQL, _bench, _bm25_sql, j5_bm25_topk
+from adloom.sources.stored import stored
 
 SPLIT = """marked AS (SELECT *, md5(concat_ws('|', '42', seq)) AS mark FROM log),
 parts AS (SELECT *, CASE WHEN split = 'test' THEN 'test' WHEN row_number() OVER (PARTITION BY split = 'test' ORDER BY mark, seq) <= floor((SELECT count(*) FROM log WHERE split <> 'test') * 10 / 100) THEN 'valid' ELSE 'train' END AS part FROM marked)"""
@@ -420,6 +422,71 @@ def d17_bad_copy_gate(spark, sf_dir):
     return _baselines(spark, sf_dir).withColumn("g", gate).select("query", "baseline", "g.status", "g.reason", F.col("g.copy").alias("chosen"))
 
 
+GATED = f"""{REPLAY}, cw AS (SELECT t.query, t.template, s.copy AS summary, s.fallback AS summary_fell, s.reason AS summary_reason, CASE WHEN length(t.query) % 2 = 0 THEN 'creative' ELSE 'plain' END AS tone,
+  CASE length(t.query) % 5 WHEN 0 THEN NULL WHEN 1 THEN s.copy ELSE t.query || '，日常' END AS candidate, CASE WHEN length(t.query) % 7 = 0 THEN 'timeout' ELSE '' END AS error,
+  CASE length(t.query) % 3 WHEN 0 THEN NULL WHEN 1 THEN '可先关注' || t.query ELSE t.query || '！' END AS rewritten, CASE WHEN length(t.query) % 4 <> 0 THEN t.query || '好搭' END AS creative FROM t JOIN summed s USING (query)),
+gb AS (SELECT *, list_filter(['当前候选主要集中', '建议先从这类商品里继续筛选', '更贴近当前需求', '信息清楚，适合先了解', '可先关注', '等商品'], lambda w: contains(coalesce(candidate, ''), w))[1] AS bad1,
+  list_filter(['当前候选主要集中', '建议先从这类商品里继续筛选', '更贴近当前需求', '信息清楚，适合先了解', '可先关注', '等商品'], lambda w: contains(coalesce(rewritten, ''), w))[1] AS bad2 FROM cw),
+gf AS (SELECT *, error <> '' OR candidate IS NULL AS failed, NOT failed AND tone = 'creative' AND bad1 IS NOT NULL AS tried, tried AND (bad2 IS NOT NULL OR rewritten IS NULL) AS hopeless, failed OR hopeless AS fell, CASE WHEN hopeless THEN coalesce(bad2, bad1) ELSE bad1 END AS bad FROM gb)"""
+
+
+@checked(
+    f"""WITH {WITH_ALL}, {GATED} SELECT query, tone, trim(CASE WHEN NOT fell THEN CASE WHEN tried THEN rewritten ELSE candidate END WHEN tone = 'creative' THEN coalesce(creative, template) WHEN summary_fell THEN template ELSE summary END) AS final_copy,
+  CASE WHEN hopeless THEN 'llm_failed: bad_ad_copy_detected:' || bad WHEN error <> '' THEN 'llm_failed: ' || error WHEN failed THEN 'llm_failed: no_candidate' WHEN tried THEN 'llm_ok_rewritten' ELSE 'llm_ok' END AS llm_status, tried AS rewrite_attempted, CASE WHEN tried THEN bad ELSE '' END AS bad_copy_reason,
+  fell AS fallback_triggered, CASE WHEN NOT fell THEN '' WHEN hopeless THEN 'llm_bad_copy_then_creative_template' WHEN tone = 'creative' THEN 'llm_failed_then_creative_template' WHEN summary_fell THEN 'llm_failed_then_summary_' || summary_reason ELSE 'llm_failed_then_summary_ok' END AS fallback_reason FROM gf"""
+)
+def d17_gated_copies(spark, sf_dir):
+    """Every way through the gate: tone, candidate, error, rewrite and creative copy are told by the query's length."""
+    top = stored(a5_evidence_topk(spark, sf_dir), "evidence")
+    asked = top.select("query").distinct()
+    # the replay's evidence: that of the first query with the same normalized form
+    known = asked.groupBy(normalize_query(F.col("query")).alias("norm_query")).agg(F.min("query").alias("pair_query"))
+    paired = asked.withColumn("norm_query", normalize_query(F.col("query"))).join(known, "norm_query").select("query", "pair_query")
+    shown = paired.join(top.withColumnRenamed("query", "pair_query"), "pair_query").drop("pair_query")
+    summed = summary_copy(shown).select("query", F.col("copy").alias("summary"), F.col("fallback").alias("summary_fell"), F.col("reason").alias("summary_reason"))
+    template = shown.where("pos = 1").select("query", template_copy(*map(F.col, ("query", "item_title", "brand_name", "seller_name", "category_path"))).alias("template"))
+    q, size = F.col("query"), F.char_length("query")
+    said = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    rows = summed.join(template, "query").select(
+        "*", F.when(size % 2 == 0, "creative").otherwise("plain").alias("tone"), F.when(size % 5 == 0, F.lit(None)).when(size % 5 == 1, F.col("summary")).otherwise(said(q, "，日常")).alias("candidate"),
+        F.when(size % 7 == 0, "timeout").otherwise("").alias("error"), F.when(size % 3 == 0, F.lit(None)).when(size % 3 == 1, said("可先关注", q)).otherwise(said(q, "！")).alias("rewritten"),
+        F.when(size % 4 != 0, said(q, "好搭")).alias("creative"),
+    )
+    return datasets.gated_copies(rows).select("query", "tone", "final_copy", "llm_status", "rewrite_attempted", "bad_copy_reason", "fallback_triggered", "fallback_reason")
+
+
+@checked(
+    f"""WITH {WITH_ALL}, {BASELINES}, n AS (SELECT query, max(pos) AS n FROM evidence GROUP BY query), o AS (SELECT b1.query, trim(b1.copy) AS a, trim(b2.copy) AS b, n, CASE WHEN length(b1.query) % 6 = 0 THEN 1 ELSE n END AS m,
+  CASE WHEN length(b1.query) % 9 = 0 THEN 'skipped_no_api_key' WHEN length(b1.query) % 11 = 0 THEN 'error' ELSE 'ok' END AS status FROM b1 JOIN b2 USING (query) JOIN n USING (query))
+SELECT query, CASE WHEN status = 'skipped_no_api_key' THEN 'skipped' WHEN status = 'error' THEN 'error' WHEN b = '' THEN 'no_output' WHEN a = b THEN 'same' WHEN length(b) >= length(a) THEN 'longer' ELSE 'different' END AS naturalness,
+  CASE WHEN status = 'skipped_no_api_key' THEN 'skipped' WHEN status = 'error' THEN 'error' WHEN m > n OR length(b) > length(a) THEN 'richer' WHEN m = n AND length(b) = length(a) THEN 'similar' ELSE 'not_richer' END AS richness,
+  array_to_string(list_filter(['元', '¥', '折', '优惠', '立减', '销量', '热销', '爆款', '治', '改善', '修复', '药效', '功效', '续航', '认证'], lambda w: contains(CASE WHEN b <> '' THEN b ELSE a END, w)), '|') AS risk FROM o"""
+)
+def d16_provider_observations(spark, sf_dir):
+    """The template on the first item as the local provider, on the second as the remote one."""
+    counts = a5_evidence_topk(spark, sf_dir).groupBy("query").agg(F.max("pos").alias("n"))
+    rows = stored(_baselines(spark, sf_dir).join(counts, "query"), "baselines")
+    size = F.char_length("query")
+    local = rows.where("baseline = 'first'").select("query", "copy", F.col("n").alias("n_candidates"))
+    status = F.when(size % 9 == 0, "skipped_no_api_key").when(size % 11 == 0, "error").otherwise("ok")
+    remote = rows.where("baseline = 'second'").select("query", "copy", F.when(size % 6 == 0, 1).otherwise(F.col("n")).alias("n_candidates"), status.alias("status"))
+    return datasets.provider_observations(local, remote).withColumn("risk", F.array_join("risk", "|"))
+
+
+@checked(
+    f"""WITH {WITH_ALL}, {POOL_SQL}, {REPLAY}, m AS (SELECT DISTINCT rp.query, CASE WHEN regexp_matches(t, 'brass|copper|steel|tin') THEN 'metal' WHEN regexp_matches(t, 'standard|small') THEN 'plain' WHEN regexp_matches(t, 'promo|economy') THEN 'fine' ELSE 'misc' END AS domain,
+  CASE WHEN length(n) <= 6 THEN 'short' WHEN length(n) <= 15 THEN 'medium' ELSE 'long' END AS length_bucket FROM rp JOIN paths USING (query) JOIN (SELECT query, {norm("query")} AS n FROM paths) USING (query)),
+k(field, value) AS (VALUES ('domain', 'metal'), ('domain', 'plain'), ('domain', 'fine'), ('domain', 'misc'), ('length', 'short'), ('length', 'medium'), ('length', 'long')),
+c AS (SELECT 'domain' AS field, domain AS value, count(*) AS n FROM m GROUP BY ALL UNION ALL SELECT 'length', length_bucket, count(*) FROM m GROUP BY ALL
+  UNION ALL SELECT 'summary_reason', coalesce(nullif(reason, ''), 'none'), count(*) FROM rp WHERE baseline = 'summary_topk' GROUP BY ALL UNION ALL SELECT 'llm_provider', coalesce(nullif(provider, ''), 'none'), count(*) FROM rp WHERE baseline = 'llm_topk' GROUP BY ALL)
+SELECT coalesce(k.field, c.field) AS field, coalesce(k.value, c.value) AS value, coalesce(n, 0) AS n FROM k FULL JOIN c ON k.field = c.field AND k.value = c.value"""
+)
+def d15_comparison_counts(spark, sf_dir):
+    top = stored(a5_evidence_topk(spark, sf_dir), "evidence")
+    about = datasets.query_category(top, "query", 3, CATEGORIES).select("query", F.col("query_category").alias("domain"), length_bucket(normalize_query(F.col("query"))).alias("length_bucket"))
+    return datasets.comparison_counts(_replayed(spark, sf_dir), about, ("metal", "plain", "fine", "misc"), ("short", "medium", "long"))
+
+
 @checked(
     f"""WITH {WITH_ALL}, {BASELINES} SELECT baseline, count(*) AS n, round(avg(fallback::INT), 4) AS fallback_rate FROM bl GROUP BY baseline"""
 )
