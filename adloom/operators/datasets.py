@@ -11,13 +11,15 @@ from pyspark.sql.window import Window
 
 from adloom.functions import lexicons as L
 from adloom.functions.copies import template_copy
-from adloom.functions.prompts import chat_user_content
+from adloom.functions.prompts import chat_user_content, evidence_block, user_context
 from adloom.functions.text import clean_text, normalize_query, query_too_noisy, related_to_evidence, suspicious_claims, tag_all_matches, tag_first_match
 from adloom.operators.understanding import summary_copy
 from adloom.sources.stored import stored
 
 # System message of chat samples.
 SYSTEM_PROMPT = "你是电商搜索广告创意生成助手。请基于用户搜索意图、用户画像和商品证据，生成自然、短促、合规的广告文案。不得编造证据中没有的信息。"
+# Last line of a chat sample's request.
+CHAT_REQUEST = "请生成1条自然广告文案。"
 # Quotas of an evaluation set by query length and evidence strength.
 QUOTAS = {("short", "high"): 20, ("short", "low"): 20, ("medium", "high"): 30, ("medium", "low"): 30, ("long", "high"): 10, ("long", "low"): 10}
 FILLED = 6
@@ -40,13 +42,35 @@ def pairs_to_chat(pairs: DataFrame, max_samples: int | None = None, k: int = 3)
     )
 
 
+def intent_text(intent: Column) -> Column:
+    """A line for each part of an intent that is there; five attributes at most."""
+    line = lambda label, value: F.when(value != "", F.concat(F.lit(label), value))
+    parts = [line(label, clean_text(intent[c])) for label, c in (("意图总结：", "intent_summary"), ("场景：", "scenario"), ("人群：", "audience"), ("关注点：", "purchase_focus"))]
+    hints = F.filter(F.transform(F.coalesce(intent["attribute_hints"], F.array().cast("array<string>")), clean_text), lambda x: x != "")
+    return F.concat_ws("\n", *parts, line("属性提示：", F.array_join(F.slice(hints, 1, 5), "、")))
+
+
 def outcomes_to_chat(outcomes: DataFrame) -> DataFrame:
-    """Accepted pipeline rows (intent_text, profile_text, evidence_text, style_lines, final_copy, ...) as chat samples."""
-    shown = lambda c: F.coalesce(F.nullif(clean_text(F.col(c)), F.lit("")), F.lit("(empty)"))
-    style = F.coalesce(F.nullif(F.array_join(F.slice("style_lines", 1, 5), "\n"), F.lit("")), F.lit("(empty)"))
-    body = F.concat_ws("\n", F.concat(F.lit("intent:\n"), shown("intent_text")), F.concat(F.lit("profile:\n"), shown("profile_text")), F.concat(F.lit("evidence:\n"), shown("evidence_text")), F.concat(F.lit("style:\n"), style))
-    meta = F.struct("query", "provider", F.round("score", 4).alias("score"), "evidence_confidence", "quality_tags")
-    return outcomes.select(F.array(message("system", F.lit(SYSTEM_PROMPT)), message("user", body), message("assistant", F.col("final_copy"))).alias("messages"), meta.alias("metadata"))
+    """Accepted pipeline rows as chat samples: messages and metadata (query, provider, score, evidence_confidence, quality_tags).
+
+    Columns: query, intent (struct), user_profile (struct), recent_behavior_titles, selected_evidence and style_examples
+    (arrays), final_copy, final_source, provider, llm_status, retrieval_source, rewritten, score. A part without text
+    says "(empty)"; five style examples at most are numbered.
+    """
+    shown = lambda c: F.coalesce(F.nullif(c, F.lit("")), F.lit("(empty)"))
+    none = F.array().cast("array<string>")
+    styles = F.filter(F.transform(F.coalesce("style_examples", none), clean_text), lambda x: x != "")
+    numbered = F.array_join(F.transform(F.slice(styles, 1, 5), lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x)), "\n")
+    body = F.concat_ws(
+        "\n", F.concat(F.lit("Query: "), clean_text(F.col("query"))), F.concat(F.lit("Intent: "), intent_text(F.col("intent"))),
+        F.concat(F.lit("User Profile: "), shown(user_context(F.col("user_profile"), F.col("recent_behavior_titles")))),
+        F.concat(F.lit("Evidence: "), shown(evidence_block(F.col("selected_evidence")))), F.concat(F.lit("Style Examples: "), shown(numbered)), F.lit(CHAT_REQUEST),
+    )
+    confidence = evidence_confidence(clean_text(F.col("retrieval_source")), F.coalesce(F.size("selected_evidence"), F.lit(0)))
+    tags = quality_tags(F.col("provider"), clean_text(F.col("llm_status")), clean_text(F.col("final_source")), confidence, F.size(styles), F.coalesce("rewritten", F.lit(False)))
+    score = F.round(F.coalesce(F.col("score").cast("double"), F.lit(0.0)), 2)
+    meta = F.struct(clean_text(F.col("query")).alias("query"), "provider", score.alias("score"), confidence.alias("evidence_confidence"), tags.alias("quality_tags"))
+    return outcomes.select(F.array(message("system", F.lit(SYSTEM_PROMPT)), message("user", body), message("assistant", clean_text(F.col("final_copy")))).alias("messages"), meta.alias("metadata"))
 
 
 def is_template_like(copy: Column) -> Column:
