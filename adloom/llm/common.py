@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 SPACE = " \t\n\x0b\x0c\r"
 #: The same set inside a regular expression.
 SPACE_CLASS = r"\x20\x09-\x0D"
+#: Spark's setting that removes a query's shuffle files when the query has ended.
+SHUFFLES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -76,7 +78,14 @@ def shared_table(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/adloom/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    # the written table takes the place of the shuffles behind it: their files go with the query, not when the driver
+    # collects garbage
+    before = spark.conf.get(SHUFFLES_GO, "false")
+    spark.conf.set(SHUFFLES_GO, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(SHUFFLES_GO, before)
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
     stored = spark.read.schema(df.schema).parquet(path)
