@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Spark's setting that removes a query's shuffle files when the query has ended.
+SHUFFLES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir, which all executors share; where it is unset, a new temporary folder (local mode only)."""
@@ -21,10 +24,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 def stored(df: DataFrame, label: str) -> DataFrame:
     """df written once as Parquet in the shared folder and read back: plans that use it don't compute it again, and lost
-    executors lose nothing. Removed by dropped(), or when the driver's file system closes."""
+    executors lose nothing. Shuffle files behind it go with the query. Removed by dropped(), or when the driver's file system closes."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/adloom/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(SHUFFLES_GO, "false")
+    spark.conf.set(SHUFFLES_GO, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(SHUFFLES_GO, before)
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
     found = spark.read.schema(df.schema).parquet(path)
