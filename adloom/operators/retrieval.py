@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from adloom.functions.text import normalize_query, tokens
+from adloom.operators.containment import containment_candidates
 from adloom.operators.evidence import attach_user_profile, evidence_topk, query_item_stats
 from adloom.operators.search import bm25_topk, lexical_overlap_topk
 from adloom.sources.stored import dropped, stored
@@ -199,27 +200,6 @@ def requested_profiles(requests: DataFrame, pairs: DataFrame, users: DataFrame)
     return attach_user_profile(both, users, "pair_user", "asked_user")
 
 
-def _pieces(text: Column, n: int) -> Column:
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.char_length(text) - n + 1), lambda i: F.substr(text, i, F.lit(n))))
-
-
-def containment_candidates(outer: DataFrame, inner: DataFrame, n: int = 3) -> DataFrame:
-    """(o, i): pairs of distinct texts where outer may contain inner: outer has the piece of inner that fewest outer texts have.
-
-    A text shorter than n is its own piece. An inner text with a piece that no outer text has meets nothing.
-    """
-    found = None
-    for size in range(1, n + 1):
-        pieces = outer.where(F.char_length("o") >= size).select("o", F.explode(_pieces(F.col("o"), size)).alias("piece"))
-        own = inner.where(F.char_length("i") >= n if size == n else F.char_length("i") == size)
-        counts = pieces.groupBy("piece").agg(F.count("*").alias("n"))
-        rated = own.select("i", F.explode(_pieces(F.col("i"), size)).alias("piece")).join(counts, "piece", "left")
-        rarest = rated.groupBy("i").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "piece")).alias("best"))
-        part = rarest.where("best.n > 0").select("i", F.col("best.piece").alias("piece")).join(pieces, "piece").select("o", "i")
-        found = part if found is None else found.unionByName(part)
-    return found
-
-
 def lookup_sample(queries: DataFrame, samples: DataFrame) -> DataFrame:
     """query, sample_seq, tier: the first sample (seq, keys array<string>) with an equal key (lower-cased, stripped), else the
     first where one text contains the other.

@@ -7,6 +7,7 @@ from adloom.functions.copies import conservative_copy, template_copy
 from adloom.functions.text import length_bucket, normalize_query
 from adloom.operators import ctr, datasets, metrics
 from adloom.operators import evidence as E
+from adloom.operators.containment import documents_holding
 from adloom.operators.understanding import summary_copy
 from adloom.plans.base import WITH_ALL, WITH_BEHAVIOR, behavior, checked, history, items, log, norm, table, users
 from adloom.plans.copy_queries import SUMMARY, TOP
@@ -518,20 +519,10 @@ p AS (SELECT rel.query_id, avg((coalesce(pos, 999) <= 10)::INT) AS a, avg((coale
 SELECT count(*) AS n_queries, round(avg(a), 6) AS recall_at_10, round(avg(b), 6) AS recall_at_20, round(avg(c), 6) AS recall_at_50, round(avg(d), 6) AS recall_at_100 FROM p"""
 )
 def m4_recall_at_k(spark, sf_dir):
-    """Documents that hold a benchmark text are its relevant documents.
-
-    The second to fourth blank-separated pieces of a text stand whole in every document that holds it, so texts and
-    documents meet on them; only texts of fewer than five pieces are tried on every document.
-    """
-    queries, docs = _bench(spark, sf_dir), table(spark, sf_dir, "documents").select("doc_id", "text")
-    wanted = queries.select("query_id", F.col("text").alias("wanted"), F.split("text", " ").alias("pieces"))
-    pieces = F.split("text", " ")
-    starts = F.sequence(F.lit(1), F.greatest(F.size(pieces) - 2, F.lit(1)))
-    met = docs.select("doc_id", "text", F.explode(F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice(pieces, i, F.lit(3)), " ")))).alias("met"))
-    long = met.join(wanted.where("size(pieces) >= 5").select("query_id", "wanted", F.array_join(F.slice("pieces", 2, 3), " ").alias("met")), "met")
-    short = docs.join(wanted.where("size(pieces) < 5").select("query_id", "wanted"), F.contains("text", "wanted"))
-    held = long.where(F.contains("text", "wanted")).select("query_id", "doc_id").unionByName(short.select("query_id", "doc_id"))
-    return metrics.recall_at_k(j5_bm25_topk(spark, sf_dir), held.select("query_id", "doc_id", F.lit(1).alias("relevance")).distinct())
+    """Documents that hold a benchmark text are its relevant documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = documents_holding(docs, _bench(spark, sf_dir))
+    return metrics.recall_at_k(j5_bm25_topk(spark, sf_dir), held.withColumn("relevance", F.lit(1)))
 
 
 BLOCK = """string_agg(pos || '. ' || concat_ws(' | ', nullif(item_title, ''), CASE WHEN brand_name NOT IN ('', '无品牌') THEN '品牌：' || brand_name END, CASE WHEN category_path <> '' THEN '类目：' || category_path END,

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from adloom.operators import retrieval as R
 from adloom.operators import search as S
 from adloom.operators import vectors as V
+from adloom.operators.containment import containment_candidates, documents_holding
 from adloom.sources import schemas
 
 REQUESTS = "request_id string, query string, user_id long, session_id long"
@@ -166,7 +167,22 @@ def test_containing_texts(spark):
     # texts that all begin alike meet on what is rare in them
     outer = spark.createDataFrame([(f"the same beginning {i:04d}",) for i in range(400)], "o string")
     inner = spark.createDataFrame([(f"the same beginning {i:04d}",) for i in range(0, 400, 20)], "i string")
-    assert R.containment_candidates(outer, inner).count() <= 20 * 40
+    assert containment_candidates(outer, inner).count() <= 20 * 40
+
+
+def test_documents_that_hold_a_text(spark):
+    rng = random.Random(8)
+    said = lambda n: " ".join("".join(rng.choice("abc") for _ in range(rng.randrange(0, 4))) for _ in range(n))
+    docs = [(i, said(rng.randrange(1, 30))) for i in range(150)] + [(900, None), (901, ""), (902, "zz the  end")]
+    wanted = []
+    for i in range(120):
+        text = rng.choice(docs[:150])[1]
+        a = rng.randrange(len(text) + 1)
+        wanted.append((i, text[a : a + rng.randrange(0, 14)]))
+    wanted += [(500, "zz the  end"), (501, "e  e"), (502, "nowhere to be found at all"), (503, " "), (504, "  ")]
+    got = {tuple(r) for r in documents_holding(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(wanted, "query_id long, text string")).collect()}
+    assert got == {(q, d) for q, w in wanted for d, t in docs if w and t and w in t}
+    assert documents_holding(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([], "query_id long, text string")).count() == 0
 
 
 def test_clusters_are_skipped_and_the_result_is_exact(spark):
