@@ -373,10 +373,11 @@ def replay_baselines(requests: DataFrame, evidence: DataFrame, llm: DataFrame, p
     missing = F.raise_error(F.concat(F.lit("no pair for query: "), F.col("query")))
     paired = paired.withColumn("pair_query", F.when(F.col("pair_query").isNull(), missing).otherwise(F.col("pair_query")))
     shown = paired.select("query", "pair_query").join(evidence.withColumnRenamed("query", "pair_query"), "pair_query").drop("pair_query")
+    shown = stored(shown, "shown")
     tier = F.when(F.col("user_id").isNotNull(), "train_pairs_user_exact").when(F.col("session_id").isNotNull(), "train_pairs_session_exact").otherwise("train_pairs_query_exact")
     first = shown.where("pos = 1").select("query", template_copy(*map(F.col, ("query", "item_title", "brand_name", "seller_name", "category_path"))).alias("template"))
     # the left side is every paired request, so that a missing pair is met
-    base = paired.select("query", "pair_query", tier.alias("tier")).join(first, "query", "left").where("pair_query is not null")
+    base = stored(paired.select("query", "pair_query", tier.alias("tier")).join(first, "query", "left").where("pair_query is not null"), "paired")
     none = F.lit("")
 
     def branch(rows: DataFrame, name: str, copy: Column, fallback: Column, reason: Column, source: Column, *llm_fields: Column) -> DataFrame:

@@ -10,6 +10,11 @@ from adloom.plans.base import WITH_ALL, WITH_BEHAVIOR, checked, log, norm, quote
 from adloom.plans.evidence_queries import COPY, SHOWN, a5_evidence_topk
 from adloom.sources.stored import stored
 
+def _evidence(spark, sf_dir):
+    """The evidence of all queries, written once for the plans that read it several times."""
+    return stored(a5_evidence_topk(spark, sf_dir), "evidence")
+
+
 HINTS = f"""nq AS (SELECT DISTINCT query, {norm("query")} AS query_text FROM evidence),
 named AS (SELECT query, min_by(brand_name, pos) AS b FROM evidence JOIN nq USING (query) WHERE brand_name <> '' AND contains(lower(query_text), lower(brand_name)) GROUP BY query),
 cb AS (SELECT query, brand_name AS b FROM (SELECT query, brand_name, count(*) AS n, min(pos) AS p FROM evidence WHERE brand_name <> '' GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY query ORDER BY n DESC, p) = 1),
@@ -56,7 +61,7 @@ selected AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY evidence_f
 
 @checked(f"WITH {WITH_ALL}, {HINTS}, {INTENT}, {RESCORED} SELECT query, item_id, pos AS old_pos, new_pos AS pos, evidence_fit FROM selected WHERE new_pos <= 2")
 def u5_rescore_evidence(spark, sf_dir):
-    top = a5_evidence_topk(spark, sf_dir)
+    top = _evidence(spark, sf_dir)
     return U.rescore_evidence(top, U.intent(top), 2).select("query", "item_id", "old_pos", "pos", "evidence_fit")
 
 
@@ -67,7 +72,7 @@ g AS (SELECT query, fact, min(new_pos * 10 + k) AS place FROM f WHERE fact IS NO
 SELECT query, string_agg(fact, '|' ORDER BY place) AS facts FROM (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY query ORDER BY place) <= 8) GROUP BY query"""
 )
 def u6_facts(spark, sf_dir):
-    top = a5_evidence_topk(spark, sf_dir)
+    top = _evidence(spark, sf_dir)
     intents = U.intent(top)
     return U.facts(U.rescore_evidence(top, intents), intents).select("query", F.array_join("fact_block", "|").alias("facts"))
 
@@ -95,7 +100,7 @@ summed AS (SELECT query, reason, reason IN ('insufficient_evidence_items', 'no_s
 SELECT query, reason, fallback, copy FROM summed"""
 )
 def u11_summary_copy(spark, sf_dir):
-    return U.summary_copy(a5_evidence_topk(spark, sf_dir)).select("query", "reason", "fallback", "copy")
+    return U.summary_copy(_evidence(spark, sf_dir)).select("query", "reason", "fallback", "copy")
 
 
 @checked(
@@ -104,7 +109,7 @@ SELECT query, concat('围绕“', trim(query), '”这类需求，不妨先看',
 )
 def u12_creative_copy(spark, sf_dir):
     """Titles here have no Han tokens and every item has a category, so the category sentence applies."""
-    return U.creative_copy(a5_evidence_topk(spark, sf_dir))
+    return U.creative_copy(_evidence(spark, sf_dir))
 
 
 @checked(
@@ -168,13 +173,8 @@ def k2_parse_generations(spark, sf_dir):
     return K.parse_generations(_generations(spark, sf_dir)).select("query", "candidate_id", "text", F.array_join("used_evidence", "|").alias("used"))
 
 
-def _evidence(spark, sf_dir):
-    """The evidence of all queries, written once for the plans that read it several times."""
-    return stored(a5_evidence_topk(spark, sf_dir), "evidence")
-
-
 def _validated(spark, sf_dir, top=None):
-    top = a5_evidence_topk(spark, sf_dir) if top is None else top
+    top = _evidence(spark, sf_dir) if top is None else top
     intents = U.intent(top).select("query", "query_text", "brand_hint", "category_hint", "scene_hint", "crowd_hint")
     anchor = top.where("pos = 1").select("query", F.col("item_title").alias("anchor_title"))
     return K.validate_candidates(K.parse_generations(_generations(spark, sf_dir, top)).join(intents, "query").join(anchor, "query"))
@@ -285,7 +285,7 @@ w AS (SELECT query, count(*) AS n, count(*) FILTER (text <> '') AS nt, count(DIS
 SELECT query, place, CASE WHEN nt = 0 OR (nd = 1 AND n > 1 AND (text = '' OR place <> f)) THEN 'made ' || place ELSE text END AS text, CASE WHEN nt = 0 THEN 'synthetic_candidates' WHEN (nd = 1 AND n > 1) OR nt < n THEN 'provider_partial' ELSE 'provider_ok' END AS status FROM g JOIN w USING (query)"""
 )
 def k10_backfill_generations(spark, sf_dir):
-    top = a5_evidence_topk(spark, sf_dir)
+    top = _evidence(spark, sf_dir)
     given = top.select("query", F.col("pos").alias("place"), F.when(F.col("item_id") % 2 == 0, F.col("item_title")).otherwise("").alias("text"))
     made = top.select("query", F.col("pos").alias("place"), F.concat(F.lit("made "), F.col("pos").cast("string")).alias("copy"))
     return K.backfill_generations(given, made).select("query", "place", "text", "status")
@@ -302,7 +302,7 @@ SELECT r.query, r.item_id, coalesce(u.candidate_id, t.top_id), CASE WHEN u.candi
 FROM rest r LEFT JOIN unused u ON u.query = r.query AND u.turn = r.turn LEFT JOIN top t ON t.query = r.query"""
 )
 def j10_assign_copies(spark, sf_dir):
-    top = a5_evidence_topk(spark, sf_dir)
+    top = _evidence(spark, sf_dir)
     cites = F.when(F.col("pos") == 2, F.array(F.col("item_id").cast("string"))).otherwise(F.array().cast("array<string>"))
     made = top.where("item_id % 3 <> 0").select("query", F.concat(F.lit("g"), F.col("pos").cast("string")).alias("candidate_id"), (10 - F.col("pos")).alias("rank_score"), cites.alias("used_evidence"))
     return K.assign_copies(top.select("query", "item_id", "pos"), made)

@@ -134,11 +134,11 @@ def r11_linear_baseline(spark, sf_dir):
     """Evaluation of a linear model on id features; its learned weights have no SQL form."""
     made = ctr.assemble_examples(log(spark, sf_dir), users(spark, sf_dir), items(spark, sf_dir), history(spark, sf_dir))
     columns = ("gender", "age", *ctr.CATEGORIES)
-    made = made.select("part", "label", *columns)
+    made = stored(made.select("part", "label", *columns), "examples")
     from pyspark.ml.functions import vector_to_array
 
     model = ctr.linear_baseline(made.where("part = 'train'"), columns)
-    scored = model.transform(made.where("part = 'test'")).select("label", vector_to_array("logit")[1].alias("logit"))
+    scored = stored(model.transform(made.where("part = 'test'")).select("label", vector_to_array("logit")[1].alias("logit")), "scored")
     return ctr.logloss(scored).join(ctr.roc_auc(scored, "logit"))
 
 
@@ -281,7 +281,7 @@ bl AS (SELECT * FROM b1 UNION ALL SELECT * FROM b2)"""
 
 def _replayed(spark, sf_dir):
     """All queries with evidence, every third without a user; the second and third items' templates stand for given texts."""
-    top = a5_evidence_topk(spark, sf_dir)
+    top = stored(a5_evidence_topk(spark, sf_dir), "evidence")
     copy = template_copy(*map(F.col, ("query", "item_title", "brand_name", "seller_name", "category_path")))
     texts = lambda pos, name: top.where(F.col("pos") == pos).select("query", copy.alias("copy"), F.lit(name).alias("provider"), F.lit("m1").alias("model"), F.lit("ok").alias("status"))
     size = F.char_length("query")
