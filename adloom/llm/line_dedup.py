@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, BooleanType
 
-from adloom.llm.common import SPACE, ascii_lower, release, shared_table, text_of
+from adloom.llm.common import SPACE, ascii_lower, release, shared_table, ship, text_of
 
 KEY = ["h1", "h2"]
 
@@ -20,6 +24,13 @@ def line_hash(key: Column) -> Column:
     return F.struct(F.xxhash64(key).alias("h1"), F.xxhash64(F.lit("line"), key).alias("h2"))
 
 
+@pandas_udf(ArrayType(BooleanType()))
+def among(values: pd.Series, wanted: pd.Series) -> pd.Series:
+    """Which of an array's values another array of the row has; null where there is none. Sorts, so its time is nearly in
+    proportion to both arrays."""
+    return pd.Series([None if w is None or v is None else np.isin(v, w) for v, w in zip(values, wanted, strict=True)], dtype=object)
+
+
 def _union(tables: list[DataFrame]) -> DataFrame:
     every = tables[0]
     for table in tables[1:]:
@@ -77,11 +88,13 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches
     Lines whose key has at least `min_chars` code points and is found in at least `min_docs` documents are dropped from
     all documents but the one with the largest doc_id. Documents arrive in `batches` batches by a hash of their id.
     Per document a key counts once and only keys are shuffled; a frequent line is reduced to one row per task before
-    any merge, and its way back to the documents is a plain join that adaptive execution can split.
+    any merge, and its way back to the documents is a plain join that adaptive execution can split. A document's lines are
+    looked up among its drops in one sorted pass, so a text of many lines and many drops takes no more than both.
 
     Null or empty text is one empty line. Rows are documents: rows that repeat a doc_id count separately and all rows
     with the largest id keep the line. A null doc_id is below every other. An empty table gives an empty result.
     """
+    ship(docs.sparkSession)
     lines = F.split(text_of(), "\n", -1)
     keys = F.filter(F.transform(lines, line_key), lambda k: F.char_length(k) >= min_chars)
     held = shared_table(
@@ -101,17 +114,19 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches
         held.join(common, KEY)
         .where(~F.col("doc_id").eqNullSafe(F.col("last_doc")))
         .groupBy(F.col("doc_id").alias("drop_id"))
-        .agg(F.collect_set(F.struct(*KEY)).alias("drops"))
+        .agg(F.collect_set("h2").alias("drops"))
     )
     rows = docs.select("doc_id", F.col("text").alias("text")).join(
         drops, F.col("doc_id").eqNullSafe(F.col("drop_id")), "left"
     )
 
-    def stays(line: Column) -> Column:
+    def mark(line: Column) -> Column:
         key = line_key(line)
-        return (F.char_length(key) < min_chars) | ~F.array_contains(F.col("drops"), line_hash(key))
+        return F.when(F.char_length(key) >= min_chars, line_hash(key)["h2"]).otherwise(0)
 
-    kept = F.when(F.col("drops").isNull(), lines).otherwise(F.filter(lines, stays))
+    # only documents that lose a line are looked at
+    rows = rows.withColumn("gone", among(F.when(F.col("drops").isNotNull(), F.transform(lines, mark)), F.col("drops")))
+    kept = F.when(F.col("drops").isNull(), lines).otherwise(F.filter(lines, lambda line, i: ~F.get("gone", i)))
     return rows.select("doc_id", lines.alias("lines"), kept.alias("kept")).select(
         "doc_id",
         F.size("lines").cast("long").alias("n_lines"),

@@ -224,6 +224,17 @@ def test_a_text_of_many_lines(spark):
     assert (got[1]["n_lines"], got[1]["n_dropped"], got[2]["n_dropped"]) == (60000, 3, 1) and time.time() - began < 120
 
 
+def test_a_text_of_many_common_lines(spark):
+    """50,000 distinct lines that three texts share: two of them lose them all."""
+    text = "\n".join(f"a common line that is long enough {k}" for k in range(50_000))
+    docs = spark.createDataFrame([(1, text), (2, text + "\nown"), (3, text), (4, "short\n\nshort")], "doc_id long, text string")
+    began = time.time()
+    got = by_id(dedup_lines(docs))
+    assert time.time() - began < 60
+    assert {i: (r["n_lines"], r["n_dropped"]) for i, r in got.items()} == {1: (50_000, 50_000), 2: (50_001, 50_000), 3: (50_000, 0), 4: (3, 0)}
+    assert (got[1]["kept_text"], got[2]["kept_text"], got[3]["kept_text"]) == ("", "own", text)
+
+
 def test_language_model(docs, rows):
     got = by_id(lm_scores(docs, frequent=50))
     train, ends = Counter(), 0
