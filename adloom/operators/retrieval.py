@@ -142,7 +142,8 @@ def retrieve_cascade(requests: DataFrame, pairs: DataFrame, rows: DataFrame, ite
     """request_id, source, pos and evidence; requests that no tier resolves come back once with source 'none'.
 
     offline: pairs, rank log by user, session and query, BM25, lexical overlap. runtime: pairs, fuzzy pairs, rank log
-    merged by normalized query, lexical overlap, then the offline tiers. pairs carry evidence_items.
+    merged by normalized query, lexical overlap, then those offline tiers that have not been asked yet. pairs carry
+    evidence_items.
 
     A tier only sees requests that no earlier tier resolved. What it found and what it left open are written once, so the
     next tier's plan begins at a table and the plans add up instead of multiplying; when nothing is open, the rest is
@@ -179,8 +180,7 @@ def retrieve_cascade(requests: DataFrame, pairs: DataFrame, rows: DataFrame, ite
     rank = lambda left: match_rank_exact(left, rows, items, k)
     bm25 = lambda left: by_query(left, bm25_topk, "bm25")
     lexical = lambda left: by_query(left, lexical_overlap_topk, "lexical_overlap")
-    offline = (exact, rank, bm25, lexical)
-    tiers = {"offline": offline, "runtime": (exact, fuzzy, merged_rank, lexical, *offline)}[mode]
+    tiers = {"offline": (exact, rank, bm25, lexical), "runtime": (exact, fuzzy, merged_rank, lexical, rank, bm25)}[mode]
     left, out = stored(requests, "open"), None
     for tier in tiers:
         found = stored(tier(left).select("request_id", "source", "pos", *EVIDENCE), "found")

@@ -28,13 +28,12 @@ def doc_terms(docs: DataFrame, doc_id: str, text: Column, vocabulary: DataFrame)
 
 def index_terms(terms: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Three tables from (d, token, weight, bonus): postings with their level and chunk, one row of bounds per token (df, most,
-    levels), and the terms themselves, stored.
+    levels), and the terms themselves.
 
     A posting's impact is weight + bonus. A token's impacts are cut into LEVELS even ranges, the highest first; `levels`
     lists those in use with their highest impact and number of chunks. No postings are sorted, and a token that most
     documents have is spread over levels and chunks.
     """
-    terms = stored(terms, "terms")
     impact = F.col("weight") + F.col("bonus")
     range_of = terms.groupBy("token").agg(F.count("*").alias("df"), F.max("weight").alias("most"), F.min(impact).alias("low"), F.max(impact).alias("high"))
     level = F.floor((F.col("high") - impact) * (LEVELS - 1) / F.greatest(F.col("high") - F.col("low"), F.lit(1))).cast("int")
@@ -81,7 +80,10 @@ def best_documents(asked: DataFrame, terms: DataFrame, k: int) -> DataFrame:
 
     asked: (q, token), distinct. terms: (d, token, weight, bonus), whole numbers, one bonus a document.
     """
-    asked = stored(asked, "asked")
+    asked, terms = stored(asked, "asked"), stored(terms, "terms")
+    if terms.isEmpty():
+        kind = lambda df, c: df.schema[c].dataType.simpleString()
+        return asked.sparkSession.createDataFrame([], f"q {kind(asked, 'q')}, pos int, d {kind(terms, 'd')}, score long, shared long")
     index = index_terms(terms)
     found = full_scores(stored(candidate_pairs(asked, index, k), "candidates"), asked, index[2])
     by = Window.partitionBy("q").orderBy(F.desc("score"), "d")
