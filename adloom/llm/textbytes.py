@@ -62,3 +62,9 @@ def rows(batches: Iterator[pa.RecordBatch], size: int = 256) -> Iterator[dict[st
     for batch in batches:
         for i in range(0, batch.num_rows, size):
             yield batch.slice(i, size).to_pydict()
+
+
+def arrays(column: pa.Array) -> list[np.ndarray]:
+    """The rows of a column of arrays without nulls, as views of one buffer."""
+    values, ends = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+    return [values[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
