@@ -21,10 +21,11 @@ def _matches(name: str, pattern: str) -> str:
 
 def _windows(no: int, name: str, alphabet: str, window: int, bits: float) -> str:
     run = "[" + alphabet.replace("-", r"\-") + f"]{{{window},}}"
-    allow = _quoted("|".join(f"(?:{a})" for a in ALLOW))
+    listed = "|".join(f"(?:{a})" for a in ALLOW)
+    allow, whole = _quoted(listed), _quoted(f"^(?:{listed})$")
     return f"""{_matches(name, run)},
-{name}_w AS (SELECT doc_id, start_at, hit, unnest(range(length(hit) - {window} + 1)) AS w FROM {name} WHERE NOT regexp_matches(hit, {allow})),
-{name}_c AS (SELECT doc_id, start_at, w, substr(hit, w + k, 1) AS ch, count(*) AS c FROM (SELECT *, unnest(range(1, {window} + 1)) AS k FROM {name}_w) GROUP BY ALL),
+{name}_w AS (SELECT doc_id, start_at, hit, unnest(range(length(hit) - {window} + 1)) AS w FROM {name} WHERE NOT regexp_matches(hit, {whole})),
+{name}_c AS (SELECT doc_id, start_at, w, substr(hit, w + k, 1) AS ch, count(*) AS c FROM (SELECT *, unnest(range(1, {window} + 1)) AS k FROM {name}_w WHERE NOT regexp_matches(substr(hit, w + 1, {window}), {allow})) GROUP BY ALL),
 {name}_h AS (SELECT doc_id, start_at + w AS s FROM {name}_c GROUP BY doc_id, start_at, w HAVING sum(round(c * log2(c) * {SCALE})::BIGINT) <= {entropy_limit(window, bits)}),
 {name}_g AS (SELECT doc_id, s, sum((s > coalesce(p, -1000000) + {window})::INT) OVER (PARTITION BY doc_id ORDER BY s) AS island FROM (SELECT *, lag(s) OVER (PARTITION BY doc_id ORDER BY s) AS p FROM {name}_h)),
 {name}_s AS (SELECT doc_id, {no} AS kind_no, min(s) AS start_at, max(s) + {window} AS end_at FROM {name}_g GROUP BY doc_id, island)"""

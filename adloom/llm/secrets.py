@@ -22,7 +22,7 @@ CLASSES = (
     ("entropy_hex", "0123456789ABCDEFabcdef", 24, 3.2),
     ("entropy_base64", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/_-", 24, 4.05),
 )
-#: A candidate that matches one of these is not reported by the entropy scan.
+#: The entropy scan passes over windows in which one of these is found, and over runs that one of them matches as a whole.
 ALLOW = (
     r"(?i)example|placeholder|changeme|dummy|sample|xxxx",
     r"^[a-z_-]+$|^[A-Z_-]+$|^[0-9_-]+$",
@@ -88,8 +88,9 @@ def matches(text: Column, pattern: str) -> Column:
     return F.when(F.regexp_like(text, F.lit(pattern)), bound(bound(pairs, blocks), placed)).otherwise(F.array().cast(kind))
 
 
-def window_spans(token: Column, alphabet: str, window: int, bits: float) -> Column:
-    """array<struct<start, end>> (from 0): the joined windows of a candidate whose entropy reaches `bits`.
+def window_spans(token: Column, alphabet: str, window: int, bits: float, allow: str = "") -> Column:
+    """array<struct<start, end>> (from 0): the joined windows of a candidate whose entropy reaches `bits` and in which
+    the pattern `allow`, if any, is not found.
 
     A candidate is cut into chunks of CHUNK window starts, each with the window - 1 letters that follow, so every window
     lies in one chunk and time grows in proportion to the length. In a chunk the window's counts live in a string with one
@@ -113,7 +114,7 @@ def window_spans(token: Column, alphabet: str, window: int, bits: float) -> Colu
             ),
         )
 
-    def join(s: Column, i: Column) -> Column:
+    def join(s: Column, i: Column, chunk: Column) -> Column:
         start, end = (i - (window - 1)).cast("long"), (i + 1).cast("long")
         last = F.get(s["found"], F.size(s["found"]) - 1)
         grown = F.when(
@@ -121,24 +122,26 @@ def window_spans(token: Column, alphabet: str, window: int, bits: float) -> Colu
             F.concat(F.slice(s["found"], F.lit(1), F.size(s["found"]) - 1), F.array(F.struct(last["start"].alias("start"), end.alias("end"))).cast(kind)),
         ).otherwise(F.concat(s["found"], F.array(F.struct(start.alias("start"), end.alias("end"))).cast(kind)))
         hit = (i >= window - 1) & (s["sum"] <= entropy_limit(window, bits))
+        if allow:
+            hit &= ~F.regexp_like(F.substr(chunk, i - (window - 2), F.lit(window)), F.lit(allow))
         return F.struct(s["counts"].alias("counts"), s["sum"].alias("sum"), F.when(hit, grown).otherwise(s["found"]).alias("found"))
 
     start = F.struct(
         F.lit(chr(zero) * len(alphabet)).alias("counts"), F.lit(0).cast("long").alias("sum"), F.array().cast(kind).alias("found")
     )
 
-    def chunk_spans(places: Column) -> Column:
+    def chunk_spans(places: Column, chunk: Column) -> Column:
         def step(s: Column, i: Column) -> Column:
             left = bound(s, lambda x: F.when(i >= window, moved(x, F.get(places, i - window), -1)).otherwise(x))
             entered = bound(left, lambda x: moved(x, F.get(places, i), 1))
-            return bound(entered, lambda x: join(x, i))
+            return bound(entered, lambda x: join(x, i, chunk))
 
         return F.aggregate(F.sequence(F.lit(0), F.size(places) - 1), start, step, lambda s: s["found"])
 
     def spans(chunk: Column, k: Column) -> Column:
         places = F.transform(F.regexp_extract_all(chunk, F.lit("."), F.lit(0)), lambda c: F.instr(F.lit(alphabet), c))
         at = k.cast("long") * CHUNK
-        return F.transform(bound(places, chunk_spans), lambda w: F.struct((w["start"] + at).alias("start"), (w["end"] + at).alias("end")))
+        return F.transform(bound(places, lambda ps: chunk_spans(ps, chunk)), lambda w: F.struct((w["start"] + at).alias("start"), (w["end"] + at).alias("end")))
 
     def joined(every: Column) -> Column:
         """Spans by start, ends rising: a joined one begins where none before touches and ends where none after does."""
@@ -151,12 +154,12 @@ def window_spans(token: Column, alphabet: str, window: int, bits: float) -> Colu
     return bound(F.flatten(F.transform(chunks, spans)), joined)
 
 
-def _placed(alphabet: str, window: int, bits: float):
+def _placed(alphabet: str, window: int, bits: float, allow: str):
     """From a match to its entropy spans in the text's positions."""
 
     def placed(m: Column) -> Column:
         return F.transform(
-            window_spans(m["hit"], alphabet, window, bits),
+            window_spans(m["hit"], alphabet, window, bits, allow),
             lambda w: F.struct((m["start"] + w["start"]).alias("start"), (m["start"] + w["end"]).alias("end")),
         )
 
@@ -168,7 +171,8 @@ def scan_secrets(docs: DataFrame, classes=CLASSES, allow: tuple[str, ...] = ALLO
 
     Named kinds: assign (a keyword, a separator and a value of `min_value` characters or more), access and hex. The
     entropy kinds are windows of maximal runs of a character class whose Shannon entropy reaches the class's limit,
-    joined where they touch; runs that match an allow-list pattern are left out. Named kinds are never suppressed.
+    joined where they touch. A window in which an allow-list pattern is found does not count, nor does a run that a
+    pattern matches as a whole; the other windows around such a window do. Named kinds are never suppressed.
     Positions are code points, ends exclusive. Work is row-local: no shuffle, and a text's scan ends at a plain test
     when it has no match of a kind.
 
@@ -192,10 +196,10 @@ def scan_secrets(docs: DataFrame, classes=CLASSES, allow: tuple[str, ...] = ALLO
     parts = [tagged(found, no, KINDS[no]) for no, found in named]
     for no, (kind, alphabet, window, bits) in enumerate(classes, len(named)):
         run = "[" + alphabet.replace("-", "\\-") + f"]{{{window},}}"
-        listed = lambda hit: F.lit(False) if not allow else F.regexp_like(hit, F.lit("|".join(f"(?:{a})" for a in allow)))
-        runs = F.filter(matches(text, run), lambda m: ~listed(m["hit"]))
-
-        parts.append(tagged(F.flatten(F.transform(runs, _placed(alphabet, window, bits))), no, kind))
+        found, listed = matches(text, run), "|".join(f"(?:{a})" for a in allow)
+        if allow:
+            found = F.filter(found, lambda m: ~F.regexp_like(m["hit"], F.lit(f"^(?:{listed})$")))  # noqa: B023
+        parts.append(tagged(F.flatten(F.transform(found, _placed(alphabet, window, bits, listed))), no, kind))
     return docs.select("doc_id", F.sort_array(F.concat(*parts)).alias("spans"))
 
 

@@ -2,13 +2,14 @@
 
 import math
 import random
+import re
 import time
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
-from adloom.llm.secrets import CLASSES, KINDS, scan_secrets
+from adloom.llm.secrets import ALLOW, CLASSES, KINDS, scan_secrets
 from adloom.llm.sharding import CELLS, bounded_ring
 
 ALPHABET = CLASSES[1][1]
@@ -88,3 +89,25 @@ def test_one_more_shard_moves_few_rows(spark, load):
     moved = [i for i in before if before[i] != after[i]]
     into_new = sum(after[i] == 16 for i in before)
     assert into_new and len(moved) <= 3 * len(before) / 17
+
+
+def test_allow_listed_windows_leave_the_rest_of_a_run(spark):
+    rng = random.Random(5)
+    key = lambda n: "".join(rng.choices(ALPHABET, k=n))
+    a, b, path = key(74), key(74), key(37)
+    texts = [a + "xxxx" + b, "/sample/" + path, path * 3, "f81d4fae-7dec-11d0-a765-00a0c91e6bf6", "abcdefghijklmnopqrstuvwxyz_-abcdefghi"]
+    pattern = re.compile("|".join(f"(?:{p})" for p in (x.replace("(?i)", "(?i:") + ")" if x.startswith("(?i)") else x for x in ALLOW)))
+
+    def plain(text):
+        spans, starts = [], [k for k in range(len(text) - 23) if plain_spans(text[k : k + 24]) and not pattern.search(text[k : k + 24])]
+        for k in [] if pattern.fullmatch(text) else starts:
+            if spans and spans[-1][1] >= k:
+                spans[-1] = (spans[-1][0], k + 24)
+            else:
+                spans.append((k, k + 24))
+        return spans
+
+    got = {r["doc_id"]: [(s["start"], s["end"]) for s in r["spans"] if s["kind"] == "entropy_base64"] for r in scan_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {i: plain(t) for i, t in enumerate(texts)}
+    # windows on both sides of the listed word hold part of it, so they touch
+    assert got[0] == [(0, 152)] and got[1][0][1] == 45 and got[2] and not got[3] and not got[4]
