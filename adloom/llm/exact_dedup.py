@@ -12,8 +12,9 @@ KEY = ["digest", "norm_bytes", "check"]
 
 def run_after(run: Column, check: Column, step: int, fan_in: int) -> Column:
     """The run that takes an entry in the round of this step: its own number with one digit set to the key's."""
+    # a quotient is a double: 40 bits of the hash keep it exact
     digit = lambda x: F.pmod(F.floor(x / step), F.lit(fan_in))
-    return (run + (digit(check) - digit(run)) * step).cast("long")
+    return (run + (digit(F.pmod(check, F.lit(1 << 40))) - digit(run)) * step).cast("long")
 
 
 def exact_dedup(docs: DataFrame, fan_in: int = 4) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from adloom.llm import language_model, near_dup, queries
 from adloom.llm.decontaminate import contaminated, seeds, tokens
-from adloom.llm.exact_dedup import exact_dedup
+from adloom.llm.exact_dedup import exact_dedup, run_after
 from adloom.llm.language_model import DEPTH, context_rows, joined, lm_scores, log_gamma, lookup_tables, tree_model
 from adloom.llm.line_dedup import LineRuns, dedup_lines
 from adloom.llm.mixing import mix_sources, sainte_lague, targets
@@ -174,6 +174,15 @@ def test_runs_meet_over_several_rounds(spark):
     assert {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"], r["text_sha256"]) for r in got} == brute.exact(list(texts.items()))
 
 
+def test_keys_spread_over_all_runs(spark):
+    """Entries of one partition: after three rounds of four, 64 runs hold about as many each."""
+    entries = spark.range(6400).select(F.lit(5).cast("long").alias("run"), F.xxhash64("id").alias("check"))
+    for step in (1, 4, 16):
+        entries = entries.withColumn("run", run_after(F.col("run"), F.col("check"), step, 4))
+    sizes = [r["count"] for r in entries.groupBy("run").count().collect()]
+    assert len(sizes) == 64 and max(sizes) < 160
+
+
 def test_tokens(docs, rows):
     from public_tokenizers import path
     from tokenizers import Tokenizer
