@@ -1,4 +1,4 @@
-"""Quality classifier: a Bradley-Terry ranking learned from preference pairs."""
+"""Quality classifier: a Bradley-Terry ranking learned from all preference pairs of the labelled rows."""
 
 from __future__ import annotations
 
@@ -8,18 +8,19 @@ from operator import eq
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.window import Window
 
 from adloom.llm.common import shared_table, ship, text_of
 from adloom.llm.language_model import bucket
+from adloom.llm.textbytes import arrays
 
-#: Labelled rows that the fit uses at most (those first in a seeded order), and pairs per preferred row.
-SAMPLE, PAIRS = 20_000, 4
+#: Width of a bin of utilities in standard deviations, and bins on either side of the mean.
+STEP, BINS = 0.04, 250
+#: Ridge on the mean loss of a pair; Newton rounds, and halvings in one, at most.
+RIDGE, ROUNDS = 1e-4, 40
 NAMES = (
     "log_words", "word_chars", "long_words", "distinct", "repeats", "upper", "digits", "stops", "marks", "symbols",
     "bars", "spaces", "lines", "other_bytes", "markup_words", "top_byte",
@@ -83,74 +84,159 @@ def score_column(text: Column, model: tuple[np.ndarray, float] | None) -> Column
     return 1 / (1 + F.exp(-utility(F.encode(text_of(text), "utf-8"))))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, pairs: int = PAIRS, held_out_of: int = 5, cut: float = 0.3, seed: int = 7) -> tuple[np.ndarray, float] | None:
-    """Weights and shift of the utility, or None if the sample lacks one of the two labels.
+def utility_of(value: Column, weights: np.ndarray) -> Column:
+    return sum((F.get(value, F.lit(i)) * float(w) for i, w in enumerate(weights)), F.lit(0.0))
 
-    Every row labelled 1 is preferred to `pairs` rows labelled 0. A logistic loss without intercept on the difference of
-    their features (each pair in both directions) gives the Bradley-Terry weights. The threshold is the quantile of the
-    sample's scores, among those around the share of label 0, with the best balanced accuracy; the shift puts it at
-    the score `cut`.
+
+def bin_width(weights: np.ndarray, spread: np.ndarray, step: float) -> float:
+    return max(math.sqrt(max(float(weights @ spread @ weights), 0.0)), 1e-9) * step
+
+
+def bin_sums(rated: DataFrame, weights: np.ndarray, middle: float, width: float) -> list:
+    """Rows (label and bin as one number, sums): rows, utilities, features and products of two features, summed over all
+    rows of the bin. Tasks sum before anything moves; the outermost bins are open."""
+    upper, schema = np.triu_indices(len(weights)), "key int, sums array<double>"
+
+    def merged(keys: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        return keys[starts], np.add.reduceat(sums[order], starts)
+
+    def reduced(parts: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        keys, sums = None, None
+        for k, x in parts:
+            keys, sums = merged(k, x) if keys is None else merged(np.r_[keys, k], np.concatenate([sums, x]))
+        if keys is not None:
+            yield pa.record_batch([pa.array(keys, pa.int32()), pa.array(list(sums), pa.list_(pa.float64()))], names=["key", "sums"])
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def parts():
+            for batch in batches:
+                if batch.num_rows:
+                    x = np.array(arrays(batch.column("value")))
+                    u = x @ weights
+                    at = np.clip(np.rint((u - middle) / width), -BINS, BINS).astype(np.int64) + BINS
+                    label = batch.column("quality").to_numpy().astype(np.int64)
+                    yield merged(label * (2 * BINS + 1) + at, np.column_stack([np.ones(len(u)), u, x, x[:, upper[0]] * x[:, upper[1]]]))
+
+        return reduced(parts())
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return reduced((x.column("key").to_numpy().astype(np.int64), np.array(arrays(x.column("sums")))) for x in batches if x.num_rows)
+
+    ship(rated.sparkSession)
+    return rated.select("quality", "value").mapInArrow(local, schema).repartition("key").mapInArrow(whole, schema).collect()
+
+
+class PairSums:
+    """The Bradley-Terry loss of all pairs of a row labelled 1 and a row labelled 0, from sums over bins of the utility.
+
+    A pair's loss depends on the two utilities only. Rows of one label whose utilities lie within STEP of the utility's
+    standard deviation count with their mean utility; numbers of rows and first and second moments of the features are
+    summed over all rows, so every row meets every row of the other label and the work stays linear in the rows.
     """
-    order = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("doc_id").cast("string")))
+
+    def __init__(self, rated: DataFrame, weights: np.ndarray, mean: np.ndarray, spread: np.ndarray):
+        """rated: quality, value. mean, spread: the features' means and covariances, which only set the bins."""
+        d = len(weights)
+        found = sorted(bin_sums(rated, weights, float(weights @ mean), bin_width(weights, spread, STEP)))
+        i, j = np.triu_indices(d)
+        self.n, self.u, self.first, self.second = [], [], [], []
+        for label in (0, 1):
+            made = np.array([r["sums"] for r in found if r["key"] // (2 * BINS + 1) == label]).reshape(-1, 2 + d + len(i))
+            second = np.zeros((len(made), d, d))
+            second[:, i, j] = second[:, j, i] = made[:, 2 + d :]
+            self.n.append(made[:, 0])
+            self.u.append(made[:, 1] / made[:, 0])
+            self.first.append(made[:, 2 : 2 + d])
+            self.second.append(second)
+        self.rows = [int(x.sum()) for x in self.n]
+        if total := sum(self.rows):
+            self.mean = sum(x.sum(0) for x in self.first) / total
+            self.spread = sum(x.sum(0) for x in self.second) / total - np.outer(self.mean, self.mean)
+
+    def loss(self) -> tuple[float, np.ndarray, np.ndarray]:
+        """The mean loss of the pairs with its gradient and second derivatives."""
+        (n0, n1), (x0, x1), (s0, s1) = self.n, self.first, self.second
+        pairs = self.rows[0] * self.rows[1]
+        gap = self.u[1][:, None] - self.u[0][None, :]
+        wrong = np.exp(-np.logaddexp(0, gap))
+        turn = wrong * (1 - wrong)
+        loss = n1 @ np.logaddexp(0, -gap) @ n0
+        slope = (wrong.T @ n1) @ x0 - (wrong @ n0) @ x1
+        cross = x1.T @ turn @ x0
+        curve = np.tensordot(turn @ n0, s1, 1) + np.tensordot(turn.T @ n1, s0, 1) - cross - cross.T
+        return loss / pairs, slope / pairs, curve / pairs
+
+
+def learn(values: DataFrame, labels: DataFrame, held_out_of: int = 5, cut: float = 0.3) -> tuple[np.ndarray, float] | None:
+    """fit(), for documents given as doc_id and value (their features)."""
     known = (
         labels.where((bucket(F.col("doc_id"), held_out_of) != 0) & F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull())
         .groupBy("doc_id").agg(F.max("quality").alias("quality"))
-        .withColumn("place", order)
-        .orderBy("place", "doc_id")
-        .limit(sample)
-    )
-    known = shared_table(known, "labels")
-    # at most `sample` ids: a bounded broadcast
-    chosen = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
-    rated = shared_table(chosen.select("doc_id", "quality", "place", feature_column(F.col("text")).alias("value")), "rated")
-    counts = {r["quality"]: r["n"] for r in rated.groupBy("quality").agg(F.count("*").alias("n")).collect()}
-    if not counts.get(0) or not counts.get(1):
+    )
+    rated = shared_table(values.join(known, "doc_id").select("quality", "value"), "rated")
+    weights = np.zeros(len(NAMES))
+    sums = PairSums(rated, weights, weights, np.eye(len(NAMES)))
+    if not all(sums.rows):
         return None
-    turn = F.row_number().over(Window.partitionBy("quality").orderBy("place", "doc_id", "value")).cast("long") - 1
-    rated = rated.withColumn("turn", turn)
-    better = rated.where("quality = 1").select(
-        F.col("value").alias("x"), F.explode(F.sequence(F.lit(0), F.lit(pairs - 1))).alias("k"), "turn"
-    ).withColumn("other", (F.col("turn") * pairs + F.col("k")) % counts[0])
-    worse = rated.where("quality = 0").select(F.col("value").alias("y"), F.col("turn").alias("other"))
-    gap = F.zip_with("x", "y", lambda a, b: a - b)
-    differences = better.join(worse, "other").select(gap.alias("gap"))
-    both = differences.select("gap", F.lit(1.0).alias("label")).unionByName(
-        differences.select(F.transform("gap", lambda v: -v).alias("gap"), F.lit(0.0).alias("label"))
-    )
-    both = shared_table(both.coalesce(4), "pairs").select(array_to_vector("gap").alias("features"), "label")
-    model = LogisticRegression(fitIntercept=False, regParam=1e-4, maxIter=60, standardization=False).fit(both.coalesce(2))
-    weights = model.coefficients.toArray()
-
-    utility = F.aggregate(
-        F.zip_with("value", F.array(*[F.lit(float(w)) for w in weights]), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b
-    )
-    judged = rated.select(utility.alias("u"), "quality")
-    share = counts[0] / (counts[0] + counts[1])
-    levels = sorted({min(0.99, share * x / 10) for x in range(4, 17)})
-    cuts = judged.agg(F.percentile("u", F.array(*map(F.lit, levels)))).first()[0]
-    right = judged.agg(
-        *[
-            (F.avg(F.when(F.col("quality") == 1, (F.col("u") >= c).cast("int"))) + F.avg(F.when(F.col("quality") == 0, (F.col("u") < c).cast("int")))).alias(f"c{i}")
-            for i, c in enumerate(cuts)
-        ]
-    ).first()
-    best = max(range(len(cuts)), key=lambda i: (right[i], -i))
-    return weights, math.log(cut / (1 - cut)) - cuts[best]
+    mean, spread = sums.mean, sums.spread
+    best, slope, curve = sums.loss()
+    for _ in range(ROUNDS):
+        slope, curve = slope + RIDGE * weights, curve + RIDGE * np.eye(len(weights))
+        step = -np.linalg.solve(curve, slope)
+        if -step @ slope < 1e-9:
+            break
+        for _ in range(ROUNDS):
+            loss, slope, curve = PairSums(rated, weights + step, mean, spread).loss()
+            loss += RIDGE / 2 * float((weights + step) @ (weights + step))
+            if loss <= best + 1e-9:
+                break
+            step = step / 2
+        best, weights = loss, weights + step
+
+    number = F.round((F.col("u") - float(weights @ mean)) / bin_width(weights, spread, STEP / 20))
+    number = F.greatest(F.least(number, F.lit(20 * BINS)), F.lit(-20 * BINS)).cast("int")
+    counts = rated.select("quality", utility_of(F.col("value"), weights).alias("u")).groupBy(number.alias("bin")).agg(
+        F.count("*").alias("n"), F.sum("quality").alias("n1"), F.min("u").alias("low"), F.max("u").alias("high")
+    ).orderBy("bin").toPandas()
+    below, below1 = counts["n"].cumsum().to_numpy(), counts["n1"].cumsum().to_numpy()
+    share = sums.rows[0] / sum(sums.rows)
+    levels = [min(0.99, share * x / 10) for x in range(4, 17)]
+    ends = sorted({min(int(np.searchsorted(below, x * below[-1])), len(below) - 1) for x in levels})
+    right = [(below[i] - below1[i]) / sums.rows[0] + (sums.rows[1] - below1[i]) / sums.rows[1] for i in ends]
+    at = ends[int(np.argmax(right))]
+    above = counts["low"][at + 1] if at + 1 < len(below) else counts["high"][at]
+    return weights, math.log(cut / (1 - cut)) - (counts["high"][at] + above) / 2
+
+
+def fit(docs: DataFrame, labels: DataFrame, held_out_of: int = 5, cut: float = 0.3) -> tuple[np.ndarray, float] | None:
+    """Weights and shift of the utility, or None if the labelled rows lack one of the two labels.
+
+    Every labelled row outside the held-out fold takes part. Each row labelled 1 is preferred to each row labelled 0; the
+    weights have the least Bradley-Terry loss over all these pairs (no intercept, a ridge of RIDGE), found by Newton's
+    method on the sums of PairSums, one aggregation a round. The threshold lies between two bins of all rows' utilities,
+    at one of the levels around the share of label 0, where the balanced accuracy is best; the shift puts it at the score `cut`.
+    """
+    return learn(docs.where(bucket(F.col("doc_id"), held_out_of) != 0).select("doc_id", feature_column(F.col("text")).alias("value")), labels, held_out_of, cut)
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, held_out_of: int = 5, cut: float = 0.3, sample: int = SAMPLE) -> DataFrame:
+def quality_scores(docs: DataFrame, labels: DataFrame, held_out_of: int = 5, cut: float = 0.3) -> DataFrame:
     """One row per input row: doc_id, held_out, score (0 to 1), predicted (score >= cut).
 
-    The fit uses at most `sample` labelled rows, none whose id's crc32 is divisible by `held_out_of`; scoring is one
-    map over all texts with 16 numbers about bytes and words as the only inputs.
+    One map over all texts stores 16 numbers about bytes and words, the only inputs. The fit uses every labelled row
+    whose id's crc32 is not divisible by `held_out_of`.
 
     Null text counts as empty and gets the score of an empty text. A null id counts as the empty string (held out).
     Repeated rows get equal rows. Labels other than 0 and 1, and of unknown ids, are ignored; several labels of one id
     count as their largest. Without labels of both kinds every score is 0.5. An empty table gives an empty result.
     """
-    model = fit(docs, labels, sample=sample, held_out_of=held_out_of, cut=cut)
-    return docs.select(
+    values = shared_table(docs.select("doc_id", feature_column(F.col("text")).alias("value")), "features")
+    weights, shift = learn(values, labels, held_out_of, cut) or (np.zeros(len(NAMES)), 0.0)
+    utility = utility_of(F.col("value"), weights) + float(shift)
+    return values.select(
         "doc_id",
         (bucket(F.col("doc_id"), held_out_of) == 0).alias("held_out"),
-        score_column(F.col("text"), model).alias("score"),
+        (1 / (1 + F.exp(-utility))).alias("score"),
     ).withColumn("predicted", (F.col("score") >= cut).cast("int"))
