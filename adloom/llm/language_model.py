@@ -10,17 +10,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from adloom.llm.common import shared_table, ship, text_of
+from adloom.llm.common import release, shared_table, ship, text_of
 from adloom.llm.textbytes import mix, rows
 
 #: Bytes of context at most.
 DEPTH = 5
-#: Contexts of the model: one per BYTES_A_CONTEXT bytes of training text, within these bounds (512 bytes each).
-FEWEST, MOST, BYTES_A_CONTEXT = 1 << 15, 1 << 17, 1 << 11
+#: Contexts of a model that is bounded on demand: the most frequent ones (512 bytes each). None: every context that occurs.
+FEWEST: int | None = None
 #: Ends a text in the model; the byte never occurs in UTF-8.
 END = b"\xff"
-#: Bytes of training text whose contexts a task counts at once.
-TRAIN_CHUNK = 4 << 20
+#: Bytes of text whose contexts a task sorts at once, and bytes of text (or one text) that ask for a cell once.
+TRAIN_CHUNK, CHUNK = 4 << 20, 16 << 20
+#: Contexts of this depth are the stems: all longer contexts of a stem meet in a task; shorter ones are so few that they are broadcast.
+STEM = 3
+#: Cells that a task weighs at once, if that is more than one stem's.
+STEM_CELLS = 1 << 18
 #: Words whose counts are broadcast; all other words are looked up by a join.
 FREQUENT = 200_000
 
@@ -217,54 +221,246 @@ def bucket(doc_id: Column, n: int) -> Column:
 
 
 def gather(docs: DataFrame) -> DataFrame:
-    """Counts over training texts: word (null for a cell), cell (context << 8 | next byte), n. Tasks combine before anything
-    moves."""
-    names = ["word", "cell", "n"]
+    """All texts (rid, doc_id, held_out, bytes), dealt to chunks of consecutive rows, with what they hold: training words (word, n) and,
+    once a chunk, every cell (context << 8 | next byte) with its count in training texts, which may be 0."""
+    types = {"chunk": pa.int64(), "rid": pa.int64(), "doc_id": pa.int64(), "held_out": pa.bool_(), "bytes": pa.binary(), "word": pa.binary(), "cell": pa.int64(), "n": pa.int64()}
+
+    def made(size: int, **given) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(given[k], t) if k in given else pa.nulls(size, t) for k, t in types.items()], names=list(types))
+
+    def summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        return keys[starts], np.add.reduceat(n, starts)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: Counter = Counter()
-        parts, held, runs = [], 0, []
-
-        def flush_words():
-            columns = [pa.array(list(words), pa.binary()), pa.nulls(len(words), pa.int64()), pa.array(list(words.values()), pa.int64())]
-            yield pa.record_batch(columns, names=names)
-            words.clear()
+        parts, held, runs, chunk, size = [], 0, [], None, 0
 
-        def sort_chunk():
-            runs.append(np.unique(np.concatenate(parts), return_counts=True))
+        def sort_part():
+            # the lowest bit says that the text is held out
+            keys, n = np.unique(np.concatenate(parts), return_counts=True)
+            runs.append(summed(keys >> np.uint64(1), np.where(keys & np.uint64(1), 0, n)))
             parts.clear()
 
         def flush_cells():
+            if parts:
+                sort_part()
             cells, n = np.concatenate([c for c, _ in runs]), np.concatenate([n for _, n in runs])
             order = np.argsort(cells, kind="stable")
-            cells, n = cells[order], n[order]
-            starts = np.flatnonzero(np.r_[True, cells[1:] != cells[:-1]])
-            cells, n = cells[starts], np.add.reduceat(n, starts)
-            yield pa.record_batch([pa.nulls(len(cells), pa.binary()), pa.array(cells.view(np.int64)), pa.array(n.astype(np.int64))], names=names)
+            cells, n = summed(cells[order], n[order])
             runs.clear()
+            for i in range(0, len(cells), 1 << 18):
+                part = cells[i : i + (1 << 18)]
+                yield made(len(part), chunk=np.full(len(part), chunk), cell=part.view(np.int64), n=n[i : i + (1 << 18)])
 
         for part in rows(batches):
-            for text in part["bytes"]:
-                words.update(text.lower().split())
-            context, byte, _ = joined(part["bytes"])
-            parts.append(context << np.uint64(8) | byte)
-            held += len(byte)
+            if chunk is None:
+                chunk = part["rid"][0]
+            for text, out in zip(part["bytes"], part["held_out"], strict=True):
+                if not out:
+                    words.update(text.lower().split())
+            yield made(len(part["rid"]), chunk=[chunk] * len(part["rid"]), **part)
+            context, byte, starts = joined(part["bytes"])
+            out = np.repeat(np.array(part["held_out"], np.uint64), np.diff(np.r_[starts, len(byte)]))
+            parts.append((context << np.uint64(8) | byte) << np.uint64(1) | out)
+            held, size = held + len(byte), size + len(byte)
             if held >= TRAIN_CHUNK:
                 held = 0
-                sort_chunk()
-                if sum(len(c) for c, _ in runs) > TRAIN_CHUNK:
-                    yield from flush_cells()
+                sort_part()
+            if size >= CHUNK:
+                yield from flush_cells()
+                chunk, size, held = None, 0, 0
             if len(words) > 300_000:
-                yield from flush_words()
-        if parts:
-            sort_chunk()
-        if runs:
+                yield made(len(words), word=list(words), n=list(words.values()))
+                words.clear()
+        if chunk is not None:
             yield from flush_cells()
         if words:
-            yield from flush_words()
+            yield made(len(words), word=list(words), n=list(words.values()))
+
+    return docs.select("rid", "doc_id", "held_out", "bytes").mapInArrow(
+        count, "chunk long, rid long, doc_id long, held_out boolean, bytes binary, word binary, cell long, n long"
+    )
+
+
+def by_stem(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Sorted cells and their counts, in pieces of whole stems."""
+    shift = np.uint64(8 * (DEPTH - STEM + 1))
+    cells, counts, size = [], [], 0
+    for batch in batches:
+        cells.append(batch.column("cell").to_numpy().astype(np.uint64))
+        counts.append(batch.column("n").to_numpy().astype(np.float64))
+        size += batch.num_rows
+        if size >= STEM_CELLS:
+            every, n = np.concatenate(cells), np.concatenate(counts)
+            cut = np.searchsorted(every, every[-1] >> shift << shift)
+            if cut:
+                yield every[:cut], n[:cut]
+            cells, counts, size = [every[cut:]], [n[cut:]], len(every) - cut
+    if size:
+        yield np.concatenate(cells), np.concatenate(counts)
+
+
+class Level:
+    """The nodes of one bit of a byte (k bits above it) below some stems: per depth, from DEPTH up to STEM, sorted keys
+    (context << k | bits above), counts of zeros and ones and the nodes' own share against their longer contexts."""
+
+    def __init__(self, cells: np.ndarray, n: np.ndarray, k: int):
+        """cells: sorted, each with a count above 0."""
+        self.k, self.keys, self.own, self.share = k, {}, {}, {}
+        bit = (cells >> np.uint64(7 - k) & np.uint64(1)).astype(np.float64)
+        keys = cells >> np.uint64(8 - k)
+        starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+        keys, own = keys[starts], [np.add.reduceat(n * x, starts) if len(starts) else np.zeros(0) for x in (1 - bit, bit)]
+        self.weighted = log_kt(*own)
+        self.keys[DEPTH], self.own[DEPTH] = keys, own
+        for d in range(DEPTH - 1, STEM - 1, -1):
+            keys, own, inner = self.above()
+            self.weighted, self.share[d] = weigh(own, inner)
+            self.keys[d], self.own[d] = keys, own
+
+    def above(self) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+        """Keys, counts and sums of weighted logs of the next shorter contexts."""
+        d = min(self.keys)
+        keys, at = np.unique(shorter(self.keys[d], 1, self.k), return_inverse=True)
+        return keys, [np.bincount(at, x, len(keys)) for x in self.own[d]], np.bincount(at, self.weighted, len(keys))
+
+
+def shorter(keys: np.ndarray, by: int, k: int) -> np.ndarray:
+    """The keys (context << k | k bits) of the contexts that are `by` bytes shorter."""
+    return keys >> np.uint64(k + 8 * by) << np.uint64(k) | keys & np.uint64((1 << k) - 1)
+
+
+def weigh(own: list[np.ndarray], inner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A node's weighted log and its own share, from its counts and the sum of its longer contexts' weighted logs."""
+    kt = log_kt(*own)
+    return np.logaddexp(kt, inner) - np.log(2), 1 / (1 + np.exp(np.clip(inner - kt, -700, 700)))
+
+
+def find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of keys in a sorted table, and whether they are there."""
+    if not len(table):
+        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
+    return at, table[at] == keys
+
+
+def stem_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of the contexts just shorter than the stems: key (context << 8 | node), n0, n1, inner, to be summed by key."""
+    for cells, n in by_stem(batches):
+        cells, n = cells[n > 0], n[n > 0]
+        for k in range(8):
+            keys, own, inner = Level(cells, n, k).above()
+            node = np.uint64(1 << k) | keys & np.uint64((1 << k) - 1)
+            key = keys >> np.uint64(k) << np.uint64(8) | node
+            yield pa.record_batch([pa.array(key.astype(np.int64)), *[pa.array(x) for x in (*own, inner)]], names=["key", "n0", "n1", "inner"])
+
+
+def upper_tree(key: np.ndarray, n0: np.ndarray, n1: np.ndarray, inner: np.ndarray) -> list[tuple[np.ndarray, ...]]:
+    """Per depth below STEM: sorted keys (context << 8 | node), the probability of a one if the next longer context never met
+    the node, and what is done and left for the next longer context if it did."""
+    order = np.argsort(key)
+    levels = [(key[order], [n0[order], n1[order]], inner[order])]
+    for _ in range(STEM - 1):
+        key, own, inner = levels[0]
+        keys, at = np.unique(shorter(key, 1, 8), return_inverse=True)
+        levels.insert(0, (keys, [np.bincount(at, x, len(keys)) for x in own], np.bincount(at, weigh(own, inner)[0], len(keys))))
+    out = []
+    for d, (key, own, inner) in enumerate(levels):
+        share, one = weigh(own, inner)[1], (own[1] + 0.5) / (own[0] + own[1] + 1)
+        if d:
+            at, _ = find(out[-1][0], shorter(key, 1, 8))
+            done, left = out[-1][2][at], out[-1][3][at]
+        else:
+            done, left = np.zeros(len(key)), np.ones(len(key))
+        out.append((key, done + left * one, done + left * share * one, left * (1 - share)))
+    return out
+
+
+def stem_logs(cells: np.ndarray, n: np.ndarray, upper: list[tuple[np.ndarray, ...]]) -> np.ndarray:
+    """log10 probabilities of whole stems' sorted cells, those with a count of 0 included.
+
+    From the root down, a node's estimate takes its share of what is left. Where the longer context never met a binary
+    node, the shorter one takes all that is left.
+    """
+    logs, known = np.zeros(len(cells)), n > 0
+    for k in range(8):
+        level = Level(cells[known], n[known], k)
+        asked, back = cells >> np.uint64(8 - k), None
+        first = np.r_[True, asked[1:] != asked[:-1]]
+        asked, back = asked[first], np.cumsum(first) - 1
+        node = np.uint64(1 << k) | asked & np.uint64((1 << k) - 1)
+        one, done, left, open_ = np.full(len(asked), 0.5), np.zeros(len(asked)), np.ones(len(asked)), np.ones(len(asked), bool)
+        for d, (keys, stop, go, rest) in enumerate(upper):
+            at, met = find(keys, asked >> np.uint64(k + 8 * (DEPTH - d)) << np.uint64(8) | node)
+            open_ &= met
+            at = at[open_]
+            one[open_], done[open_], left[open_] = stop[at], go[at], rest[at]
+        for d in range(STEM, DEPTH + 1):
+            at, met = find(level.keys[d], shorter(asked, DEPTH - d, k))
+            open_ &= met
+            at = at[open_]
+            n0, n1 = (x[at] for x in level.own[d])
+            mine = (n1 + 0.5) / (n0 + n1 + 1)
+            one[open_] = done[open_] + left[open_] * mine
+            if d < DEPTH:
+                share = level.share[d][at]
+                done[open_] += left[open_] * share * mine
+                left[open_] *= 1 - share
+        one = np.clip(one, 1e-9, 1 - 1e-9)
+        bit = (cells >> np.uint64(7 - k) & np.uint64(1)).astype(bool)
+        logs += np.where(bit, np.log10(one)[back], np.log10(1 - one)[back])
+    return logs
+
+
+def cell_logs(cells: DataFrame) -> DataFrame:
+    """cell, log: log10 probability of the byte after the context, in the tree of every context that occurs in training texts.
+
+    The contexts of a stem meet in a task, which sums up what the shorter contexts need; these, at most one per node and
+    pair of bytes however long the texts are, are weighed in the driver and broadcast; then every stem is read downwards.
+    """
+    spark = cells.sparkSession
+    dealt = cells.repartition(F.shiftrightunsigned("cell", 8 * (DEPTH - STEM + 1))).sortWithinPartitions("cell")
+    sums = dealt.mapInArrow(stem_sums, "key long, n0 double, n1 double, inner double").groupBy("key")
+    sums = sums.agg(*[F.sum(x).alias(x) for x in ("n0", "n1", "inner")]).toArrow()
+    upper = upper_tree(sums["key"].to_numpy().astype(np.uint64), *[sums[x].to_numpy() for x in ("n0", "n1", "inner")])
+    shared = spark.sparkContext.broadcast(upper)
+
+    def logs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, n in by_stem(batches):
+            made = stem_logs(part, n, shared.value).astype(np.float32)
+            yield pa.record_batch([pa.array(part.view(np.int64)), pa.array(made)], names=["cell", "log"])
 
-    partial = docs.select("bytes").mapInArrow(count, "word binary, cell long, n long")
-    return partial.groupBy("word", "cell").agg(F.sum("n").alias("n"))
+    return dealt.mapInArrow(logs, "cell long, log float")
+
+
+def bounded_cell_logs(cells: DataFrame, most: int) -> DataFrame:
+    """cell_logs() of the tree of the `most` most frequent contexts, weighed in the driver and broadcast."""
+    seen = kept_counts(cells.where("n > 0"), most).toArrow()
+    keys, model = tree_model(*[seen[c].to_numpy().astype(t) for c, t in (("depth", np.int8), ("context", np.uint64), ("byte", np.uint8), ("n", np.int64))])
+    shared = cells.sparkSession.sparkContext.broadcast((lookup_tables(keys), model))
+
+    def logs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables, model = shared.value
+        for batch in batches:
+            part = batch.column("cell").to_numpy().astype(np.uint64)
+            made = model[context_rows(part >> np.uint64(8), tables), (part & np.uint64(255)).astype(np.int64)].astype(np.float32)
+            yield pa.record_batch([batch.column("cell"), pa.array(made)], names=["cell", "log"])
+
+    return cells.select("cell").mapInArrow(logs, "cell long, log float")
+
+
+def log_at(cells: np.ndarray, tables, logs: np.ndarray) -> np.ndarray:
+    """The logs of cells that are all in the tables."""
+    found, open_ = np.zeros(len(cells), np.int32), np.arange(len(cells))
+    for t, (table, row, bits) in enumerate(tables):
+        slot = mix(cells[open_] + np.uint64(t)) >> np.uint64(64 - bits)
+        here = table[slot] == cells[open_]
+        found[open_[here]] = row[slot[here]]
+        open_ = open_[~here]
+        if not len(open_):
+            break
+    return logs[found]
 
 
 def kept_counts(cells: DataFrame, most: int) -> DataFrame:
@@ -282,17 +478,61 @@ def kept_counts(cells: DataFrame, most: int) -> DataFrame:
     return spread.join(F.broadcast(top), ["depth", "context"]).groupBy("depth", "context", "byte").agg(F.sum("n").alias("n"))
 
 
-def lm_scores(docs: DataFrame, held_out_of: int = 10, frequent: int = FREQUENT) -> DataFrame:
+def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Answers (chunk, cell, log) as one row a chunk and task: differences of the cells, byte by byte, and the logs."""
+    held, size = [], 0
+
+    def flush():
+        chunk, cell, log = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.argsort(chunk, kind="stable")
+        chunk, cell, log = chunk[order], cell[order], log[order]
+        ends = np.flatnonzero(np.r_[chunk[1:] != chunk[:-1], True]) + 1
+        parts = [slice(a, b) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+        cells = [np.diff(cell[x], prepend=np.int64(0)).view(np.uint8).reshape(-1, 8).T.tobytes() for x in parts]
+        held.clear()
+        yield pa.record_batch([pa.array(chunk[ends - 1]), pa.array(cells, pa.binary()), pa.array([log[x].tobytes() for x in parts], pa.binary())], names=["chunk", "cells", "logs"])
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append([batch.column(x).to_numpy() for x in ("chunk", "cell", "log")])
+            size += batch.num_rows
+        if size >= TRAIN_CHUNK:
+            size = 0
+            yield from flush()
+    if held:
+        yield from flush()
+
+
+def unpack(cells: bytes, logs: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return np.cumsum(np.frombuffer(cells, np.uint8).reshape(8, -1).T.copy().view(np.uint64).ravel(), dtype=np.uint64), np.frombuffer(logs, np.float32)
+
+
+def of_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple | dict]:
+    """Rows of one chunk at a time: answers as (chunk, cells, logs), texts as small dicts of lists."""
+    for batch in batches:
+        chunk, is_text = batch.column("chunk").to_numpy(), batch.column("rid").is_valid().to_numpy(zero_copy_only=False)
+        ends = np.flatnonzero(np.r_[(chunk[1:] != chunk[:-1]) | (is_text[1:] != is_text[:-1]), True]) + 1 if len(chunk) else []
+        for a, b in zip([0, *ends[:-1]], ends, strict=True):
+            part = batch.slice(a, b - a)
+            if is_text[a]:
+                yield from rows(iter([part.select(["rid", "doc_id", "held_out", "bytes"])]))
+            else:
+                for cells, logs in zip(part.column("cells").to_pylist(), part.column("logs").to_pylist(), strict=True):
+                    yield chunk[a], *unpack(cells, logs)
+
+
+def lm_scores(docs: DataFrame, held_out_of: int = 10, frequent: int = FREQUENT, contexts: int | None = None) -> DataFrame:
     """One row per input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte.
 
     Training texts are those whose id's crc32 is not divisible by `held_out_of`. base_score: add-0.1 unigram log10
     probability of the lower-cased words and one end. score: the context tree's log10 probability of the text's bytes
     and its end; bits_per_byte is its code length over the same bytes.
 
-    One pass gathers word counts and counts of (last DEPTH bytes, next byte), a table that grows with the corpus. The model
-    holds the most frequent contexts of all depths up to DEPTH, one per BYTES_A_CONTEXT bytes of training text up to
-    MOST, each with its whole distribution; context-tree weighting mixes the KT estimates of all depths on a context's
-    path. Model and `frequent` most frequent words are bounded tables and are broadcast. A second pass scores every text; words outside the table
+    One pass deals the texts to chunks and gathers word counts and counts of cells (last DEPTH bytes, next byte). The model holds
+    every context of all depths up to DEPTH that occurs in training texts; context-tree weighting mixes the KT estimates
+    of all depths on a context's path. It gives each cell that any text asks for its log10 probability; a shuffle join brings
+    these to the chunks, once a chunk and distinct cell, and the chunks are scored there. `contexts`, if given (or FEWEST), bounds the
+    model to the most frequent contexts. The `frequent` most frequent words are a bounded table and are broadcast; words outside it
     meet the full counts in a shuffle join, one row per text and distinct word, then a sum per text.
 
     Null text counts as empty (one end token). A null id counts as the empty string, which is held out. Rows are
@@ -305,11 +545,12 @@ def lm_scores(docs: DataFrame, held_out_of: int = 10, frequent: int = FREQUENT)
         "doc_id",
         (bucket(F.col("doc_id"), held_out_of) == 0).alias("held_out"),
         F.encode(text_of(), "utf-8").alias("bytes"),
+        F.monotonically_increasing_id().alias("rid"),
     )
-    counts = shared_table(gather(source.where(~F.col("held_out"))), "lm-counts")
-    vocabulary = counts.where("word is not null").select("word", F.col("n").alias("count"))
-    cells = counts.where("cell is not null").select("cell", "n")
-    n_ends = source.where(~F.col("held_out")).count()
+    gathered = shared_table(gather(source), "lm-chunks")
+    vocabulary = shared_table(gathered.where("word is not null").groupBy("word").agg(F.sum("n").alias("count")), "lm-words")
+    cells = shared_table(gathered.where("cell is not null").groupBy("cell").agg(F.sum("n").alias("n")), "lm-cells")
+    n_ends = gathered.where("rid is not null and not held_out").count()
     summed = vocabulary.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count("*")).first()
     total, distinct = summed[0] + n_ends, summed[1] + (n_ends > 0)
     norm = total + 0.1 * (distinct + 1)
@@ -317,15 +558,30 @@ def lm_scores(docs: DataFrame, held_out_of: int = 10, frequent: int = FREQUENT)
     place = {w: i for i, w in enumerate(top["word"].to_pylist())}
     logs = np.log10((top["count"].to_numpy() + 0.1) / norm)
     end_score = float(np.log10((n_ends + 0.1) / norm))
-    size = cells.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    seen = kept_counts(cells, min(MOST, max(FEWEST, size // BYTES_A_CONTEXT))).toArrow()
-    keys, model = tree_model(*[seen[c].to_numpy().astype(t) for c, t in (("depth", np.int8), ("context", np.uint64), ("byte", np.uint8), ("n", np.int64))])
-    shared = spark.sparkContext.broadcast((place, logs, lookup_tables(keys), model))
-    del seen, model
+    bound = contexts or FEWEST
+    logs_of = shared_table(bounded_cell_logs(cells, bound) if bound else cell_logs(cells), "lm-logs")
+    texts = shared_table(gathered.where("rid is not null").select("chunk", "rid", "doc_id", "held_out", "bytes"), "lm-texts")
+    asked = gathered.where("cell is not null").select("chunk", "cell").join(logs_of, "cell").select("chunk", "cell", "log")
+    answers = shared_table(asked.mapInArrow(pack, "chunk long, cells binary, logs binary"), "lm-answers")
+    release(gathered, cells, logs_of)
+
+    shared = spark.sparkContext.broadcast((place, logs))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, logs, tables, model = shared.value
-        for part in rows(batches):
+        place, logs = shared.value
+        answers, chunk, tables, values = [], None, None, None
+        for part in of_chunks(batches):
+            if isinstance(part, tuple):
+                # a chunk's answers come before its texts
+                if chunk != part[0]:
+                    chunk, answers = part[0], []
+                answers.append(part[1:])
+                tables = None
+                continue
+            if tables is None:
+                values = np.concatenate([x for _, x in answers])
+                tables = lookup_tables(np.concatenate([x for x, _ in answers]))
+                answers = []
             out = {k: [] for k in ("rid", "doc_id", "held_out", "word", "n", "n_tokens", "n_known", "base", "score", "n_bytes")}
 
             def put(*values):
@@ -333,7 +589,7 @@ def lm_scores(docs: DataFrame, held_out_of: int = 10, frequent: int = FREQUENT)
                     column.append(value)
 
             context, byte, starts = joined(part["bytes"])
-            model_logs = np.add.reduceat(model[context_rows(context, tables), byte].astype(np.float64), starts) if len(starts) else starts
+            model_logs = np.add.reduceat(log_at(context << np.uint64(8) | byte, tables, values).astype(np.float64), starts)
             for rid, doc_id, held_out, text, log10 in zip(part["rid"], part["doc_id"], part["held_out"], part["bytes"], model_logs.tolist(), strict=True):
                 words = text.lower().split()
                 ids = np.fromiter((place.get(w, -1) for w in words), np.int64, len(words))
@@ -346,8 +602,8 @@ def lm_scores(docs: DataFrame, held_out_of: int = 10, frequent: int = FREQUENT)
             types = (pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64())
             yield pa.record_batch([pa.array(v, t) for v, t in zip(out.values(), types, strict=True)], names=list(out))
 
-    numbered = source.withColumn("rid", F.monotonically_increasing_id())
-    parts = numbered.mapInArrow(
+    both = texts.unionByName(answers, allowMissingColumns=True).repartition("chunk").sortWithinPartitions("chunk", F.asc_nulls_first("rid"))
+    parts = both.mapInArrow(
         score, "rid long, doc_id long, held_out boolean, word binary, n long, n_tokens long, n_known long, base double, score double, n_bytes long"
     )
     count = F.coalesce(F.col("count"), F.lit(0))

@@ -1,12 +1,16 @@
 """Learned operators use every row and every context, however many there are."""
 
+import math
 import random
+from collections import defaultdict
+from functools import cache
 
 import brute
 import numpy as np
 import pytest
 
 from adloom.llm import quality
+from adloom.llm.language_model import DEPTH, lm_scores
 
 
 def test_quality_learns_from_every_pair_of_labelled_rows(spark):
@@ -34,3 +38,50 @@ def test_quality_uses_labelled_rows_beyond_20000(spark):
     x = np.array([v[0] for _, v in values])
     slope = -(x[1::2].mean() - x[::2].mean()) / 2
     assert sums.loss()[1][0] == pytest.approx(slope) and sums.loss()[0] == pytest.approx(np.log(2))
+
+
+def test_every_context_is_in_the_model(spark):
+    """More contexts than the 32,768 that a small model once held: scores are those of the tree of all of them."""
+    rng = random.Random(6)
+    texts = {i: "".join(rng.choice("abcdefghijklmnopqrstuvwxyzé ") for _ in range(700)) for i in range(24)} | {30: None, 31: ""}
+    seen, children = defaultdict(lambda: defaultdict(lambda: [0, 0])), defaultdict(set)
+
+    def path(data, i):
+        return [data[i - d : i][::-1] for d in range(DEPTH + 1)]
+
+    def bits(byte):
+        return [((1 << k) | (byte >> (8 - k)), (byte >> (7 - k)) & 1) for k in range(8)]
+
+    for x in [(x or "").encode() for i, x in texts.items() if brute.crc(i) % 10]:
+        data = bytes(DEPTH) + x + b"\xff"
+        for i in range(DEPTH, len(data)):
+            for s in path(data, i):
+                if s:
+                    children[s[:-1]].add(s)
+                for node, bit in bits(data[i]):
+                    seen[s][node][bit] += 1
+    assert len(seen) > 40_000
+
+    def kt(n):
+        return math.lgamma(n[0] + 0.5) + math.lgamma(n[1] + 0.5) - math.log(math.pi) - math.lgamma(sum(n) + 1)
+
+    @cache
+    def inner(s, node):
+        return sum(weighted(c, node) for c in children[s] if node in seen[c])
+
+    def weighted(s, node):
+        return np.logaddexp(kt(seen[s][node]), inner(s, node)) - math.log(2) if len(s) < DEPTH else kt(seen[s][node])
+
+    def predict(way, node, bit):
+        s, n = way[0], seen[way[0]].get(node, [0, 0])
+        own = (n[bit] + 0.5) / (sum(n) + 1)
+        if len(way) == 1 or way[1] not in seen or node not in seen[way[1]]:
+            return own
+        share = 1 / (1 + math.exp(min(700, inner(s, node) - kt(n))))
+        return share * own + (1 - share) * predict(way[1:], node, bit)
+
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for r in lm_scores(docs).collect():
+        data = bytes(DEPTH) + (texts[r["doc_id"]] or "").encode() + b"\xff"
+        want = sum(math.log10(predict(path(data, i), node, bit)) for i in range(DEPTH, len(data)) for node, bit in bits(data[i]))
+        assert r["score"] == pytest.approx(want, rel=1e-5), r["doc_id"]
