@@ -19,8 +19,10 @@ DEPTH = 5
 FEWEST: int | None = None
 #: Ends a text in the model; the byte never occurs in UTF-8.
 END = b"\xff"
-#: Bytes of text whose contexts a task sorts at once, and bytes of text (or one text) that ask for a cell once.
+#: Bytes of text whose contexts a task sorts at once, and bytes of text of a chunk on average, which asks for a cell once.
 TRAIN_CHUNK, CHUNK = 4 << 20, 16 << 20
+#: Texts of less than CHUNK for each core make smaller chunks, so that all cores work; no smaller than this.
+LEAST_CHUNK = 1 << 20
 #: Contexts of this depth are the stems: all longer contexts of a stem meet in a task; shorter ones are so few that they are broadcast.
 STEM = 3
 #: Cells that a task weighs at once, if that is more than one stem's.
@@ -220,10 +222,27 @@ def bucket(doc_id: Column, n: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % n
 
 
-def gather(docs: DataFrame) -> DataFrame:
-    """All texts (rid, doc_id, held_out, bytes), dealt to chunks of consecutive rows, with what they hold: training words (word, n) and,
-    once a chunk, every cell (context << 8 | next byte) with its count in training texts, which may be 0."""
-    types = {"chunk": pa.int64(), "rid": pa.int64(), "doc_id": pa.int64(), "held_out": pa.bool_(), "bytes": pa.binary(), "word": pa.binary(), "cell": pa.int64(), "n": pa.int64()}
+def to_chunks(docs: DataFrame, held_out_of: int, n: int) -> DataFrame:
+    """All texts: chunk (below n), rid, doc_id, held_out, bytes.
+
+    A row's chunk comes from its id and text alone, so that the texts need not be stored: whoever reads them again finds the same
+    chunks, in whatever order the rows come. rid tells rows apart within one reading only.
+    """
+    data = F.encode(text_of(), "utf-8")
+    return docs.select(
+        F.pmod(F.xxhash64("doc_id", data), F.lit(n)).cast("int").alias("chunk"),
+        F.monotonically_increasing_id().alias("rid"),
+        "doc_id",
+        (bucket(F.col("doc_id"), held_out_of) == 0).alias("held_out"),
+        data.alias("bytes"),
+    )
+
+
+def gather(texts: DataFrame) -> DataFrame:
+    """What the chunks' texts hold, each chunk being a partition of its own: training words (word, n) and, once a chunk, every cell
+    (context << 8 | next byte) with its count in training texts, which may be 0. Of a chunk that is far larger than the others,
+    cells come more than once."""
+    types = {"chunk": pa.int32(), "word": pa.binary(), "cell": pa.int64(), "n": pa.int64()}
 
     def made(size: int, **given) -> pa.RecordBatch:
         return pa.record_batch([pa.array(given[k], t) if k in given else pa.nulls(size, t) for k, t in types.items()], names=list(types))
@@ -251,15 +270,13 @@ def gather(docs: DataFrame) -> DataFrame:
             runs.clear()
             for i in range(0, len(cells), 1 << 18):
                 part = cells[i : i + (1 << 18)]
-                yield made(len(part), chunk=np.full(len(part), chunk), cell=part.view(np.int64), n=n[i : i + (1 << 18)])
+                yield made(len(part), chunk=np.full(len(part), chunk, np.int32), cell=part.view(np.int64), n=n[i : i + (1 << 18)])
 
         for part in rows(batches):
-            if chunk is None:
-                chunk = part["rid"][0]
+            chunk = part["chunk"][0]
             for text, out in zip(part["bytes"], part["held_out"], strict=True):
                 if not out:
                     words.update(text.lower().split())
-            yield made(len(part["rid"]), chunk=[chunk] * len(part["rid"]), **part)
             context, byte, starts = joined(part["bytes"])
             out = np.repeat(np.array(part["held_out"], np.uint64), np.diff(np.r_[starts, len(byte)]))
             parts.append((context << np.uint64(8) | byte) << np.uint64(1) | out)
@@ -267,20 +284,18 @@ def gather(docs: DataFrame) -> DataFrame:
             if held >= TRAIN_CHUNK:
                 held = 0
                 sort_part()
-            if size >= CHUNK:
+            if size >= 2 * CHUNK:
                 yield from flush_cells()
-                chunk, size, held = None, 0, 0
+                size, held = 0, 0
             if len(words) > 300_000:
                 yield made(len(words), word=list(words), n=list(words.values()))
                 words.clear()
-        if chunk is not None:
+        if size:
             yield from flush_cells()
         if words:
             yield made(len(words), word=list(words), n=list(words.values()))
 
-    return docs.select("rid", "doc_id", "held_out", "bytes").mapInArrow(
-        count, "chunk long, rid long, doc_id long, held_out boolean, bytes binary, word binary, cell long, n long"
-    )
+    return texts.select("chunk", "held_out", "bytes").mapInArrow(count, "chunk int, word binary, cell long, n long")
 
 
 def by_stem(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -460,6 +475,8 @@ def log_at(cells: np.ndarray, tables, logs: np.ndarray) -> np.ndarray:
         open_ = open_[~here]
         if not len(open_):
             break
+    if len(open_):
+        raise ValueError("a chunk has other texts than when its cells were gathered: the input must be the same each time it is read")
     return logs[found]
 
 
@@ -528,7 +545,8 @@ def lm_scores(docs: DataFrame, held_out_of: int = 10, frequent: int = FREQUENT,
     probability of the lower-cased words and one end. score: the context tree's log10 probability of the text's bytes
     and its end; bits_per_byte is its code length over the same bytes.
 
-    One pass deals the texts to chunks and gathers word counts and counts of cells (last DEPTH bytes, next byte). The model holds
+    The input is read three times, so that no copy of the texts is stored: for their size; dealt to chunks, for word counts and counts
+    of cells (last DEPTH bytes, next byte); dealt to the same chunks once more, to be scored. The model holds
     every context of all depths up to DEPTH that occurs in training texts; context-tree weighting mixes the KT estimates
     of all depths on a context's path. It gives each cell that any text asks for its log10 probability; a shuffle join brings
     these to the chunks, once a chunk and distinct cell, and the chunks are scored there. `contexts`, if given (or FEWEST), bounds the
@@ -541,16 +559,14 @@ def lm_scores(docs: DataFrame, held_out_of: int = 10, frequent: int = FREQUENT,
     """
     spark = docs.sparkSession
     ship(spark)
-    source = docs.select(
-        "doc_id",
-        (bucket(F.col("doc_id"), held_out_of) == 0).alias("held_out"),
-        F.encode(text_of(), "utf-8").alias("bytes"),
-        F.monotonically_increasing_id().alias("rid"),
-    )
-    gathered = shared_table(gather(source), "lm-chunks")
+    train = bucket(F.col("doc_id"), held_out_of) != 0
+    n_bytes, n_ends = docs.agg(F.coalesce(F.sum(F.octet_length(text_of())), F.lit(0)), F.count_if(train)).first()
+    cores = spark.sparkContext.defaultParallelism
+    n_chunks = max(1, -(-n_bytes // CHUNK), min(cores, n_bytes // LEAST_CHUNK))
+    texts = to_chunks(docs, held_out_of, n_chunks)
+    gathered = shared_table(gather(texts.repartitionById(n_chunks, "chunk")), "lm-chunks")
     vocabulary = shared_table(gathered.where("word is not null").groupBy("word").agg(F.sum("n").alias("count")), "lm-words")
     cells = shared_table(gathered.where("cell is not null").groupBy("cell").agg(F.sum("n").alias("n")), "lm-cells")
-    n_ends = gathered.where("rid is not null and not held_out").count()
     summed = vocabulary.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count("*")).first()
     total, distinct = summed[0] + n_ends, summed[1] + (n_ends > 0)
     norm = total + 0.1 * (distinct + 1)
@@ -560,9 +576,8 @@ def lm_scores(docs: DataFrame, held_out_of: int = 10, frequent: int = FREQUENT,
     end_score = float(np.log10((n_ends + 0.1) / norm))
     bound = contexts or FEWEST
     logs_of = shared_table(bounded_cell_logs(cells, bound) if bound else cell_logs(cells), "lm-logs")
-    texts = shared_table(gathered.where("rid is not null").select("chunk", "rid", "doc_id", "held_out", "bytes"), "lm-texts")
     asked = gathered.where("cell is not null").select("chunk", "cell").join(logs_of, "cell").select("chunk", "cell", "log")
-    answers = shared_table(asked.mapInArrow(pack, "chunk long, cells binary, logs binary"), "lm-answers")
+    answers = shared_table(asked.mapInArrow(pack, "chunk int, cells binary, logs binary"), "lm-answers")
     release(gathered, cells, logs_of)
 
     shared = spark.sparkContext.broadcast((place, logs))
@@ -602,7 +617,7 @@ def lm_scores(docs: DataFrame, held_out_of: int = 10, frequent: int = FREQUENT,
             types = (pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64())
             yield pa.record_batch([pa.array(v, t) for v, t in zip(out.values(), types, strict=True)], names=list(out))
 
-    both = texts.unionByName(answers, allowMissingColumns=True).repartition("chunk").sortWithinPartitions("chunk", F.asc_nulls_first("rid"))
+    both = texts.unionByName(answers, allowMissingColumns=True).repartitionById(n_chunks, "chunk").sortWithinPartitions("chunk", F.asc_nulls_first("rid"))
     parts = both.mapInArrow(
         score, "rid long, doc_id long, held_out boolean, word binary, n long, n_tokens long, n_known long, base double, score double, n_bytes long"
     )

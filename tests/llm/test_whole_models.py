@@ -4,12 +4,13 @@ import math
 import random
 from collections import defaultdict
 from functools import cache
+from pathlib import Path
 
 import brute
 import numpy as np
 import pytest
 
-from adloom.llm import quality
+from adloom.llm import language_model, quality
 from adloom.llm.language_model import DEPTH, lm_scores
 
 
@@ -85,3 +86,34 @@ def test_every_context_is_in_the_model(spark):
         data = bytes(DEPTH) + (texts[r["doc_id"]] or "").encode() + b"\xff"
         want = sum(math.log10(predict(path(data, i), node, bit)) for i in range(DEPTH, len(data)) for node, bit in bits(data[i]))
         assert r["score"] == pytest.approx(want, rel=1e-5), r["doc_id"]
+
+
+def test_texts_of_the_model_are_not_stored(spark, monkeypatch):
+    """What the model keeps on disk are counts and answers: no table holds a copy of the texts, and all together are smaller than those."""
+    rng = random.Random(8)
+    docs = spark.createDataFrame([(i, " ".join(rng.choices(("adenine", "cytosine", "guanine", "thymine"), k=2_500))) for i in range(100)], "doc_id long, text string")
+    kept, made = language_model.shared_table, []
+
+    def stored(df, label):
+        out = kept(df, label)
+        made.append((df.columns, sum(x.stat().st_size for x in Path(out._shared_path.removeprefix("file:")).rglob("*.parquet"))))
+        return out
+
+    monkeypatch.setattr(language_model, "shared_table", stored)
+    assert lm_scores(docs).count() == 100 and made
+    assert not any("bytes" in columns for columns, _ in made) and sum(size for _, size in made) < 500_000
+
+
+def test_scores_do_not_depend_on_chunks(spark, monkeypatch):
+    """Many small chunks give what one gives, with rows dealt otherwise too; repeated rows and ids, null ids and texts included."""
+    rng = random.Random(9)
+    made = [(i, "".join(rng.choice("abcdé ") for _ in range(rng.randrange(400)))) for i in range(150)]
+    made += made[:5] + [(7, "another text"), (None, "no id"), (None, None), (3, None), (4, "")]
+    docs = spark.createDataFrame(made, "doc_id long, text string")
+
+    def scores(df):
+        return sorted((-1 if r["doc_id"] is None else r["doc_id"], r["n_bytes"], r["n_tokens"], r["n_known"], round(r["base_score"], 6), round(r["score"], 3)) for r in lm_scores(df).collect())
+
+    one = scores(docs)
+    monkeypatch.setattr(language_model, "CHUNK", 2_000)
+    assert len(one) == len(made) and scores(docs) == one and scores(docs.repartition(7)) == one
