@@ -12,6 +12,9 @@ from adloom.sources.stored import dropped, stored
 K1, B = 1.2, 0.75
 #: Levels of impact that the postings of a token are kept in, and postings of one level that one task reads.
 LEVELS, CHUNK = 32, 16_384
+#: Query tokens that go to every executor, queries that a document's token meets on average, and (query, document) pairs of one
+#: task, for whole documents to be scored where they are.
+SENT_TOKENS, MET, TASK_PAIRS = 1 << 18, 256, 1 << 20
 
 
 def query_tokens(queries: DataFrame, query_id: str, text: Column) -> DataFrame:
@@ -92,6 +95,27 @@ def best_documents(asked: DataFrame, terms: DataFrame, k: int) -> DataFrame:
     return top
 
 
+def counted_terms(docs: DataFrame, doc_id: str, text: Column, vocabulary: DataFrame) -> DataFrame:
+    """(d, n_tokens, token, tf) of the vocabulary's tokens, and one row with the token '' for every document with tokens.
+
+    A small vocabulary goes to the documents, so that other tokens don't move.
+    """
+    held = docs.select(F.col(doc_id).alias("d"), tokens(text, "unigram").alias("words")).where(F.size("words") > 0)
+    long = held.select("d", F.size("words").cast("bigint").alias("n_tokens"), F.explode(F.concat("words", F.array(F.lit("")))).alias("token"))
+    known = vocabulary.unionByName(vocabulary.sparkSession.range(1).select(F.lit("").alias("token")))
+    if vocabulary.count() <= SENT_TOKENS:
+        known = F.broadcast(known)
+    return long.join(known, "token", "left_semi").groupBy("d", "n_tokens", "token").agg(F.count("*").alias("tf"))
+
+
+def scored_documents(asked: DataFrame, terms: DataFrame, k: int, parts: int) -> DataFrame:
+    """(q, pos, d, score) as best_documents(), for few queries: a document's terms meet in one of the parts, where all queries
+    that share one are scored; each part moves its k best of a query."""
+    sums = terms.repartition(parts, "d").join(F.broadcast(asked), "token").groupBy("q", "d").agg(F.sum("weight").alias("score"))
+    by = Window.partitionBy("q").orderBy(F.desc("score"), "d")
+    return stored(sums.withColumn("pos", F.row_number().over(by)).where(F.col("pos") <= k).select("q", "pos", "d", "score"), "best")
+
+
 def lexical_overlap_topk(queries: DataFrame, docs: DataFrame, k: int = 3, query_id: str = "query_id", doc_id: str = "doc_id", query_text: Column | None = None, doc_text: Column | None = None) -> DataFrame:
     """query, pos, doc, overlap, score: distinct shared tokens plus 0.001 per token of the document; lower ids first of equals.
 
@@ -111,15 +135,23 @@ def bm25_topk(queries: DataFrame, docs: DataFrame, k: int = 100, query_id: str =
     Ids are unique on both sides. A term counts in whole millionths, so that a score does not depend on the order of its
     terms and bounds are exact.
     """
-    asked = query_tokens(queries, query_id, F.col("text") if query_text is None else query_text)
-    terms, sizes = doc_terms(docs, doc_id, F.col("text") if doc_text is None else doc_text, asked.select("token").distinct())
-    terms = stored(terms.join(sizes, "d"), "counted")
+    asked = stored(query_tokens(queries, query_id, F.col("text") if query_text is None else query_text), "asked")
+    counted = stored(counted_terms(docs, doc_id, F.col("text") if doc_text is None else doc_text, asked.select("token").distinct()), "counted")
+    terms, sizes = counted.where("token <> ''"), counted.where("token = ''")
     whole = sizes.agg(F.count("*").alias("n_docs"), F.avg("n_tokens").alias("mean_tokens"))  # one row
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     # one row a token of the queries
-    frequency = terms.groupBy("token").agg(F.count("*").alias("df")).join(F.broadcast(whole)).select("token", idf.alias("idf"), "mean_tokens")
+    frequency = terms.groupBy("token").agg(F.count("*").alias("df")).join(F.broadcast(whole)).select("token", "df", idf.alias("idf"), "mean_tokens")
+    frequency = stored(frequency, "frequency")
+    met = asked.groupBy("token").agg(F.count("*").alias("n")).join(frequency, "token")
+    found = met.agg(F.count("*").alias("known"), F.sum("n").alias("sent"), F.sum("df").alias("terms"), F.sum(F.col("df") * F.col("n")).alias("met")).first()
+    few = found["known"] > 0 and found["sent"] <= SENT_TOKENS and found["met"] <= MET * found["terms"]
     tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n_tokens") / F.col("mean_tokens")))
-    weighted = terms.join(frequency, "token").select("d", "token", F.round(F.col("idf") * tf * 1e6).cast("bigint").alias("weight"), F.lit(0).cast("bigint").alias("bonus"))
-    top = best_documents(asked, weighted, k)
-    dropped(terms)
+    weighted = terms.join(F.broadcast(frequency) if few else frequency, "token").select("d", "token", F.round(F.col("idf") * tf * 1e6).cast("bigint").alias("weight"))
+    if few:
+        pairs = min(found["met"], sizes.count() * asked.select("q").distinct().count())
+        top = scored_documents(asked, weighted, k, -(-pairs // TASK_PAIRS))
+    else:
+        top = best_documents(asked, weighted.withColumn("bonus", F.lit(0).cast("bigint")), k)
+    dropped(asked, counted, frequency)
     return top.select(F.col("q").alias(query_id), "pos", F.col("d").alias(doc_id), (F.col("score") / 1e6).alias("score"))

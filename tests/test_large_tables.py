@@ -1,11 +1,14 @@
 """What is shuffled or stored at a time stays a share of the tables."""
 
 import os
+import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from adloom.operators import ctr
+from adloom.operators import search as S
 
 
 @pytest.mark.parametrize("sent", [32 << 20, 0])
@@ -46,3 +49,23 @@ def test_histories_slice_by_slice(spark, monkeypatch, rows):
     assert sorted(map(tuple, whole.collect())) == sorted(tuple(r) for s in base.emptied(slices) for r in s.collect())
     assert not any(os.path.exists(s._stored_path.removeprefix("file://")) for s in slices)
     assert sorted(map(tuple, base.stored_history(spark, data, 20).collect())) == sorted(map(tuple, base.history(spark, data, 20).collect()))
+
+
+@pytest.mark.parametrize("met,sent", [(256, 1 << 18), (0, 1 << 18), (256, 3)])
+def test_few_queries_are_scored_where_the_documents_are(spark, monkeypatch, met, sent):
+    """Few queries don't build an index of all terms; both ways give the same documents."""
+    rng = random.Random(12)
+    words = ["the", *(f"w{i}" for i in range(80))]
+    docs = [(i, " ".join(["the"] * rng.randrange(1, 4) + rng.choices(words, k=rng.randrange(0, 50)))) for i in range(300)] + [(300, None), (301, "?"), (302, "other words only")]
+    queries = [(i, " ".join(rng.choices(words, k=rng.randrange(1, 6)))) for i in range(25)] + [(90, "the"), (91, "nothing"), (92, None)]
+    d, q = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(queries, "query_id long, text string")
+    want = sorted(map(tuple, S.bm25_topk(q, d, 7).collect()))
+    indexed = []
+    monkeypatch.setattr(S, "index_terms", lambda terms, made=S.index_terms: indexed.append(1) or made(terms))
+    monkeypatch.setattr(S, "MET", met)
+    monkeypatch.setattr(S, "SENT_TOKENS", sent)
+    monkeypatch.setattr(S, "TASK_PAIRS", 40)
+    assert sorted(map(tuple, S.bm25_topk(q, d, 7).collect())) == want and len(want) > 150
+    assert bool(indexed) == (met == 0 or sent == 3)
+    counted = S.counted_terms(d, "doc_id", F.col("text"), S.query_tokens(q, "query_id", F.col("text")).select("token").distinct())
+    assert counted.where("token = ''").count() == 301  # one row a document with tokens
