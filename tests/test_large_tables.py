@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from adloom.operators import ctr
+from adloom.operators import containment, ctr
 from adloom.operators import search as S
 
 
@@ -69,3 +69,24 @@ def test_few_queries_are_scored_where_the_documents_are(spark, monkeypatch, met,
     assert bool(indexed) == (met == 0 or sent == 3)
     counted = S.counted_terms(d, "doc_id", F.col("text"), S.query_tokens(q, "query_id", F.col("text")).select("token").distinct())
     assert counted.where("token = ''").count() == 301  # one row a document with tokens
+
+
+@pytest.mark.parametrize("sent", [16 << 20, 400])
+def test_wanted_texts_go_to_the_documents(spark, monkeypatch, sent):
+    """Neither documents nor the hashes of their pieces are shuffled for texts of three pieces or more."""
+    rng = random.Random(13)
+    said = lambda n: " ".join("".join(rng.choice("abc") for _ in range(rng.randrange(0, 4))) for _ in range(n))
+    docs = [(i, said(rng.randrange(1, 40))) for i in range(150)] + [(900, None), (901, "a  b"), (902, "zz the  end")]
+    wanted = []
+    for i in range(100):
+        text = rng.choice(docs[:150])[1]
+        a = rng.randrange(len(text) + 1)
+        wanted.append((i, text[a : a + rng.randrange(6, 30)]))
+    wanted = [(i, w) for i, w in wanted if w.count(" ") > 1] + [(500, "zz the  end"), (501, "a  b"), (502, "nowhere to be found")]
+    written = []
+    monkeypatch.setattr(containment, "SENT_BYTES", sent)
+    monkeypatch.setattr(containment, "stored_parts", lambda parts, label, made=containment.stored_parts: made((written.append(p._jdf.queryExecution().executedPlan().toString()) or p for p in parts), label))
+    found = containment.documents_holding(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(wanted, "query_id long, text string"))
+    assert sorted(map(tuple, found.collect())) == sorted((q, d) for q, w in wanted for d, t in docs if t and w in t)
+    assert len(written) == 3 if sent > 400 else len(written) > 3  # one size of texts after the other
+    assert all("SortMergeJoin" not in p and p.count("Exchange hashpartitioning(query_id") == p.count("Exchange hashpartitioning") == 1 for p in written)
