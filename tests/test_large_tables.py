@@ -90,3 +90,20 @@ def test_wanted_texts_go_to_the_documents(spark, monkeypatch, sent):
     assert sorted(map(tuple, found.collect())) == sorted((q, d) for q, w in wanted for d, t in docs if t and w in t)
     assert len(written) == 3 if sent > 400 else len(written) > 3  # one size of texts after the other
     assert all("SortMergeJoin" not in p and p.count("Exchange hashpartitioning(query_id") == p.count("Exchange hashpartitioning") == 1 for p in written)
+
+
+def test_examples_slice_by_slice(spark, monkeypatch):
+    """Examples are assembled for a share of the users at a time, with the split of the whole log."""
+    from adloom import plans
+    from adloom.plans import base
+
+    data = "/root/testdata/sf0.001"
+    whole = sorted(map(tuple, plans.QUERIES["r7_assemble_examples"](spark, data).collect()))
+    assert sorted(r[:2] for r in whole) == sorted(map(tuple, plans.QUERIES["r1_split"](spark, data).collect()))
+    parts = []
+    monkeypatch.setattr(base, "ROUND_ROWS", 2500)
+    monkeypatch.setattr(ctr, "assemble_examples", lambda rows, *more, made=ctr.assemble_examples: parts.append(rows.count()) or made(rows, *more))
+    made = plans.QUERIES["r7_assemble_examples"](spark, data)
+    assert len(parts) == 3 and sum(parts) == len(whole) and max(parts) < 0.6 * len(whole)
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, made.collect())) == whole
