@@ -26,12 +26,17 @@ def test_history_vectors_are_not_shuffled_one_by_one(spark, monkeypatch, sent):
     made = ctr.masked_mean_history(df, met, "user_id")
     got = {r["user_id"]: r["pooled"] for r in made.collect()}
     assert got.keys() == want.keys() and all(np.allclose(got[k], want[k]) for k in want)
+    aimed = {k: sum([at[i] * (at[i] @ at[t]) for i in ids or [] if i in at and t in at], np.zeros(3)) if k is not None else np.zeros(3) for k, ids, t in owned}
+    found = {r["user_id"]: r["pooled"] for r in ctr.weighted_history(df, met, "user_id", "target").collect()}
+    assert found.keys() == aimed.keys() and all(np.allclose(found[k], aimed[k]) for k in aimed)
     plan = made._jdf.queryExecution().executedPlan().toString()
     assert "Generate" not in plan and "Arrow" not in plan  # what is left to shuffle is one row a key
     tables, dims = ctr._met_vectors(df, met, "user_id", "hist_item", None)
     plans = [t._jdf.queryExecution().executedPlan().toString() for t in tables]
     assert dims == 3 and len(plans) == (1 if sent else 4)
     assert all(("BroadcastHashJoin" in p) == bool(sent) and ("Exchange hashpartitioning" in p) == (not sent) for p in plans)
+    plans = [t._jdf.queryExecution().executedPlan().toString() for t in ctr._met_vectors(df, met, "user_id", "hist_item", "target")[0]]
+    assert len(plans) == (1 if sent else 4) and all(("Exchange hashpartitioning" in p) == (not sent) for p in plans)
 
 
 @pytest.mark.parametrize("rows", [4_000_000, 1500])
